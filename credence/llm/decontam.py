@@ -9,9 +9,8 @@ the first item at which the bounds of the lists up to it reach the threshold, li
 and only pivots are scored.
 
 An item's threshold is the least score that a passage can have that holds ``OVERLAP`` of the item's
-``GRAM``-word shingles: a missing word voids at most GRAM shingles and at least one, so at most the
-missing share of its words, those of largest impact, can be missing. Nothing that verification would
-accept is lost. A pair is verified if the passage holds OVERLAP of the item's shingles, and some of its
+``GRAM``-word shingles: the item's score less the most impact that words can have which together stand in
+no more shingles than may be missing. Nothing that verification would accept is lost. A pair is verified if the passage holds OVERLAP of the item's shingles, and some of its
 question (all but the last sentence) and of its answer (the last sentence, if there are several).
 
 Null and empty texts and items match nothing; items of fewer words than GRAM have one shingle. Equal items
@@ -23,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ PASSAGE = 128
 GRAM = 5
 OVERLAP = 0.8
 K1, B = 1.2, 0.75
-BLOCKS = 32
+BLOCKS = 100
 #: Most items to one index. It is sent to every worker, so larger sets go through in parts of this size.
 INDEX_ITEMS = 20_000
 _WORD = re.compile(r"\w+")
@@ -50,6 +50,36 @@ def shingles(words: list[str]) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + GRAM]) for i in range(max(1, len(words) - GRAM + 1))} if words else set()
 
 
+def most_lost(impacts: list[float], spare: int) -> float:
+    """The greatest sum of impacts of words that stand in at most ``spare`` shingles of a text together.
+
+    best[v] is that sum for words up to a position of which the last chosen one is, with v shingles void.
+    """
+    shingles_of = len(impacts) - GRAM + 1
+    if spare <= 0 or shingles_of < 1:
+        return 0.0
+    rows: list[np.ndarray] = []
+    far = np.full(spare + 1, -np.inf)  # over all last positions at least GRAM back, or none
+    far[0] = 0.0
+    top = 0.0
+    for j, impact in enumerate(impacts):
+        if j >= GRAM:
+            far = np.maximum(far, rows[j - GRAM])
+        row = np.full(spare + 1, -np.inf)
+        last = min(j, shingles_of - 1)
+        for back in range(1, GRAM + 1):
+            before = far if back == GRAM else rows[j - back] if j >= back else None
+            if before is None:
+                continue
+            # Shingles that hold word j but not the last chosen word.
+            fresh = max(0, last - max(j - GRAM + 1, 0, 0 if back == GRAM else j - back + 1) + 1)
+            if fresh <= spare:
+                row[fresh:] = np.maximum(row[fresh:], before[: spare + 1 - fresh] + impact)
+        rows.append(row)
+        top = max(top, float(row.max()))
+    return top
+
+
 class Index:
     """Postings by block, with the greatest impact of each term in each block."""
 
@@ -78,7 +108,7 @@ class Index:
         self.postings: list[dict[int, list[tuple[int, float]]]] = [{} for _ in range(self.n_blocks)]
         self.least = np.zeros(n)
         for d, w in enumerate(self.words):
-            b, impacts = d // self.size, []
+            b, impacts = d // self.size, {}
             for t in sorted(set(w)):
                 tf = w.count(t)
                 idf = np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5))
@@ -86,11 +116,14 @@ class Index:
                 k = self.term[t]
                 self.postings[b].setdefault(k, []).append((d, s))
                 self.best[k, b] = max(self.best[k, b], s)
-                impacts.append(s)
+                impacts[t] = s
             total = len(self.shingles[d])
-            missing = total - int(np.ceil(OVERLAP * total - 1e-9))
-            lost = sorted(impacts, reverse=True)[:missing]
-            self.least[d] = sum(impacts) - sum(lost)
+            spare = total - int(np.ceil(OVERLAP * total - 1e-9))
+            if total == len(w) - GRAM + 1:
+                lost = most_lost([impacts[t] for t in w], spare)
+            else:  # some shingle stands twice: any words at all
+                lost = sum(sorted(impacts.values(), reverse=True)[:spare])
+            self.least[d] = sum(impacts.values()) - lost
         self.block_least = np.array([self.least[b * self.size : (b + 1) * self.size].min() for b in range(self.n_blocks)], dtype=np.float32)
 
     def wand(self, b: int, terms: list[int]) -> list[tuple[int, float]]:
@@ -132,23 +165,26 @@ class Index:
         if not n or not self.ids:
             return []
         get, none = self.term.get, len(self.term)
-        ids = np.fromiter((get(w, none) for w in words), dtype=np.int64, count=n)
+        ids = np.fromiter(map(get, words, repeat(none)), dtype=np.int64, count=n)
         size = max(PASSAGE, 2 * self.longest)
-        starts = np.arange(0, max(1, n - self.longest + 1), size - self.longest)
-        total = np.zeros((n + 1, self.n_blocks), dtype=np.float64)
-        np.cumsum(self.best[ids], axis=0, out=total[1:])
-        ends = np.minimum(starts + size, n)
-        # A word that stands twice counts twice here, so the bound is still one.
-        bound = total[ends] - total[starts] + 1e-3
+        # The words of the index, with the place where each stood last: a word counts once in a passage.
+        at = np.flatnonzero(ids < none)
+        ids = ids[at]
+        order = np.argsort(ids, kind="stable")
+        again = ids[order][1:] == ids[order][:-1]
+        before = np.full(len(ids), -1, dtype=np.int64)
+        before[order[1:][again]] = at[order[:-1][again]]
         best: dict[int, tuple] = {}
-        for p, b in zip(*np.nonzero(bound >= self.block_least), strict=True):
-            s, e = int(starts[p]), int(ends[p])
-            terms = np.unique(ids[s:e])
-            terms = terms[terms < none]
-            if self.best[terms, b].sum(dtype=np.float64) + 1e-3 < self.block_least[b]:
+        for s in range(0, max(1, n - self.longest + 1), size - self.longest):
+            e = min(s + size, n)
+            i, j = np.searchsorted(at, (s, e))
+            terms = ids[i:j][before[i:j] < s]
+            bound = self.best[terms].sum(axis=0) + 1e-3
+            hot = np.flatnonzero(bound >= self.block_least)
+            if not len(hot):
                 continue
             grams = None
-            for d, score in self.wand(int(b), terms.tolist()):
+            for d, score in (x for b in hot.tolist() for x in self.wand(b, terms.tolist())):
                 if grams is None:
                     inside = words[s:e]
                     grams = {tuple(inside[i : i + GRAM]) for i in range(max(1, len(inside) - GRAM + 1))}

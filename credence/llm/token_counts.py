@@ -42,14 +42,19 @@ class TrieCounter:
     """Counts tokens of sorted pre-tokens, scoring each shared prefix once."""
 
     def __init__(self, pieces: dict[str, float]) -> None:
-        self.pieces = pieces
-        self.longest = max(map(len, pieces), default=1)
         self.byte = min(pieces.values(), default=0.0) - 10.0
         self.steps = 0
+        #: Pieces read backwards: the pieces that end at a character are one walk from it.
+        self.ending: dict = {}
+        for piece, p in pieces.items():
+            node = self.ending
+            for c in reversed(piece):
+                node = node.setdefault(c, {})
+            node[""] = p
 
     def counts(self, words: list[str]) -> dict[str, int]:
         out: dict[str, int] = {}
-        get, longest = self.pieces.get, self.longest
+        ending = self.ending
         best, fewest = [0.0], [0]
         path = ""
         for word in sorted(words):
@@ -58,15 +63,20 @@ class TrieCounter:
             while depth < top and path[depth] == full[depth]:
                 depth += 1
             del best[depth + 1 :], fewest[depth + 1 :]
-            for k in range(depth + 1, len(full) + 1):
-                n = len(full[k - 1].encode("utf-8", "surrogatepass"))
-                score, count = best[k - 1] + n * self.byte, fewest[k - 1] + n
-                for start in range(max(0, k - longest), k):
-                    p = get(full[start:k])
+            for k in range(depth, len(full)):
+                score, count, start, node = None, 0, k, ending
+                while start >= 0 and (node := node.get(full[start])) is not None:
+                    p = node.get("")
                     if p is not None:
                         s, c = best[start] + p, fewest[start] + 1
-                        if s > score or s == score and c < count:
+                        if score is None or s > score or s == score and c < count:
                             score, count = s, c
+                    start -= 1
+                if full[k] not in ending or "" not in ending[full[k]]:
+                    n = len(full[k].encode("utf-8", "surrogatepass"))
+                    s, c = best[k] + n * self.byte, fewest[k] + n
+                    if score is None or s > score or s == score and c < count:
+                        score, count = s, c
                 best.append(score)
                 fewest.append(count)
             self.steps += len(full) - depth
