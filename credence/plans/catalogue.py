@@ -1,4 +1,8 @@
 """Every query of the library by name, with its DuckDB twin."""
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from __future__ import annotations
+
+from credence.plans import evidence, graph, learning, reports, scoring, series  # noqa: F401  they register
+from credence.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]

@@ -1,0 +1,56 @@
+"""Every query with a DuckDB twin returns the twin's rows on the smallest tables."""
+
+import math
+from decimal import Decimal
+
+import pytest
+
+from credence.plans.catalogue import ORACLE, QUERIES
+
+DIR = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in TABLES.split():
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
+    return con
+
+
+def plain(v):
+    if v is None or isinstance(v, float) and math.isnan(v):
+        return None
+    if isinstance(v, (int, float, Decimal)) and not isinstance(v, bool):
+        return repr(float(v) + 0.0)
+    return str(v)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_same_rows(spark, duck, name):
+    df = QUERIES[name](spark, DIR)
+    cur = duck.execute(ORACLE[name])
+    names = [d[0] for d in cur.description]
+    assert sorted(names) == sorted(df.columns)
+    want = sorted(str([plain(r[names.index(c)]) for c in sorted(names)]) for r in cur.fetchall())
+    got = sorted(str([plain(r[c]) for c in sorted(names)]) for r in df.collect())
+    assert got == want
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES.keys() - ORACLE.keys()))
+def test_queries_without_twin(spark, name):
+    df = QUERIES[name](spark, DIR)
+    assert df.count() > 0
+
+
+def test_entry_without_the_subpackage(monkeypatch):
+    import importlib
+    import sys
+
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    sys.modules.pop("__spark_entry__", None)
+    entry = importlib.import_module("__spark_entry__")
+    assert set(entry.queries()) == set(QUERIES) and "candidate_topk" in entry.oracle_sql()
+    sys.modules.pop("__spark_entry__", None)
