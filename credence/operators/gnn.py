@@ -65,7 +65,8 @@ def propagate(nodes: DataFrame, edges: DataFrame, relations: list[int], hops: in
             means = m if means is None else means.join(m, "node_id", "full")
         zero = F.array_repeat(F.lit(0.0), width)
         cells = [F.coalesce(F.col(f"m{r}"), zero) for r in relations]
-        hop = nodes.select("node_id").join(means, "node_id", "left").select("node_id", *[c.alias(f"m{r}") for c, r in zip(cells, relations, strict=True)])
+        # Read by the next hop's relations and by the result; lost parts are computed again.
+        hop = nodes.select("node_id").join(means, "node_id", "left").select("node_id", *[c.alias(f"m{r}") for c, r in zip(cells, relations, strict=True)]).persist()
         now = hop.select("node_id", F.transform(F.arrays_zip(*[f"m{r}" for r in relations]), lambda z: sum((z[f"m{r}"] for r in relations), F.lit(0.0)) / len(relations)).alias("x"))
         joined = F.concat("x", *[F.col(f"m{r}") for r in relations])
         out = out.join(hop, "node_id").select("node_id", joined.alias("x"))
@@ -79,7 +80,7 @@ def propagate_and_classify(nodes: DataFrame, edges: DataFrame, split: DataFrame,
 
     spread = propagate(nodes, edges, list(relations), hops, width)
     rows = spread.join(nodes.select("node_id", "label"), "node_id").join(split, "node_id").withColumn("features", array_to_vector("x"))
-    rows = rows.withColumn("label", F.col("label").cast("double"))
+    rows = rows.withColumn("label", F.col("label").cast("double")).persist()
     model = LogisticRegression(maxIter=30, regParam=0.05, featuresCol="features", labelCol="label").fit(rows.where("split = 'train'"))
     scored = model.transform(rows)
     return scored.select(

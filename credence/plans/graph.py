@@ -160,3 +160,32 @@ def grouped_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = V.table(spark, sf_dir, "part").groupBy("p_type").agg(F.min(F.col("p_partkey") - 1).alias("first_pos"), F.count("*").alias("members"))
     # As many rows as types; the frame's order needs one sequence.
     return groups.where("members >= 2").withColumn("group_no", F.row_number().over(Window.orderBy("first_pos")).cast("long"))
+
+
+@query("""SELECT count(d.doc_id) AS documents, count(l.doc_id) AS aligned, count(*) - count(l.doc_id) AS missing, count(d.doc_id) - count(DISTINCT d.doc_id) AS duplicates
+  FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id""")
+def target_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets aligned to nodes by id: how many have one, how many lack it, and ids that stand twice."""
+    labels = V.table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("there", F.lit(1))
+    joined = V.table(spark, sf_dir, "documents").select("doc_id").join(labels, "doc_id", "left")
+    n = joined.groupBy("doc_id").agg(F.count("*").alias("n"), F.count("there").alias("k"))
+    return n.agg(
+        F.sum("n").alias("documents"), F.sum("k").alias("aligned"), F.sum(F.col("n") - F.col("k")).alias("missing"), F.sum(F.col("n") - 1).alias("duplicates")
+    )
+
+
+@query("SELECT o_custkey AS series_id, count(DISTINCT (o_orderstatus, o_orderpriority)) AS strata FROM orders GROUP BY 1 HAVING count(DISTINCT (o_orderstatus, o_orderpriority)) <> 1")
+def strata_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups that do not lie in exactly one stratum."""
+    n = F.countDistinct(F.struct("o_orderstatus", "o_orderpriority"))
+    return V.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("series_id")).agg(n.alias("strata")).where("strata <> 1")
+
+
+@query("""SELECT l_orderkey::DOUBLE AS "r.key", coalesce(CASE WHEN l_discount > 0.05 THEN l_discount END, 0)::DOUBLE AS "r.deep.discount", l_tax AS "r.deep.tax" FROM lineitem""")
+def numeric_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numeric fields at any depth under dotted names; text and truth values are left out, null reads as 0."""
+    from credence.operators.temporal import flatten_numeric
+
+    item = V.table(spark, sf_dir, "lineitem")
+    deep = F.struct(F.when(F.col("l_discount") > 0.05, F.col("l_discount")).alias("discount"), F.col("l_tax").alias("tax"), (F.col("l_tax") > 0).alias("taxed"))
+    return flatten_numeric(item.select(F.struct(F.col("l_orderkey").alias("key"), deep.alias("deep"), F.col("l_returnflag").alias("flag")).alias("r")))

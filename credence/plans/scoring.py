@@ -250,3 +250,24 @@ def ambiguous_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("mode_id").orderBy("nb", "ib")
     pairs = m.join(F.broadcast(b), near & (F.col("mode_id") != F.col("other")))
     return pairs.withColumn("place", F.row_number().over(w)).where("place <= 10").select("mode_id", "other", "place")
+
+
+@query(f"WITH {T.SCORED} SELECT o.series_id, t.observation_id, t.rank, t.mode_id FROM topk t JOIN obs o USING (observation_id) WHERE t.rank <= 3 AND o.series_id IS NOT NULL")
+def rank_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best candidates of every observation that is in a series."""
+    obs = V.observations(spark, sf_dir).where(F.col("series_id").isNotNull()).select("observation_id", "series_id")
+    return best(spark, sf_dir).where("rank <= 3").join(obs, "observation_id").select("series_id", "observation_id", "rank", "mode_id")
+
+
+@query(f"""WITH {T.SCORED}, ids AS (SELECT series_id, mode_id FROM topk JOIN obs USING (observation_id) WHERE rank <= 2
+  UNION SELECT series_id, 'mode:' || (series_id % 25) || ':' || (code + 1) FROM obs)
+  SELECT series_id, count(*) AS frame, (SELECT count(*) FROM modes) - count(*) AS outside, min(mode_id) AS first_id, max(mode_id) AS last_id FROM ids GROUP BY series_id""")
+def frame_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frame of a series: its observations' two best modes and its true ones; how many modes are outside."""
+    obs = V.observations(spark, sf_dir)
+    truth = obs.select("series_id", F.concat(F.lit("mode:"), F.col("series_id") % 25, F.lit(":"), F.col("code") + 1).alias("mode_id"))
+    seen = best(spark, sf_dir).where("rank <= 2").join(obs.select("observation_id", "series_id"), "observation_id").select("series_id", "mode_id")
+    ids = seen.unionByName(truth).distinct()
+    n = F.broadcast(V.modes(spark, sf_dir).agg(F.count("*").alias("all")))
+    frames = ids.groupBy("series_id").agg(F.count("*").alias("frame"), F.min("mode_id").alias("first_id"), F.max("mode_id").alias("last_id"))
+    return frames.crossJoin(n).select("series_id", "frame", (F.col("all") - F.col("frame")).alias("outside"), "first_id", "last_id")

@@ -24,7 +24,7 @@ def plan(df):
 
 def test_plans_stay_in_the_engine(spark):
     for name, f in QUERIES.items():
-        if name in ("generate_series", "gnn_predict"):
+        if name in ("generate_series", "gnn_predict"):  # a schedule with state; a model's plan
             continue
         text = plan(f(spark, DIR))
         assert "Python" not in text and "InArrow" not in text and "InPandas" not in text and "CartesianProduct" not in text, name
