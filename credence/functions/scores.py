@@ -35,9 +35,14 @@ def measurement_interval(value: Column, error: Column, low: Column, high: Column
     return F.when(both, low).otherwise(value - spread), F.when(both, high).otherwise(value + spread)
 
 
-def interval_overlap(olow: Column, ohigh: Column, klow: Column, khigh: Column) -> Column:
-    """Overlap over the observed width; without overlap 1 less the relative distance, 0 at least. Null if any bound is."""
-    ol, oh, kl, kh = F.least(olow, ohigh), F.greatest(olow, ohigh), F.least(klow, khigh), F.greatest(klow, khigh)
+def interval_overlap(olow: Column, ohigh: Column, klow: Column, khigh: Column, ordered: bool = False) -> Column:
+    """Overlap over the observed width; without overlap 1 less the relative distance, 0 at least. Null if any bound is.
+
+    Bounds that are known to be in order make a much smaller expression.
+    """
+    ol, oh, kl, kh = olow, ohigh, klow, khigh
+    if not ordered:
+        ol, oh, kl, kh = F.least(olow, ohigh), F.greatest(olow, ohigh), F.least(klow, khigh), F.greatest(klow, khigh)
     overlap = F.least(oh, kh) - F.greatest(ol, kl)
     oc, kc = (ol + oh) / 2, (kl + kh) / 2
     distance = F.least(F.abs(oc - kl), F.abs(oc - kh), F.abs(oc - kc))

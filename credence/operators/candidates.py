@@ -22,8 +22,8 @@ MIN_DELTA = 0.05
 def mode_score() -> Column:
     return mean_known(
         [
-            interval_overlap(F.col("lo"), F.col("hi"), F.col("klo"), F.col("khi")),
-            interval_overlap(F.col("k") * 0.95, F.col("k") * 1.05, F.col("k_klo"), F.col("k_khi")),
+            interval_overlap(F.col("lo"), F.col("hi"), F.col("klo"), F.col("khi"), ordered=True),
+            interval_overlap(F.col("k_lo"), F.col("k_hi"), F.col("k_klo"), F.col("k_khi"), ordered=True),
             (F.col("code") == F.col("mode_code")).cast("double"),
         ]
     )
@@ -41,17 +41,29 @@ def operator_prior(code: Column, operator: Column) -> Column:
 def support() -> Column:
     """What carrier and operator add to the total."""
     there = F.col("uses_radar")
-    kinematic = (
-        limit_consistency(there, F.col("value") * 20, F.col("speed_limit")) + limit_consistency(there, F.col("k") * 100, F.col("ceiling"))
-    ) / 2
-    own = carrier_score(kinematic, carrier_link(there, there))
-    return 0.15 * own + 0.10 * operator_prior(F.col("code"), F.col("operator"))
+    kinematic = (limit_consistency(there, F.col("speed"), F.col("speed_limit")) + limit_consistency(there, F.col("height"), F.col("ceiling"))) / 2
+    return 0.15 * carrier_score(kinematic, carrier_link(there, there)) + 0.10 * F.col("prior")
 
 
 def total(mode: Column, rest: Column) -> Column:
     return r6(0.75 * mode + rest)
 
 
+def seen(observations: DataFrame) -> DataFrame:
+    """What scoring reads of an observation, dealt to all tasks: one input file must not mean one task for all pairs."""
+    width = int(observations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return observations.select(
+        "observation_id", "lo", "hi", (F.col("k") * 0.95).alias("k_lo"), (F.col("k") * 1.05).alias("k_hi"), "code",
+        (F.col("value") * 20).alias("speed"), (F.col("k") * 100).alias("height"),
+    ).repartition(width, "observation_id")
+
+
+def by_code(rows: DataFrame) -> DataFrame:
+    """Candidate rows for each code of an observation, with the prior of their operator: maps are looked up here, not for each pair."""
+    spread = rows.withColumn("row_code", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    return spread.withColumn("prior", operator_prior(F.col("row_code"), F.col("operator")))
+
+
 def numbered(rows: DataFrame) -> DataFrame:
     """Candidate rows with their place in the order of names, which breaks ties."""
     # One task numbers them: a few hundred rows whatever the scale.
@@ -64,63 +76,60 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def _spread(observations: DataFrame) -> DataFrame:
-    """One input file must not mean one task for all pairs."""
-    width = int(observations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return observations.repartition(width, "observation_id")
-
-
 def topk(observations: DataFrame, rows: DataFrame, k: int = K) -> DataFrame:
-    """observation_id, rank, total and the row's names of the k best candidates of each observation."""
+    """observation_id, rank, total and the row's names of the k best candidates of each observation: all pairs are scored."""
     rows = numbered(rows)
-    obs = _spread(observations.select("observation_id", "lo", "hi", "k", "code", "value"))
-    pairs = obs.crossJoin(F.broadcast(rows)).select("observation_id", total(mode_score(), support()).alias("total"), "row")
+    pairs = seen(observations).join(F.broadcast(by_code(rows)), (F.col("code") == F.col("row_code")) & F.col("row").isNotNull())
+    scored = pairs.select("observation_id", total(mode_score(), support()).alias("total"), "row")
     names = rows.select("row", "mode_id", "radar_id", "carrier_id", "operator")
-    return _ranked(pairs, k).join(F.broadcast(names), "row").drop("row")
+    return _ranked(scored, k).join(F.broadcast(names), "row").drop("row")
 
 
 def topk_factored(observations: DataFrame, modes: DataFrame, rows: DataFrame, k: int = K) -> DataFrame:
-    """As ``topk``; modes and carriers are scored once for each observation and meet by radar."""
+    """As ``topk``; a mode is scored once for each observation and then meets its rows by an equi join."""
     rows = numbered(rows)
-    obs = _spread(observations.select("observation_id", "lo", "hi", "k", "code", "value"))
-    scored = obs.crossJoin(F.broadcast(modes)).select("observation_id", "radar_id", "mode_id", mode_score().alias("mode_score"))
-    carried = rows.select("radar_id", "carrier_id", "operator", "uses_radar", "speed_limit", "ceiling").distinct()
-    extra = obs.crossJoin(F.broadcast(carried)).select("observation_id", "radar_id", "carrier_id", "operator", support().alias("support"))
-    met = scored.join(extra, ["observation_id", "radar_id"])
-    ordinal = rows.select("row", F.col("mode_id").alias("m"), F.col("carrier_id").alias("c"), F.col("operator").alias("o"))
-    same = (F.col("mode_id") == F.col("m")) & F.col("carrier_id").eqNullSafe(F.col("c")) & F.col("operator").eqNullSafe(F.col("o"))
-    pairs = met.join(F.broadcast(ordinal), same).select(
-        "observation_id", total(F.col("mode_score"), F.col("support")).alias("total"), "row", "mode_id", "radar_id", "carrier_id", "operator"
-    )
-    return _ranked(pairs, k).drop("row")
+    modes = modes.select("mode_id", "klo", "khi", "k_klo", "k_khi", "mode_code")
+    scored = seen(observations).crossJoin(F.broadcast(modes)).select("observation_id", "code", "speed", "height", "mode_id", mode_score().alias("mode_score"))
+    own = by_code(rows).select(F.col("mode_id").alias("row_mode"), "row_code", "row", "uses_radar", "speed_limit", "ceiling", "prior")
+    met = scored.join(F.broadcast(own), (F.col("mode_id") == F.col("row_mode")) & (F.col("code") == F.col("row_code")))
+    pairs = met.select("observation_id", total(F.col("mode_score"), support()).alias("total"), "row")
+    names = rows.select("row", "mode_id", "radar_id", "carrier_id", "operator")
+    return _ranked(pairs, k).join(F.broadcast(names), "row").drop("row")
 
 
-def contradictions(best: DataFrame, least: float = MIN_DELTA) -> DataFrame:
-    """Pairs of an observation's candidates whose totals differ by ``least`` and that differ in some name."""
+def pairs(best: DataFrame, least: float = MIN_DELTA) -> DataFrame:
+    """Pairs of an observation's candidates whose totals differ by ``least`` and that differ in some name.
+
+    The k candidates of an observation lie in one partition already; they are paired as an array of k, so
+    the ranking is read once and nothing is joined.
+    """
     names = ("mode_id", "radar_id", "carrier_id", "operator")
-    left = best.select("observation_id", F.col("rank").alias("source_rank"), F.col("total").alias("lt"), *[F.col(c).alias(f"l_{c}") for c in names])
-    right = best.select("observation_id", F.col("rank").alias("target_rank"), F.col("total").alias("rt"), *[F.col(c).alias(f"r_{c}") for c in names])
-    reason = F.concat_ws(",", *[F.when(~F.col(f"l_{c}").eqNullSafe(F.col(f"r_{c}")), F.lit(c)) for c in names])
-    return (
-        left.join(right, "observation_id")
-        .where("source_rank < target_rank")
-        .withColumn("score_delta", r6(F.abs(F.col("lt") - F.col("rt"))))
-        .withColumn("reason", reason)
-        .where((F.col("score_delta") >= least) & (F.col("reason") != ""))
-        .select("observation_id", "source_rank", "target_rank", "score_delta", "reason")
-    )
+    row = F.struct("rank", "total", *names)
+    lists = best.groupBy("observation_id").agg(F.array_sort(F.collect_list(row)).alias("c"))
+    left = lists.select("observation_id", "c", F.posexplode("c").alias("p", "l"))
+    both = left.select("observation_id", "l", F.explode(F.slice("c", F.col("p") + 2, F.size("c"))).alias("r"))
+    reason = F.concat_ws(",", *[F.when(~F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")), F.lit(c)) for c in names])
+    return both.select(
+        "observation_id", F.col("l.rank").alias("source_rank"), F.col("r.rank").alias("target_rank"), r6(F.abs(F.col("l.total") - F.col("r.total"))).alias("score_delta"),
+        reason.alias("reason"), F.col("l.mode_id").alias("mode_id"), F.col("r.mode_id").alias("contradicted"),
+    ).where((F.col("score_delta") >= least) & (F.col("reason") != ""))
+
+
+def contradictions(best: DataFrame, least: float = MIN_DELTA) -> DataFrame:
+    return pairs(best, least).drop("mode_id", "contradicted")
 
 
 def ambiguity(best: DataFrame) -> DataFrame:
-    """Best total, gap to the second, ambiguity and masses of each observation."""
+    """Best total and mode, gap to the second, ambiguity and masses of each observation."""
     grouped = best.groupBy("observation_id").agg(
         F.max(F.when(F.col("rank") == 1, F.col("total"))).alias("s1"),
         F.max(F.when(F.col("rank") == 2, F.col("total"))).alias("s2"),
+        F.max(F.when(F.col("rank") == 1, F.col("mode_id"))).alias("best_mode"),
         F.count("*").alias("n"),
     )
     unclear = F.when(F.col("s2").isNull(), 0.1).otherwise(F.greatest(F.lit(0.05), 1 - (F.col("s1") - F.col("s2"))))
     m = masses_from_score(F.col("s1"), unclear)
     return grouped.select(
-        "observation_id", F.col("s1").alias("best_total"), r6(unclear).alias("ambiguity"), (F.col("n") / K).alias("degree_score"),
+        "observation_id", "best_mode", F.col("s1").alias("best_total"), r6(unclear).alias("ambiguity"), (F.col("n") / K).alias("degree_score"),
         m[0].alias("against"), m[1].alias("matching"), m[2].alias("unknown"),
     )

@@ -108,18 +108,18 @@ _TOPK = f"WITH {T.SCORED} SELECT observation_id, rank, total, mode_id, radar_id,
 
 
 def best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.topk(V.observations(spark, sf_dir), V.candidate_rows(spark, sf_dir))
+    return C.topk_factored(V.observations(spark, sf_dir), V.modes(spark, sf_dir), V.candidate_rows(spark, sf_dir))
 
 
 @query(_TOPK)
 def candidate_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best(spark, sf_dir).select("observation_id", "rank", "total", "mode_id", "radar_id", "carrier_id", "operator")
+    found = C.topk(V.observations(spark, sf_dir), V.candidate_rows(spark, sf_dir))
+    return found.select("observation_id", "rank", "total", "mode_id", "radar_id", "carrier_id", "operator")
 
 
 @query(_TOPK)
 def candidate_topk_factored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = C.topk_factored(V.observations(spark, sf_dir), V.modes(spark, sf_dir), V.candidate_rows(spark, sf_dir))
-    return found.select("observation_id", "rank", "total", "mode_id", "radar_id", "carrier_id", "operator")
+    return best(spark, sf_dir).select("observation_id", "rank", "total", "mode_id", "radar_id", "carrier_id", "operator")
 
 
 def _differ(c: str) -> str:
@@ -150,21 +150,19 @@ _AMB = T.SCORED + """, g AS (SELECT observation_id, max(total) FILTER (rank = 1)
 
 @query(f"WITH {_AMB} SELECT * FROM amb")
 def ambiguity_masses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.ambiguity(best(spark, sf_dir))
+    return C.ambiguity(best(spark, sf_dir)).drop("best_mode")
 
 
 @query(f"""WITH {_AMB} SELECT amb.*, 'evidence:observation:' || o.observation_id AS node_id, t.mode_id AS best_mode, round(o.hi - o.lo + coalesce(o.k * 1.05::DOUBLE - o.k * 0.95::DOUBLE, 0) + 1e-9, 6) AS uncertainty,
   round({T.recency(T.days("TIMESTAMP '2024-06-01'", 'o.ts'), 30, 0)} + 1e-9, 6) AS recency FROM amb JOIN obs o USING (observation_id) JOIN topk t ON t.observation_id = o.observation_id AND t.rank = 1""")
 def observation_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence row of every observation: best candidate, masses, widths of its measurements, recency."""
-    found = best(spark, sf_dir)
-    first = found.where("rank = 1").select("observation_id", F.col("mode_id").alias("best_mode"))
     age = S.days_between(F.lit("2024-06-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
     width = F.col("hi") - F.col("lo") + F.coalesce(F.col("k") * 1.05 - F.col("k") * 0.95, F.lit(0.0))
     obs = V.observations(spark, sf_dir).select(
         "observation_id", F.concat(F.lit("evidence:observation:"), "observation_id").alias("node_id"), S.r6(width).alias("uncertainty"), S.r6(S.recency(age, 30.0, 0.0)).alias("recency")
     )
-    return C.ambiguity(found).join(obs, "observation_id").join(first, "observation_id")
+    return C.ambiguity(best(spark, sf_dir)).join(obs, "observation_id")
 
 
 @query(f"""WITH {T.SCORED} SELECT 'evidence:candidate:' || observation_id || ':' || rank AS node_id, observation_id, rank, mode_id, total,

@@ -77,11 +77,7 @@ def rank1_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT o.series_id, a AS mode_id, b AS contradicted, count(*) AS n FROM pr JOIN obs o USING (observation_id) WHERE d >= 0.05 GROUP BY ALL""")
 def contradiction_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Series to best candidate to the candidates that it contradicts, counted."""
-    found = best(spark, sf_dir)
-    pairs = C.contradictions(found).where("source_rank = 1").select("observation_id", "target_rank")
-    a = found.where("rank = 1").select("observation_id", "mode_id")
-    b = found.select("observation_id", F.col("rank").alias("target_rank"), F.col("mode_id").alias("contradicted"))
-    path = pairs.join(a, "observation_id").join(b, ["observation_id", "target_rank"]).where("mode_id <> contradicted")
+    path = C.pairs(best(spark, sf_dir)).where("source_rank = 1 and mode_id <> contradicted").select("observation_id", "mode_id", "contradicted")
     return path.join(V.observations(spark, sf_dir).select("observation_id", "series_id"), "observation_id").groupBy("series_id", "mode_id", "contradicted").agg(F.count("*").alias("n"))
 
 

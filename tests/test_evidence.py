@@ -79,8 +79,8 @@ def test_scores(spark):
         mean=S.mean_known([F.lit(0.5), F.lit(None).cast("double"), F.lit(1.0)]), nothing=S.mean_known([F.lit(None).cast("double")]),
         limits=F.array(*[S.limit_consistency(F.lit(t), F.lit(v), F.lit(l)) for t, v, l in ((False, 5.0, 1.0), (True, 5.0, 0.0), (True, 1.04, 1.0), (True, 4.0, 1.0))]),
         rec=S.recency(F.lit(30.0), 30.0, 0.0), old=S.recency(F.lit(None).cast("double"), 30.0, 0.25), ahead=S.recency(F.lit(-5.0), 30.0, 0.0),
-        slug=S.slug(F.lit("--Su/27 Flanker É!")), key=S.type_key(F.lit("aircraft:su-27 flanker")),
+        slug=S.slug(F.lit("--Vx/27 Falcon É!")), key=S.type_key(F.lit("aircraft:vx-27 falcon")),
     )
     assert (r.inside, r.half, r.none, r.turned) == (1.0, 0.5, None, 1.0) and r.point == 0.875 and r.far == pytest.approx(1 - 998.5 / 1000.5)
     assert (r["mean"], r.nothing) == (0.75, 0.0) and r.limits == [0.5, 1.0, 1.0, 0.25]
-    assert (round(r.rec, 9), r.old, r.ahead) == (0.5, 0.25, 1.0) and r.slug == "su_27_flanker_é" and r.key == "su"
+    assert (round(r.rec, 9), r.old, r.ahead) == (0.5, 0.25, 1.0) and r.slug == "vx_27_falcon_é" and r.key == "vx"

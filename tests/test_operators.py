@@ -31,7 +31,7 @@ def test_plans_stay_in_the_engine(spark):
 
 
 def test_ranking_is_pushed_and_the_small_side_broadcast(spark):
-    text = plan(QUERIES["candidate_topk"](spark, DIR))
+    text = plan(QUERIES["candidate_topk_factored"](spark, DIR))
     assert "WindowGroupLimit" in text and "BroadcastNestedLoopJoin BuildRight" in text
     assert "ReadSchema: struct<event_id" in text
 
