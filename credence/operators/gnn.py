@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from credence.operators import graph as G
 
@@ -28,7 +29,7 @@ def layer_norm(x: np.ndarray, eps: float = 1e-5) -> np.ndarray:
     return (x - x.mean(axis=-1, keepdims=True)) / np.sqrt(x.var(axis=-1, keepdims=True) + eps)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _activate(h: pd.Series, x: pd.Series) -> pd.Series:
     if not len(h):
         return pd.Series([], dtype=object)
