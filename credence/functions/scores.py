@@ -95,7 +95,7 @@ def external_prior(name: Column, priors: Column, more: Column, named: Column) ->
 def recency(age_days: Column, half_life: float, missing: float) -> Column:
     """Halves with each half-life; ages below zero count as zero."""
     halves = F.exp(-F.lit(0.6931471805599453) * F.greatest(age_days, F.lit(0.0)) / half_life)
-    return F.coalesce(halves, F.lit(missing))
+    return F.when(age_days.isNotNull(), halves).otherwise(F.lit(missing))
 
 
 def claim_score(confidence: Column, credibility: Column, age: Column, extraction: Column, prior: Column, consistency: Column, specificity: Column) -> Column:

@@ -65,7 +65,7 @@ def overlap(ol: str, oh: str, kl: str, kh: str) -> str:
 
 
 def recency(age: str, half_life: float, missing: float) -> str:
-    return f"coalesce(exp(-0.6931471805599453::DOUBLE * greatest({age}, 0.0::DOUBLE) / {half_life}::DOUBLE), {missing}::DOUBLE)"
+    return f"(CASE WHEN ({age}) IS NULL THEN {missing}::DOUBLE ELSE exp(-0.6931471805599453::DOUBLE * greatest({age}, 0.0::DOUBLE) / {half_life}::DOUBLE) END)"
 
 
 def days(later: str, earlier: str) -> str:
