@@ -7,8 +7,9 @@ digests meet in one aggregation that keeps the least (doc_id, unit): the earlies
 All others go, with the offsets that they had in the text. What is left of a line at its end with fewer
 than ``MIN_WORDS`` words belongs to no unit and stays.
 
-The aggregation combines on the map side, so a unit that is everywhere costs a row for each task. What a
-document keeps comes back by doc_id; no posting list of a unit is ever gathered.
+The aggregation combines on the map side, so a unit that is everywhere costs a row for each task, and its
+first place is broadcast to its rows. What a document keeps comes back by doc_id; no posting list of a
+unit is ever gathered.
 
 Null and empty texts have no units. Equal rows count as one document and lose the same units; different
 texts of one doc_id are told apart by a hash of the text. Rows without a doc_id keep their text and make
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm._common import cut, texts
+from credence.llm._common import cut, shuffle_width, texts
 
 MIN_WORDS = 5
 _SENTENCE = re.compile(r"[^\n]*?[.!?]+(?=\s)|[^\n]+")
@@ -74,13 +75,21 @@ def _units_of(docs: DataFrame, min_words: int) -> DataFrame:
 def _later(docs: DataFrame, min_words: int) -> DataFrame:
     """The units that an earlier one equals, with the tag of their text.
 
-    Only digests that occur more than once take part in the join; the engine splits one with very many.
+    Only digests that occur more than once take part in the join. A digest with more than 1 / (4 x shuffle
+    partitions) of all units is common: fewer than 4 x shuffle partitions digests can be, so their first
+    places are broadcast, and the many rows of a common unit stay in the tasks where they lie.
     """
     found = cut(_units_of(docs, min_words))
-    place = F.struct("doc_id", "tag", "unit")
-    first = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
+    share = 4 * shuffle_width(docs.sparkSession)
+    total = found.count()
     at = F.struct("doc_id", "tag", "unit")
-    return found.join(first, "digest").where(at > F.col("first")).select(
+    first = found.groupBy("digest").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n"))
+    first = cut(first.where("first < last").select("digest", "first", (F.col("n") * share > total).alias("common")))
+    common = first.where("common").select(F.col("digest").alias("key"), F.col("first").alias("common_first"))
+    held = found.join(F.broadcast(common), F.col("digest") == F.col("key"), "left").drop("key")
+    near = held.where("common_first is not null").withColumnRenamed("common_first", "first")
+    far = held.where("common_first is null").drop("common_first").join(first.where("not common").drop("common"), "digest")
+    return near.unionByName(far).where(at > F.col("first")).select(
         "doc_id", "tag", "unit", "start", "end", F.col("first.doc_id").alias("first_doc_id"), F.col("first.unit").alias("first_unit")
     )
 
