@@ -18,13 +18,14 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm._common import crc_mod, cut, label_sample, texts
+from credence.llm._common import crc_mod, cut, label_sample, shuffle_width, texts
 
 THRESHOLD = 0.3
 #: Labelled rows of either class that the fit may use.
@@ -56,26 +57,37 @@ class Lexicon:
         #: Words that look like misspelled ones but stand in documents that are not toxic.
         self.clean: set[str] = set()
         self.lengths = sorted({len(s) for s in stems}, reverse=True)
-        self.trie: dict = {}
-        self.heads: set[str] = set()
-        self.tails: set[str] = set()
-        self.inner: set[str] = set()
+        #: Of edits + 1 parts of a word one is untouched, so each part has a trie of the words that have it,
+        #: and a word of a text walks the tries of its own parts alone.
+        self.heads: dict[str, dict] = {}
+        self.tails: dict[str, dict] = {}
+        self.inner: dict[str, dict] = {}
         for w in words:
-            node = self.trie
-            for c in w:
-                node = node.setdefault(c, {})
-            node[""] = w
-            # Of edits + 1 parts of a word one is untouched: a word without any of them needs no walk.
             parts = self.edits(w) + 1
             if parts > 1:
                 n = len(w) // parts
-                self.heads.add(w[:n])
-                self.tails.add(w[(parts - 1) * n :])
-                self.inner.update(w[k * n : (k + 1) * n] for k in range(1, parts - 1))
+                self._insert(self.heads, w[:n], w)
+                self._insert(self.tails, w[(parts - 1) * n :], w)
+                for k in range(1, parts - 1):
+                    self._insert(self.inner, w[k * n : (k + 1) * n], w)
         self.head_sizes = sorted({len(h) for h in self.heads})
         self.tail_sizes = sorted({len(t) for t in self.tails})
         self.inner_sizes = sorted({len(t) for t in self.inner})
 
+    @staticmethod
+    def _insert(tries: dict[str, dict], part: str, word: str) -> None:
+        node = tries.setdefault(part, {})
+        for c in word:
+            node = node.setdefault(c, {})
+        node[""] = word
+
+    def tries(self, word: str) -> list[dict]:
+        """The tries that hold every lexicon word within its edits of ``word``."""
+        found = [self.heads.get(word[:n]) for n in self.head_sizes]
+        found += [self.tails.get(word[-n:]) for n in self.tail_sizes]
+        found += [self.inner.get(word[k : k + n]) for n in self.inner_sizes for k in range(max(1, n - 2), n + 3)]
+        return [t for t in found if t is not None]
+
     @staticmethod
     def edits(word: str) -> int:
         return 0 if len(word) < 5 else 1 if len(word) < 9 else 2
@@ -85,7 +97,7 @@ class Lexicon:
         best: tuple[int, str] | None = None
         most = 0 if len(word) < 4 else 1 if len(word) < 7 else 2
         seen: set[tuple[int, int, int]] = set()
-        todo = [(self.trie, 0, 0)]
+        todo = [(trie, 0, 0) for trie in self.tries(word)]
         while todo:
             node, i, used = todo.pop()
             state = (id(node), i, used)
@@ -119,13 +131,8 @@ class Lexicon:
         for n in self.lengths:
             if (w := self.stems.get(word[:n])) is not None:
                 return 2, w, word[:n]
-        if (
-            any(word[:n] in self.heads for n in self.head_sizes)
-            or any(word[-n:] in self.tails for n in self.tail_sizes)
-            or any(word[k : k + n] in self.inner for n in self.inner_sizes for k in range(max(1, n - 2), n + 3))
-        ):
-            if word not in self.clean and (hit := self.near(word)):
-                return 1, self.words[hit[0]] * 0.8 ** hit[1], hit[0]
+        if word not in self.clean and (hit := self.near(word)):
+            return 1, self.words[hit[0]] * 0.8 ** hit[1], hit[0]
         return None
 
 
@@ -216,10 +223,11 @@ def choose(counts: list[tuple[str, bool, int, int]], toxic: int, other: int) ->
 
 
 def _entry_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    plain = lru_cache(_CACHE)(normal)
     for b in batches:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
         for t, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
-            words = {normal(w) for w in set((t or "").split())}
+            words = set(map(plain, set((t or "").split())))
             entries = {"=" + w for w in words if len(w) >= 3}
             entries.update(w[:k] for w in words for k in PREFIXES if len(w) > k)
             counts[y].update(entries)
@@ -253,10 +261,11 @@ def learn_clean(sample: DataFrame, lexicon: Lexicon, most: int = 10 * ENTRIES) -
     """Words near a lexicon word that two or more documents that are not toxic have, the most common ``most``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match = lru_cache(_CACHE)(lexicon.match)
         for b in batches:
             found = Counter()
             for t in b.column("text").to_pylist():
-                found.update({normal(w) for w in set((t or "").split()) if (hit := lexicon.match(w)) and hit[0] == 1})
+                found.update({normal(w) for w in set((t or "").split()) if (hit := match(w)) and hit[0] == 1})
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
 
     words = sample.where("y = 0").select("text").mapInArrow(run, "word string, n long")
@@ -323,7 +332,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, mod: i
     """Lexicon and model from at most ``per_class`` labelled rows of either class outside the held-out fold."""
     known = labels.where(F.col("toxic").isin(0, 1) & (crc_mod(F.col("doc_id").cast("long"), mod) != held))
     count = {r["y"]: r["count"] for r in known.groupBy(F.col("toxic").cast("int").alias("y")).count().collect()}
-    sample = cut(label_sample(docs, labels, "toxic", mod, held, per_class).dropDuplicates(["doc_id"]))
+    # Dealt to as many files as a shuffle has partitions: the bounded sample is small, but its words cost time.
+    dealt = label_sample(docs, labels, "toxic", mod, held, per_class).repartition(shuffle_width(docs.sparkSession), "doc_id")
+    sample = cut(dealt.dropDuplicates(["doc_id"]))
     lexicon = learn_lexicon(sample)
     lexicon.clean = learn_clean(sample, lexicon)
     rows = sample.mapInArrow(_feature_rows(lexicon), "doc_id long, y int, x array<double>").toPandas().sort_values("doc_id")
