@@ -12,8 +12,9 @@ use all cores). Building and searching grow with rows times log of shard size; t
 and its recall is measured in tests.
 
 Vectors that are null, zero, empty, or hold null or non-finite components take no part. Vectors are
-compared with those of equal length only. Repeated rows of one vec_id count once if equal. Rows without a
-vec_id take no part. Further columns are ignored.
+compared with those of equal length only. Repeated rows of one vec_id count once if equal; of different
+vectors of one vec_id the least, component by component, is the query, and each is a candidate. Rows
+without a vec_id take no part. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -258,7 +259,7 @@ def _searcher(k: int, ef: int):
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, ef: int = EF_SEARCH, **sharding: int) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` nearest rows found for each row of ``queries``, but itself."""
     index, shards = build(vectors, **sharding)
-    asked = cut(valid(queries).dropDuplicates(["vec_id"]))
+    asked = cut(valid(queries).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")))
     blocks = max(1, -(-asked.count() // BLOCK))
     cells = 2 * shards * blocks
     left = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(cells, "dim", "shard", "block")

@@ -53,3 +53,8 @@ def test_odd_rows_and_ties(spark):
 
 def test_empty(spark):
     assert hnsw.search(table(spark, []), table(spark, [])).count() == 0
+
+
+def test_different_vectors_of_one_id(spark):
+    rows = [(0, [1.0, 0.0], 0, 0.0, "x", "y"), (0, [0.0, 1.0], 0, 0.0, "x", "y"), (1, [2.0, 0.0], 0, 0.0, "x", "y"), (1, [0.0, 3.0], 0, 0.0, "x", "y")]
+    assert run(table(spark, rows), min_shards=2) == run(table(spark, rows[::-1]), min_shards=2) == {0: [(1, 3.0), (1, 0.0)]}
