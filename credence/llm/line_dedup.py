@@ -7,6 +7,14 @@ digests meet in one aggregation that keeps the least (doc_id, unit): the earlies
 All others go, with the offsets that they had in the text. What is left of a line at its end with fewer
 than ``MIN_WORDS`` words belongs to no unit and stays.
 
+``everything`` finds besides these every passage of ``LENGTH`` words that stands at an earlier place,
+wherever it starts and ends. Passages are grouped into blocks: those in a row that share the position
+whose ``GRAM`` words have the least hash among the positions in the passage. Blocks are digested and meet
+like units. A passage that two different blocks share has the same least words in both; so of blocks that
+differ and have those words in common, the first of each kind is taken apart into its passages, which
+are digested and meet once more. Nothing is sampled: the words found are those that a comparison of all
+passages finds. A passage that overlaps its own first place is no repetition.
+
 The aggregation combines on the map side, so a unit that is everywhere costs a row for each task, and its
 first place is broadcast to its rows. What a document keeps comes back by doc_id; no posting list of a
 unit is ever gathered.
@@ -21,16 +29,19 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from credence.llm._common import cut, shuffle_width, texts
+from credence.llm.suffix_dedup import GRAM, LENGTH, _grams, _Words
 
 MIN_WORDS = 5
 _SENTENCE = re.compile(r"[^\n]*?[.!?]+(?=\s)|[^\n]+")
 _EDGE = re.compile(r"^\W+|\W+$")
+_SPACE = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
 
 
 def units(text: str | None, min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]:
@@ -99,6 +110,169 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return _later(docs, min_words).drop("tag")
 
 
+def places(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a text."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    blank = np.r_[True, _SPACE[np.minimum(points, len(_SPACE) - 1)], True]
+    turns = np.flatnonzero(blank[1:] != blank[:-1])
+    return turns[::2], turns[1::2]
+
+
+def blocks(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the first word, number of passages and hash of the least words of each block of hashed words."""
+    n = len(words) - LENGTH + 1
+    if n < 1:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    h, span = _grams(words, GRAM), LENGTH - GRAM + 1
+    least = (h >> np.uint64(32)) << np.uint64(32) | np.arange(len(h), dtype=np.uint64)
+    width = 1
+    while 2 * width <= span:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    at = (np.minimum(least[:n], least[span - width : span - width + n]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    begin = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    return begin, np.diff(np.r_[begin, n]), h.view(np.int64)[at[begin]]
+
+
+_FOUND = "doc_id long, tag long, unit int, start int, end int, digest binary, gram long, passages int"
+
+
+def _batch(ids: list, tags: list, parts: list[tuple]) -> pa.RecordBatch:
+    """Rows of documents; ``parts`` holds unit, start, end, digest, gram, passages of each (the last two or None)."""
+    sizes = [len(x[0]) for x in parts]
+    whole = lambda k: np.concatenate([x[k] for x in parts] or [np.empty(0)]).astype(np.int32)
+    none = np.repeat([x[4] is None for x in parts] or [], sizes).astype(bool)
+    bare = np.repeat([x[5] is None for x in parts] or [], sizes).astype(bool)
+    grams = np.concatenate([np.zeros(n, np.int64) if x[4] is None else x[4] for x, n in zip(parts, sizes, strict=True)] or [np.empty(0, np.int64)])
+    passages = np.concatenate([np.zeros(n, np.int64) if x[5] is None else x[5] for x, n in zip(parts, sizes, strict=True)] or [np.empty(0, np.int64)])
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.repeat(np.array(ids, np.int64), sizes)), pa.array(np.repeat(np.array(tags, np.int64), sizes)), pa.array(whole(0)), pa.array(whole(1)), pa.array(whole(2)),
+            pa.array([d for x in parts for d in x[3]], pa.binary()), pa.array(grams, mask=none), pa.array(passages.astype(np.int32), mask=bare),
+        ],
+        names=["doc_id", "tag", "unit", "start", "end", "digest", "gram", "passages"],
+    )
+
+
+def _pieces_and_blocks(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
+        for b in batches:
+            ids, tags, parts = [], [], []
+            for i, tag, t in zip(*(b.column(c).to_pylist() for c in ("doc_id", "tag", "text")), strict=True):
+                if not t or t.isspace():
+                    continue
+                starts, ends = places(t)
+                if found := units(t, min_words):
+                    s, e, d = zip(*found, strict=True)
+                    ids.append(i)
+                    tags.append(tag)
+                    parts.append((np.searchsorted(starts, s), s, e, d, None, None))
+                words = known.array(t.lower())
+                first, n, gram = blocks(words)
+                if len(first):
+                    last, held = first + n + LENGTH - 1, words.tobytes()
+                    d = [xxhash.xxh3_128_digest(held[x:y]) for x, y in zip((8 * first).tolist(), (8 * last).tolist(), strict=True)]
+                    ids.append(i)
+                    tags.append(tag)
+                    parts.append((first, starts[first], ends[last - 1], d, gram, n))
+            yield _batch(ids, tags, parts)
+
+    return run
+
+
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The passages of the blocks in ``parts``, one by one."""
+    known = _Words()
+    for b in batches:
+        ids, tags, out = [], [], []
+        for i, tag, t, parts in zip(*(b.column(c).to_pylist() for c in ("doc_id", "tag", "text", "parts")), strict=True):
+            held = known.array(t.lower()).tobytes()
+            starts, ends = places(t)
+            at = np.unique(np.concatenate([np.arange(x["unit"], x["unit"] + x["passages"]) for x in parts]))
+            d = [xxhash.xxh3_128_digest(held[x : x + 8 * LENGTH]) for x in (8 * at).tolist()]
+            ids.append(i)
+            tags.append(tag)
+            out.append((at, starts[at], ends[at + LENGTH - 1], d, None, np.ones(len(at), np.int64)))
+        yield _batch(ids, tags, out)
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks and passages of a document that continue each other here and at their first places, as one row."""
+    for b in batches:
+        out: list[tuple] = []
+        for i, tag, parts in zip(*(b.column(c).to_pylist() for c in ("doc_id", "tag", "parts")), strict=True):
+            row, lead, upto = None, None, -1
+            for x in sorted(parts, key=lambda x: (x["first_doc_id"], x["first_tag"], x["unit"] - x["first_unit"], x["unit"])):
+                key = (x["first_doc_id"], x["first_tag"], x["unit"] - x["first_unit"])
+                if key != lead or x["unit"] > upto:
+                    row, lead, upto = [i, tag, x["unit"], x["start"], x["end"], x["first_doc_id"], x["first_unit"]], key, -1
+                    out.append(row)
+                row[4] = max(row[4], x["end"])
+                upto = max(upto, x["unit"] + x["passages"] + LENGTH - 1)
+        columns = list(zip(*out, strict=True)) or [()] * 7
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+        names = ["doc_id", "tag", "unit", "start", "end", "first_doc_id", "first_unit"]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+
+def _meet(found: DataFrame, key: str, some: DataFrame, columns: list[str]) -> DataFrame:
+    """``found`` with ``columns`` of the row of ``some`` that has its key; ``some.common`` says which are broadcast."""
+    common = some.where("common").select(F.col(key).alias("__key"), *[F.col(c).alias(f"__{c}") for c in columns])
+    held = found.join(F.broadcast(common), F.col(key) == F.col("__key"), "left")
+    near = held.where("__key is not null").select(*found.columns, *[F.col(f"__{c}").alias(c) for c in columns])
+    far = found.join(F.broadcast(common.select("__key")), F.col(key) == F.col("__key"), "left_anti")
+    return near.unionByName(far.join(some.where("not common").select(key, *columns), key).select(*found.columns, *columns))
+
+
+def _after_first(found: DataFrame, total: int) -> DataFrame:
+    """Rows of ``found`` that an earlier one equals, with its place and whether they lie clear of it; common
+    digests as in ``_later``."""
+    share = 4 * shuffle_width(found.sparkSession)
+    at = F.struct("doc_id", "tag", "unit")
+    first = found.groupBy("digest").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n"))
+    first = cut(first.where("first < last").select("digest", "first", (F.col("n") * share > total).alias("common")))
+    same = (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.tag") == F.col("tag"))
+    apart = F.col("passages").isNull() | ~same | (F.col("unit") - F.col("first.unit") >= LENGTH)
+    return _meet(found, "digest", first, ["first"]).where(at > F.col("first")).select(
+        "doc_id", "tag", "unit", "start", "end", "passages", apart.alias("apart"),
+        F.col("first.doc_id").alias("first_doc_id"), F.col("first.tag").alias("first_tag"), F.col("first.unit").alias("first_unit"),
+    )
+
+
+def _everything(docs: DataFrame, min_words: int) -> DataFrame:
+    rows = texts(docs).where("doc_id is not null").withColumn("tag", F.xxhash64("text"))
+    share = 4 * shuffle_width(docs.sparkSession)
+    found = cut(rows.mapInArrow(_pieces_and_blocks(min_words), _FOUND))
+    total = found.count()
+    later = cut(_after_first(found, total))
+
+    # Blocks that share their least words with a different one: the first of each kind, in passages, and
+    # those that overlap the first of their kind, whose passages may have an earlier place in another kind.
+    held = found.where("passages is not null")
+    mixed = held.groupBy("gram").agg(F.min("digest").alias("a"), F.max("digest").alias("b"), F.count("*").alias("n"))
+    mixed = cut(mixed.where("a < b").select("gram", (F.col("n") * share > total).alias("common")))
+    kinds = _meet(held, "gram", mixed, []).groupBy("digest").agg(F.min(F.struct("doc_id", "tag", "unit", "passages")).alias("x")).select("x.*")
+    kinds = kinds.unionByName(later.where("passages is not null and not apart").select("doc_id", "tag", "unit", "passages"))
+    by_doc = kinds.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("unit", "passages")).alias("parts"))
+    apart = cut(rows.join(by_doc, ["doc_id", "tag"]).dropDuplicates(["doc_id", "tag"]).select("doc_id", "tag", "text", "parts").mapInArrow(_passages, _FOUND))
+    single = _after_first(apart, apart.count())
+
+    whole = later.where("passages is not null").unionByName(single).where("apart")
+    whole = whole.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("unit", "passages", "start", "end", "first_doc_id", "first_tag", "first_unit")).alias("parts"))
+    whole = whole.mapInArrow(_stretches, "doc_id long, tag long, unit int, start int, end int, first_doc_id long, first_unit int")
+    return later.where("passages is null").drop("passages", "apart", "first_tag").unionByName(whole)
+
+
+def everything(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, unit, start, end, first_doc_id, first_unit of every unit that an earlier one equals and every
+    stretch of words that passages of ``LENGTH`` words from earlier places cover.
+
+    ``unit`` and ``first_unit`` are the numbers of the first word here and there. Rows may overlap.
+    """
+    return _everything(docs, min_words).drop("tag")
+
+
 def remove(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without the spans, each of which lies in one line; a line that held nothing else goes."""
     out, at, spans = [], 0, sorted(spans)

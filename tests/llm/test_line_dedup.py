@@ -1,5 +1,6 @@
-from credence.llm.line_dedup import deduplicate, remove, repeats, units
-from tests.llm.conftest import prose
+from credence.llm.line_dedup import deduplicate, everything, remove, repeats, units
+from credence.llm.queries import op3_line_dedup
+from tests.llm.conftest import ODD, prose
 
 PASSAGE = prose(77, 63).replace("go", "Go")
 
@@ -61,3 +62,52 @@ def test_odd_rows(odd, empty):
     ten = next(r for r in rows if r.doc_id == 10)
     assert ten.n_chars == len(ten.text) < len(prose(10, 80)) + 40
     assert repeats(empty).count() == 0 and deduplicate(empty).count() == 0
+
+
+def words_in_passages(docs, length=50):
+    """(doc_id, number of the word) of each word in a passage that stands at an earlier place, by a table of all passages."""
+    seen, out = {}, set()
+    for i, t in sorted({d for d in docs if d[0] is not None and d[1]}):
+        w = t.lower().split()
+        for p in range(len(w) - length + 1):
+            j, q = seen.setdefault(tuple(w[p : p + length]), (i, p))
+            if j != i or p - q >= length:
+                out |= {(i, x) for x in range(p, p + length)}
+    return out
+
+
+def words_in_rows(docs, rows):
+    texts = dict(docs)
+    out = set()
+    for r in rows:
+        before = len(texts[r["doc_id"]][: r["start"]].split())
+        out |= {(r["doc_id"], before + k) for k in range(len(texts[r["doc_id"]][r["start"] : r["end"]].split()))}
+    return out
+
+
+def test_query_finds_passages_that_start_and_end_inside_sentences(spark, tmp_path):
+    plain = prose(500, 75).replace(".", "")
+    near = prose(501, 200).split()
+    docs = [(i, prose(i, 20 + i) + " x" + str(i) + " " + plain + " y" + str(i) + " " + prose(50 + i, 30)) for i in range(1, 6)]
+    docs += [(10, " ".join(near)), (11, " ".join([*near[:90], "other", *near[91:]])), (12, " ".join(near[20:69])), (13, " ".join(near[100:150]))]
+    docs += [(20, "Er " * 300), (21, prose(21, 40) + "\n" + " ".join(plain.split()[3:60]) + "\n" + prose(22, 20)), (22, prose(60, 10))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = op3_line_dedup(spark, str(tmp_path)).collect()
+    got, want = words_in_rows(docs, rows), words_in_passages(docs)
+    assert want <= got
+    # The words of the copied part and no other ones, wherever no sentence repeats.
+    for i in (2, 3, 4, 5, 20, 21, 22):
+        assert {w for d, w in got if d == i} == {w for d, w in want if d == i}
+    at = len(docs[1][1].split("x2")[0].split()) + 1
+    assert {w for d, w in got if d == 2} == set(range(at, at + 75))
+    assert [(r.unit, r.first_doc_id, r.first_unit) for r in rows if r.doc_id == 2] == [(at, 1, at - 1)]
+    assert not {d for d, _ in got} & {1, 10, 22}
+
+
+def test_query_takes_odd_rows(odd, empty, spark, tmp_path):
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = op3_line_dedup(spark, str(tmp_path))
+    assert rows.columns == ["doc_id", "unit", "start", "end", "first_doc_id", "first_unit"]
+    docs = [(i, t) for i, t in ODD if i is not None and t]
+    assert words_in_passages(docs) <= words_in_rows(docs, rows.collect())
+    assert everything(empty).count() == 0
