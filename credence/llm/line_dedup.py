@@ -7,7 +7,7 @@ digests meet in one aggregation that keeps the least (doc_id, unit): the earlies
 All others go, with the offsets that they had in the text. What is left of a line at its end with fewer
 than ``MIN_WORDS`` words belongs to no unit and stays.
 
-``everything`` finds besides these every passage of ``LENGTH`` words that stands at an earlier place,
+``everything`` takes each line as a unit too, however short, and finds every passage of ``LENGTH`` words that stands at an earlier place,
 wherever it starts and ends. Passages are grouped into blocks: those in a row that share the position
 whose ``GRAM`` words have the least hash among the positions in the passage. Blocks are digested and meet
 like units. A passage that two different blocks share has the same least words in both; so of blocks that
@@ -118,6 +118,21 @@ def places(text: str) -> tuple[np.ndarray, np.ndarray]:
     return turns[::2], turns[1::2]
 
 
+def whole_lines(text: str, found: list[tuple[int, int, bytes]]) -> list[tuple[int, int, bytes]]:
+    """(start, end, digest) of each line that holds anything and is not one of ``found``, the text's units."""
+    out, at, k = [], 0, 0
+    for line in text.split("\n"):
+        first, end = k, at + len(line)
+        while k < len(found) and found[k][1] <= end:
+            k += 1
+        if line and not line.isspace() and not (k == first + 1 and not text[found[first][1] : end].strip()):
+            words = " ".join(line.split()).lower()
+            norm = _EDGE.sub("", words) or words
+            out.append((at, end, xxhash.xxh3_128_digest(norm.encode("utf-8", "surrogatepass"))))
+        at = end + 1
+    return out
+
+
 def blocks(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Number of the first word, number of passages and hash of the least words of each block of hashed words."""
     n = len(words) - LENGTH + 1
@@ -163,11 +178,11 @@ def _pieces_and_blocks(min_words: int):
                 if not t or t.isspace():
                     continue
                 starts, ends = places(t)
-                if found := units(t, min_words):
-                    s, e, d = zip(*found, strict=True)
-                    ids.append(i)
-                    tags.append(tag)
-                    parts.append((np.searchsorted(starts, s), s, e, d, None, None))
+                found = units(t, min_words)
+                s, e, d = zip(*found, *whole_lines(t, found), strict=True)
+                ids.append(i)
+                tags.append(tag)
+                parts.append((np.searchsorted(starts, s), s, e, d, None, None))
                 words = known.array(t.lower())
                 first, n, gram = blocks(words)
                 if len(first):
@@ -265,8 +280,8 @@ def _everything(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def everything(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, unit, start, end, first_doc_id, first_unit of every unit that an earlier one equals and every
-    stretch of words that passages of ``LENGTH`` words from earlier places cover.
+    """doc_id, unit, start, end, first_doc_id, first_unit of every unit or line that an earlier one equals and
+    every stretch of words that passages of ``LENGTH`` words from earlier places cover.
 
     ``unit`` and ``first_unit`` are the numbers of the first word here and there. Rows may overlap.
     """

@@ -111,3 +111,18 @@ def test_query_takes_odd_rows(odd, empty, spark, tmp_path):
     docs = [(i, t) for i, t in ODD if i is not None and t]
     assert words_in_passages(docs) <= words_in_rows(docs, rows.collect())
     assert everything(empty).count() == 0
+
+
+def test_query_finds_lines_of_any_length(spark, tmp_path):
+    docs = [
+        (1, "All rights reserved.\n" + prose(1, 12) + "\n\n全部の権利を保有します。次の文。\n---\nOf, edti oner."),
+        (2, prose(2, 12) + " Tail of it\n  all  rights RESERVED \n***\n全部の権利を保有します。次の文。"),
+        (3, "---\nof, edti oner\nAll rights"), (4, prose(2, 12) + " Tail of it\n" + prose(3, 9)),
+    ]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    texts = dict(docs)
+    got = {(r.doc_id, texts[r.doc_id][r.start : r.end].strip(), r.first_doc_id) for r in op3_line_dedup(spark, str(tmp_path)).collect()}
+    assert {g for g in got if g[0] != 4} == {
+        (2, "all  rights RESERVED", 1), (2, "全部の権利を保有します。次の文。", 1), (3, "---", 1), (3, "of, edti oner", 1),
+    }
+    assert (4, prose(2, 12) + " Tail of it", 2) in got
