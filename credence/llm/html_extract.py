@@ -9,6 +9,9 @@ between surge and dive are kept. On a marked article the threshold is one charac
 ``SURGE`` characters or half of the largest window, whichever is less, and a region that holds less than a
 fifth of the largest one's text is no article.
 
+Classes of <html>, <body> and <main> drop nothing, nor do those that tell of a layout ("has-sidebar"). Where
+all lines of a page weigh nothing by their surroundings, it is read again without regard to class words.
+
 A null or empty page has the empty text. Repeated rows give repeated results; further columns are ignored.
 """
 
@@ -61,16 +64,24 @@ _ASIDE_WORDS = {
 }
 #: The same, where they stand for the page's head only outside an article.
 _HEAD_WORDS = {"header", "head", "top", "meta", "byline", "toc"}
+#: Elements that hold the page or its main part, whatever their classes say of the rest.
+_HOLDERS = {"html", "body", "main"}
+#: Words beside which one of the above tells of the page's layout and names nothing.
+_LAYOUT_WORDS = {"has", "have", "no", "with", "without", "open", "closed", "enabled", "disabled"}
 #: Words of a class, id or role that name the article, the strongest first.
 _MAIN_WORDS = ({"articlebody"}, {"article", "post", "story", "entry"}, {"main", "content", "maincontent", "body"})
 
 
-def _aside(tag: str, attrs: str, in_main: bool) -> tuple[bool, int]:
-    """Whether an element is no article text; the strength with which it marks an article, 0 to 5."""
+def _aside(tag: str, attrs: str, in_main: bool, named: bool = True) -> tuple[bool, int]:
+    """Whether an element is no article text; the strength with which it marks an article, 0 to 5.
+
+    Unless ``named``, classes, ids and roles make nothing something else than the article.
+    """
     strength = {"article": 5, "main": 4}.get(tag, 0)
     aside = tag in _ASIDE and not (tag == "header" and in_main)
     if attrs:
         names: set[str] = set()
+        others: set[str] = set()
         for name, value in _ATTR.findall(attrs):
             name, value = name.lower(), value.strip("\"'")
             if name == "hidden" and value != "until-found" or name == "aria-hidden" and value.lower() == "true":
@@ -83,15 +94,20 @@ def _aside(tag: str, attrs: str, in_main: bool) -> tuple[bool, int]:
             elif name == "role" and value.lower() in ("main", "article"):
                 strength = max(strength, 4)
             elif name not in ("hidden", "aria-hidden"):
-                names.update(_WORDS.findall(_CAMEL.sub(r"\1 \2", value).lower()))
-        if names & _ASIDE_WORDS or not in_main and names & _HEAD_WORDS and tag not in ("html", "body", "article", "main"):
+                for token in value.split():
+                    words = set(_WORDS.findall(_CAMEL.sub(r"\1 \2", token).lower()))
+                    names |= words
+                    # An article is a comment or teaser only where a class says just that.
+                    if not words & _LAYOUT_WORDS and (tag != "article" or len(words) == 1):
+                        others |= words
+        if named and tag not in _HOLDERS and (others & _ASIDE_WORDS or not in_main and names & _HEAD_WORDS and tag != "article"):
             return True, 0
         if not strength and tag in ("div", "section", "td"):
             strength = next((3 - k for k, words in enumerate(_MAIN_WORDS) if names & words), 0)
     return aside, 0 if aside else strength
 
 
-def lines(html: str) -> list[tuple[str, bool, int, float]]:
+def lines(html: str, named: bool = True) -> list[tuple[str, bool, int, float]]:
     """(text, aside, strength of the strongest article mark around it, share of its text in links) of each block."""
     out: list[tuple[str, bool, int, float]] = []
     stack: list[tuple[str, bool, bool, int]] = []  # tag, gone, aside, strength
@@ -165,7 +181,7 @@ def lines(html: str) -> list[tuple[str, bool, int, float]]:
         if tag in ("body", "article", "main") and gone and any(x[0] == "head" for x in stack):
             del stack[next(k for k, x in enumerate(stack) if x[0] == "head") :]
             state()
-        is_aside, mark = _aside(tag, attrs, strength >= 3)
+        is_aside, mark = _aside(tag, attrs, strength >= 3, named)
         new = (tag, tag in _GONE, is_aside, mark)
         if not block and (is_aside or new[1]):
             flush()
@@ -200,7 +216,10 @@ def extract(html: str | None) -> str:
     """The main text: blocks in page order, joined by an empty line."""
     if not html:
         return ""
-    found = lines(html)
+    return _text(lines(html)) or _text(lines(html, named=False))
+
+
+def _text(found: list[tuple[str, bool, int, float]]) -> str:
     best = max((s for _, aside, s, _ in found if not aside), default=0)
     if best:
         weights = [len(t) if not aside and s >= best else 0 for t, aside, s, _ in found]

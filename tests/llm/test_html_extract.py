@@ -60,3 +60,22 @@ def test_rows(spark):
     found = sorted((r.page_id or 0, r.text, r.n_chars) for r in got.collect())
     assert [f[0] for f in found] == [0, 1, 1, 2] and found[3][1:] == ("", 0) and found[1][2] == len(extract(PAGE))
     assert extract_pages(spark.createDataFrame([], schema)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "start, end",
+    [
+        ('<body class="single has-sidebar"><p>', "</p>"), ('<body class="no-sidebar"><article><p>', "</p></article>"), ('<html class="menu"><body class="search"><p>', "</p>"),
+        ('<body><div id="content" class="with-sidebar"><p>', "</p></div>"), ('<body><article class="post comment-open"><p>', "</p></article>"),
+        ('<body><main class="widget"><p>', "</p></main>"), ('<body><div class="page widget"><p>', "</p></div>"),
+    ],
+)
+def test_class_words_around_the_whole_article_drop_nothing(start, end):
+    text = "The whole article stands here, with a good many words in it, and none of them goes."
+    assert extract(f"{start}{text}{end}") == text
+    assert extract(f'<body><article><p>{text}</p></article><article class="comment"><p>I disagree.</p></article>') == text
+
+
+def test_class_words_are_ignored_where_nothing_else_has_weight():
+    text = "The whole article stands here, with a good many words in it, and none of them goes."
+    assert extract(f'<body><p><a href=x>Home page</a></p><div class="page widget"><p>{text}</p></div>') == text
