@@ -3,7 +3,7 @@
 Markup is stripped into lines, one for each block element. A line's weight is the length of its text, or
 zero where its surroundings say that it is no article text: menus, headers, footers, sidebars, notices,
 adverts, forms, reader comments, and runs of links. Where the page marks an article, lines outside it
-weigh nothing either. Over the weights runs a sliding window of ``WINDOW`` lines. Text surges at the first
+weigh nothing either; of several kinds of marks the one whose containers hold most text counts. Over the weights runs a sliding window of ``WINDOW`` lines. Text surges at the first
 line whose window reaches the threshold, and dives where the window has fallen to zero; the weighted lines
 between surge and dive are kept. On a marked article the threshold is one character; elsewhere it is
 ``SURGE`` characters or half of the largest window, whichever is less, and a region that holds less than a
@@ -107,12 +107,13 @@ def _aside(tag: str, attrs: str, in_main: bool, named: bool = True) -> tuple[boo
     return aside, 0 if aside else strength
 
 
-def lines(html: str, named: bool = True) -> list[tuple[str, bool, int, float]]:
-    """(text, aside, strength of the strongest article mark around it, share of its text in links) of each block."""
-    out: list[tuple[str, bool, int, float]] = []
+def lines(html: str, named: bool = True) -> list[tuple[str, bool, frozenset[int], float]]:
+    """(text, aside, strengths of the article marks around it, share of its text in links) of each block."""
+    out: list[tuple[str, bool, frozenset[int], float]] = []
     stack: list[tuple[str, bool, bool, int]] = []  # tag, gone, aside, strength
     gone = aside = False
     strength = links = linked = 0
+    marks: frozenset[int] = frozenset()
     parts: list[str] = []
 
     def flush() -> None:
@@ -120,14 +121,15 @@ def lines(html: str, named: bool = True) -> list[tuple[str, bool, int, float]]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                out.append((text, aside, strength, min(1.0, linked / len(text))))
+                out.append((text, aside, marks, min(1.0, linked / len(text))))
             parts.clear()
         linked = 0
 
     def state() -> None:
-        nonlocal gone, aside, strength, links
+        nonlocal gone, aside, strength, links, marks
         gone, aside = any(x[1] for x in stack), any(x[2] for x in stack)
-        strength = max((x[3] for x in stack), default=0)
+        marks = frozenset(x[3] for x in stack if x[3])
+        strength = max(marks, default=0)
         links = sum(x[0] == "a" for x in stack)
 
     at, end = 0, len(html)
@@ -187,7 +189,8 @@ def lines(html: str, named: bool = True) -> list[tuple[str, bool, int, float]]:
             flush()
         stack.append(new)
         gone, aside = gone or new[1], aside or is_aside
-        strength = max(strength, mark)
+        if mark and mark not in marks:
+            marks, strength = marks | {mark}, max(strength, mark)
         links += tag == "a"
     flush()
     return out
@@ -219,10 +222,28 @@ def extract(html: str | None) -> str:
     return _text(lines(html)) or _text(lines(html, named=False))
 
 
-def _text(found: list[tuple[str, bool, int, float]]) -> str:
-    best = max((s for _, aside, s, _ in found if not aside), default=0)
-    if best:
-        weights = [len(t) if not aside and s >= best else 0 for t, aside, s, _ in found]
+def _marked(found: list[tuple[str, bool, frozenset[int], float]]) -> list[bool]:
+    """Which lines stand in the article's containers; none where nothing is marked.
+
+    The mark whose containers hold most text, of equal ones the strongest; inside it a stronger mark whose
+    containers hold at least half of that text.
+    """
+    mass: dict[int, int] = {}
+    for t, aside, marks, _ in found:
+        for s in marks if not aside else ():
+            mass[s] = mass.get(s, 0) + len(t)
+    if not mass:
+        return [False] * len(found)
+    most = max(mass, key=lambda s: (mass[s], s))
+    inside = {s: sum(len(t) for t, aside, marks, _ in found if not aside and {s, most} <= marks) for s in mass}
+    best = max(s for s in mass if s >= most and 2 * inside[s] >= mass[most])
+    return [not aside and {most, best} <= marks for _, aside, marks, _ in found]
+
+
+def _text(found: list[tuple[str, bool, frozenset[int], float]]) -> str:
+    marked = _marked(found)
+    if any(marked):
+        weights = [len(x[0]) if m else 0 for x, m in zip(found, marked, strict=True)]
         keep = regions(weights, 1)
     else:
         weights = [len(t) if not aside and link <= 0.5 else 0 for t, aside, _, link in found]

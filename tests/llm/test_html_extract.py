@@ -79,3 +79,16 @@ def test_class_words_around_the_whole_article_drop_nothing(start, end):
 def test_class_words_are_ignored_where_nothing_else_has_weight():
     text = "The whole article stands here, with a good many words in it, and none of them goes."
     assert extract(f'<body><p><a href=x>Home page</a></p><div class="page widget"><p>{text}</p></div>') == text
+
+
+def test_article_is_the_container_with_most_text_not_the_strongest_mark():
+    body = "\n\n".join(f"Paragraph {i} of the article, which is long enough to weigh more than a card." for i in range(5))
+    inner = "".join(f"<p>{p}</p>" for p in body.split("\n\n"))
+    card = "<article><h3>Another story</h3><p>Read it.</p></article>"
+    for start, end in (("<main>", "</main>"), ("<div class=content>", "</div>"), ("<div class=article>", "</div>")):
+        assert extract(f"<body>{start}{inner}{end}{card}</body>") == body
+        assert extract(f"<body><div>{card}</div>{start}{inner}{end}</body>") == body
+    assert extract(f"<body><div class=article>{inner}</div><main><p>Short.</p></main></body>") == body
+    # A stronger mark inside a weaker one still narrows it, and one that is but a part of it loses nothing.
+    assert extract(f"<body><main><p>Site news</p><article>{inner}</article></main></body>") == body
+    assert extract(f"<body><main>{inner}{card}</main></body>") == body + "\n\nAnother story\n\nRead it."
