@@ -3,11 +3,12 @@
 Markup is stripped into lines, one for each block element. A line's weight is the length of its text, or
 zero where its surroundings say that it is no article text: menus, headers, footers, sidebars, notices,
 adverts, forms, reader comments, and runs of links. Where the page marks an article, lines outside it
-weigh nothing either; of several kinds of marks the one whose containers hold most text counts. Over the weights runs a sliding window of ``WINDOW`` lines. Text surges at the first
-line whose window reaches the threshold, and dives where the window has fallen to zero; the weighted lines
-between surge and dive are kept. On a marked article the threshold is one character; elsewhere it is
-``SURGE`` characters or half of the largest window, whichever is less, and a region that holds less than a
-fifth of the largest one's text is no article.
+weigh nothing either; of several kinds of marks the one whose containers hold most text counts. Over the
+weights runs a sliding window of ``WINDOW`` lines. Text surges at the first line whose window reaches the
+threshold, and dives where the window has fallen to zero; the weighted lines between surge and dive are
+kept. On a marked article the threshold is one character; elsewhere it is ``SURGE`` characters or half of
+the largest window, whichever is less, and since regions are parted by lines without weight alone (an
+advert, a list of links, a notice), all lines with weight after the first surge are kept, short ones too.
 
 Classes of <html>, <body> and <main> drop nothing, nor do those that tell of a layout ("has-sidebar"). Where
 all lines of a page weigh nothing by their surroundings, it is read again without regard to class words.
@@ -250,9 +251,8 @@ def _text(found: list[tuple[str, bool, frozenset[int], float]]) -> str:
         if not any(weights):
             return ""
         largest = max(sum(weights[i : i + WINDOW]) for i in range(len(weights)))
-        keep = regions(weights, max(1, min(SURGE, largest // 2)))
-        size = [sum(weights[a:b]) for a, b in keep]
-        keep = [r for r, n in zip(keep, size, strict=True) if 5 * n >= max(size)]
+        # Only lines without weight part the regions: what follows the first surge is one article.
+        keep = [(a, len(weights)) for a, _ in regions(weights, max(1, min(SURGE, largest // 2)))[:1]]
     return "\n\n".join(found[i][0] for a, b in keep for i in range(a, b) if weights[i])
 
 

@@ -92,3 +92,13 @@ def test_article_is_the_container_with_most_text_not_the_strongest_mark():
     # A stronger mark inside a weaker one still narrows it, and one that is but a part of it loses nothing.
     assert extract(f"<body><main><p>Site news</p><article>{inner}</article></main></body>") == body
     assert extract(f"<body><main>{inner}{card}</main></body>") == body + "\n\nAnother story\n\nRead it."
+
+
+def test_paragraphs_after_an_advert_in_an_unmarked_article_stay():
+    body = [f"Paragraph {i} of a long article, with enough words in it to be a surge of its own on any page." for i in range(20)]
+    advert = "<div class=ad><p>Buy</p><p>this</p><p>now</p><p>please</p></div>"
+    links = "".join(f"<p><a href=/{i}>Another page {i}</a></p>" for i in range(4))
+    last = ["A last one, short of a fifth of the others.", "The end."]
+    for between in (advert, links):
+        page = "".join(f"<p>{p}</p>" for p in body) + between + f"<p>{last[0]}</p>" + between + f"<p>{last[1]}</p>"
+        assert extract(f"<body><div>{page}</div></body>") == "\n\n".join(body + last)
