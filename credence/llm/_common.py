@@ -31,14 +31,45 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN[0]
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder that holds what ``cut`` writes for this application."""
+    return f"{shared_dir(spark)}/credence-{spark.sparkContext.applicationId}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back: a short lineage that outlives executors."""
+    """``df`` written once as Parquet in the shared folder and read back: a short lineage that outlives executors.
+
+    The files stay until ``clean``, since frames that read them may still be run.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/credence-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Deletes all that ``cut`` wrote for this application; frames made before can't be run any more."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(scratch(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def meet(rows: DataFrame, keys: list[str], some: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows`` with ``columns`` of the row of ``some`` that has their keys; rows without one go.
+
+    ``some`` holds a key once. Its rows with ``common`` are broadcast, so that the many rows of a common key
+    stay in the tasks where they lie; whoever sets ``common`` bounds how many there can be. The others meet
+    by a shuffle.
+    """
+    common = some.where("common").select(*[F.col(k).alias(f"__{k}") for k in keys], *[F.col(c).alias(f"__{c}") for c in columns])
+    same = [F.col(k) == F.col(f"__{k}") for k in keys]
+    held = rows.join(F.broadcast(common), same, "left")
+    hit = F.col(f"__{keys[0]}").isNotNull()
+    near = held.where(hit).select(*rows.columns, *[F.col(f"__{c}").alias(c) for c in columns])
+    far = held.where(~hit).select(*rows.columns).join(some.where("not common").select(*keys, *columns), keys)
+    return near.unionByName(far.select(*rows.columns, *columns))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

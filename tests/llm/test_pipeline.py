@@ -1,6 +1,7 @@
 import corpus_pipeline
-from credence.llm import decontam, line_dedup, packing, quality, simhash
+from credence.llm import decontam, packing, quality, simhash
 from credence.llm.queries import QUERIES
+from tests.llm.test_line_dedup import lost_words, without
 
 DIR = "/root/testdata/sf0.001"
 
@@ -31,15 +32,11 @@ def test_stages_in_order(spark):
 
     third = corpus_pipeline.substring_dedup_stage(spark, second, DIR)
     assert third.columns == columns
-    seen, want = set(), {}
-    for i, t in sorted((r.doc_id, r.text) for r in second.collect()):
-        gone = []
-        for s, e, h in line_dedup.units(t):
-            if h in seen:
-                gone.append((s, e))
-            seen.add(h)
-        rest = line_dedup.remove(t, gone)
-        if rest or not gone:
+    before = sorted((r.doc_id, r.text) for r in second.collect())
+    lost, want = lost_words(before), {}
+    for i, t in before:
+        rest = without(t, lost.get(i, set()))
+        if rest.strip() or not lost.get(i):
             want[i] = rest
     assert {r.doc_id: r.text for r in third.collect()} == want
 
