@@ -1,17 +1,22 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one for each block element. A line's weight is the length of its text, or
-zero where its surroundings say that it is no article text: menus, headers, footers, sidebars, notices,
-adverts, forms, reader comments, and runs of links. Where the page marks an article, lines outside it
-weigh nothing either; of several kinds of marks the one whose containers hold most text counts. Over the
-weights runs a sliding window of ``WINDOW`` lines. Text surges at the first line whose window reaches the
-threshold, and dives where the window has fallen to zero; the weighted lines between surge and dive are
-kept. On a marked article the threshold is one character; elsewhere it is ``SURGE`` characters or half of
-the largest window, whichever is less, and since regions are parted by lines without weight alone (an
-advert, a list of links, a notice), all lines with weight after the first surge are kept, short ones too.
-
-Classes of <html>, <body> and <main> drop nothing, nor do those that tell of a layout ("has-sidebar"). Where
-all lines of a page weigh nothing by their surroundings, it is read again without regard to class words.
+zero where its surroundings say that it is no article text (menus, headers, footers, sidebars, notices,
+adverts, forms, reader comments) or where most of it is links. Over the weights runs a sliding window of
+``WINDOW`` lines: text surges where a window reaches the threshold, and dives where a window has fallen to
+zero.
+
+Where the page marks an article, the lines of its containers are the lines looked at; of several kinds of
+marks the one whose containers hold most text counts. What a writer put there is text from the start, so it
+dives only at a whole window without weight, that is at ``WINDOW`` lines of links or more, all of which go,
+and surges again at the next line with weight; a lone line of links stays. A container without any weight
+is kept whole. On other pages the threshold is ``SURGE`` characters or half of the largest window, whichever
+is less, and since regions are parted by lines without weight alone, all lines with weight after the first
+surge are kept, short ones too.
+
+Classes of <html>, <body> and <main> drop nothing, nor do those that tell of a layout ("has-sidebar") or in
+which a word that could name a sidebar or the like stands beside words of another sense ("social-science").
+Where all lines of a page weigh nothing by their surroundings, it is read again without regard to class words.
 
 A null or empty page has the empty text. Repeated rows give repeated results; further columns are ignored.
 """
@@ -65,6 +70,13 @@ _ASIDE_WORDS = {
 }
 #: The same, where they stand for the page's head only outside an article.
 _HEAD_WORDS = {"header", "head", "top", "meta", "byline", "toc"}
+#: Words that tell of a part's shape or place and leave the sense of the word beside them as it is.
+_SHAPE_WORDS = {
+    "area", "bar", "bars", "bg", "block", "blocks", "body", "bottom", "box", "btn", "button", "buttons", "card", "cards", "center", "col", "column",
+    "container", "content", "fixed", "form", "frame", "global", "grid", "group", "holder", "icon", "icons", "inner", "item", "items", "js", "large", "left", "link",
+    "links", "list", "main", "mobile", "outer", "page", "pane", "panel", "post", "posts", "article", "articles", "primary", "right", "row", "secondary", "section", "site", "slot",
+    "small", "stories", "sticky", "text", "title", "top", "unit", "view", "widget", "wrap", "wrapper", "zone", "header", "head", "meta", "media", "page", "user", "story", "thread",
+}
 #: Elements that hold the page or its main part, whatever their classes say of the rest.
 _HOLDERS = {"html", "body", "main"}
 #: Words beside which one of the above tells of the page's layout and names nothing.
@@ -99,7 +111,9 @@ def _aside(tag: str, attrs: str, in_main: bool, named: bool = True) -> tuple[boo
                     words = set(_WORDS.findall(_CAMEL.sub(r"\1 \2", token).lower()))
                     names |= words
                     # An article is a comment or teaser only where a class says just that.
-                    if not words & _LAYOUT_WORDS and (tag != "article" or len(words) == 1):
+                    if words & _LAYOUT_WORDS or tag == "article" and len(words) > 1:
+                        continue
+                    if all(w in _ASIDE_WORDS or w in _SHAPE_WORDS or w in _HEAD_WORDS or w.isdigit() or len(w) < 3 for w in words):
                         others |= words
         if named and tag not in _HOLDERS and (others & _ASIDE_WORDS or not in_main and names & _HEAD_WORDS and tag != "article"):
             return True, 0
@@ -216,6 +230,17 @@ def regions(weights: list[int], threshold: int, window: int = WINDOW) -> list[tu
     return out
 
 
+def dives(weights: list[int], window: int = WINDOW) -> list[bool]:
+    """Whether each line lies in a whole window without weight; none does where nothing has weight."""
+    w = np.array(weights, dtype=np.int64)
+    out = np.zeros(len(w), dtype=bool)
+    if w.any() and len(w) >= window:
+        total = np.concatenate([[0], np.cumsum(w)])
+        for i in np.flatnonzero(total[window:] == total[:-window]).tolist():
+            out[i : i + window] = True
+    return out.tolist()
+
+
 def extract(html: str | None) -> str:
     """The main text: blocks in page order, joined by an empty line."""
     if not html:
@@ -244,15 +269,15 @@ def _marked(found: list[tuple[str, bool, frozenset[int], float]]) -> list[bool]:
 def _text(found: list[tuple[str, bool, frozenset[int], float]]) -> str:
     marked = _marked(found)
     if any(marked):
-        weights = [len(x[0]) if m else 0 for x, m in zip(found, marked, strict=True)]
-        keep = regions(weights, 1)
-    else:
-        weights = [len(t) if not aside and link <= 0.5 else 0 for t, aside, _, link in found]
-        if not any(weights):
-            return ""
-        largest = max(sum(weights[i : i + WINDOW]) for i in range(len(weights)))
-        # Only lines without weight part the regions: what follows the first surge is one article.
-        keep = [(a, len(weights)) for a, _ in regions(weights, max(1, min(SURGE, largest // 2)))[:1]]
+        own = [x for x, m in zip(found, marked, strict=True) if m]
+        gone = dives([len(t) if link <= 0.5 else 0 for t, _, _, link in own])
+        return "\n\n".join(x[0] for x, g in zip(own, gone, strict=True) if not g)
+    weights = [len(t) if not aside and link <= 0.5 else 0 for t, aside, _, link in found]
+    if not any(weights):
+        return ""
+    largest = max(sum(weights[i : i + WINDOW]) for i in range(len(weights)))
+    # Only lines without weight part the regions: what follows the first surge is one article.
+    keep = [(a, len(weights)) for a, _ in regions(weights, max(1, min(SURGE, largest // 2)))[:1]]
     return "\n\n".join(found[i][0] for a, b in keep for i in range(a, b) if weights[i])
 
 

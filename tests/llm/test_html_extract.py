@@ -1,6 +1,8 @@
+import random
+
 import pytest
 
-from credence.llm.html_extract import extract, extract_pages, lines, regions
+from credence.llm.html_extract import dives, extract, extract_pages, lines, regions
 
 PAGE = (
     '<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>T &amp; U</title><style>p{margin:0}</style><script>var t="</p>";</script></head><body>'
@@ -102,3 +104,49 @@ def test_paragraphs_after_an_advert_in_an_unmarked_article_stay():
     for between in (advert, links):
         page = "".join(f"<p>{p}</p>" for p in body) + between + f"<p>{last[0]}</p>" + between + f"<p>{last[1]}</p>"
         assert extract(f"<body><div>{page}</div></body>") == "\n\n".join(body + last)
+
+
+def brute_dives(weights, window=3):
+    """Lines in a whole window of lines without weight."""
+    inside = set()
+    for i in range(len(weights) - window + 1):
+        if not any(weights[i : i + window]):
+            inside |= set(range(i, i + window))
+    return [k in inside and any(weights) for k in range(len(weights))]
+
+
+def brute_regions(weights, threshold, window=3):
+    """Surge: first line with weight whose window reaches the threshold. Dive: next line whose window is empty."""
+    out, i, n = [], 0, len(weights)
+    while i < n:
+        if weights[i] and sum(weights[i : i + window]) >= threshold:
+            end = next((j for j in range(i + 1, n) if not sum(weights[j : j + window])), n)
+            out.append((i, end))
+            i = end + 1
+        else:
+            i += 1
+    return out
+
+
+def test_surges_and_dives_equal_brute_force():
+    rng = random.Random(2)
+    for _ in range(400):
+        weights = [rng.choice([0, 0, 0, 5, 40, 200]) for _ in range(rng.randint(0, 25))]
+        assert dives(weights) == brute_dives(weights)
+        for threshold in (1, 30, 210):
+            assert regions(weights, threshold) == brute_regions(weights, threshold)
+
+
+def test_windows_cut_runs_of_links_out_of_a_marked_article():
+    links = "".join(f"<p><a href=/{i}>Another story {i}</a></p>" for i in range(3))
+    page = f"<body><article><h1><a href=/>Headline</a></h1><p>One paragraph.</p><p><a href=/x>A lone link</a></p><p>Two.</p>{links}<p>Three.</p></article></body>"
+    assert extract(page) == "Headline\n\nOne paragraph.\n\nA lone link\n\nTwo.\n\nThree."
+    assert extract(page.replace(links, links[: len(links) // 3 * 2])).count("Another") == 2
+    assert extract(f"<body><article>{links}</article></body>").count("Another story") == 3
+
+
+def test_words_of_another_sense_beside_class_words_drop_nothing():
+    for tag in ('div class="social-science"', 'section id="search-for-life"', 'div class="menu-of-the-day-recipes"'):
+        assert extract(f"<body><article><p>Intro.</p><{tag}><p>The text.</p></{tag.split()[0]}></article></body>") == "Intro.\n\nThe text."
+    for name in ("share-buttons", "related-posts", "ad-slot-3", "cookie-banner", "newsletter-signup"):
+        assert extract(f'<body><article><p>Intro.</p><div class="{name}"><p>Not this.</p></div></article></body>') == "Intro."
