@@ -89,10 +89,11 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def label_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, per_class: int) -> DataFrame:
-    """(doc_id, text, y) of at most ``2 * per_class`` labelled rows outside the held-out fold.
+    """(doc_id, y, text) of at most ``2 * per_class`` labelled rows outside the held-out fold.
 
     ``per_class`` is the documented bound on what a classifier is fitted on: of either class the rows with
-    the smallest hash of their id. Ids that carry contradicting labels or none are left out.
+    the smallest hash of their id. Ids that carry contradicting labels or none are left out. Of several texts
+    of one id the least counts, so the order of rows does not matter.
     """
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
@@ -108,4 +109,4 @@ def label_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, held:
     ]
     # At most 2 * per_class rows of two numbers: a bound that makes the broadcast safe.
     bounded = F.broadcast(part[0].unionByName(part[1]))
-    return texts(docs).join(bounded, "doc_id")
+    return texts(docs).join(bounded, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))

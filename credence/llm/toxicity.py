@@ -30,9 +30,9 @@ from credence.llm._common import crc_mod, cut, label_sample, shuffle_width, text
 THRESHOLD = 0.3
 #: Labelled rows of either class that the fit may use.
 PER_CLASS = 5000
-#: Most lexicon entries; the least ratio of an entry's shares of toxic and of other documents; the least
-#: share of toxic documents that have it; the least log-likelihood ratio against chance.
-ENTRIES, LIFT, SHARE, CHANCE = 400, 6.0, 0.015, 30.0
+#: The least ratio of an entry's shares of toxic and of other documents; the least share of toxic documents
+#: that have it; the least log-likelihood ratio against chance. These alone decide what is in the lexicon.
+LIFT, SHARE, CHANCE = 6.0, 0.015, 30.0
 WINDOW = 8
 PREFIXES = range(3, 9)
 _CACHE = 300_000
@@ -210,8 +210,6 @@ def choose(counts: list[tuple[str, bool, int, int]], toxic: int, other: int) ->
     stems: dict[str, float] = {}
     taken: list[tuple[str, int, float]] = []
     for _, whole, _, term, t, lift in scored:
-        if len(taken) >= ENTRIES:
-            break
         # An entry that a chosen one already stands for adds nothing.
         if not whole and any(x.startswith(term) and n >= 0.8 * t for x, n, _ in taken):
             continue
@@ -239,7 +237,7 @@ def _entry_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def learn_lexicon(sample: DataFrame) -> Lexicon:
-    """From (text, y) rows. At most ten times ENTRIES candidates come to the driver."""
+    """From (text, y) rows. The entries that pass come to the driver: each is in SHARE of the toxic rows of the bounded sample."""
     size = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     toxic, other = size.get(1, 0), size.get(0, 0)
     counts = sample.select("text", "y").mapInArrow(_entry_counts, "term string, t long, n long")
@@ -250,15 +248,13 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
         .where(F.col("t") >= max(3.0, SHARE * toxic))
         .withColumn("lift", lift)
         .where(F.col("lift") >= float(np.log(LIFT)))
-        .orderBy(F.desc(F.col("t") * F.col("lift")), "term")
-        .limit(10 * ENTRIES)
         .collect()
     )
     return choose([(r["term"].removeprefix("="), r["term"].startswith("="), r["t"], r["n"]) for r in rows], toxic, other)
 
 
-def learn_clean(sample: DataFrame, lexicon: Lexicon, most: int = 10 * ENTRIES) -> set[str]:
-    """Words near a lexicon word that two or more documents that are not toxic have, the most common ``most``."""
+def learn_clean(sample: DataFrame, lexicon: Lexicon) -> set[str]:
+    """Words near a lexicon word that two or more documents of the bounded sample that are not toxic have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = lru_cache(_CACHE)(lexicon.match)
@@ -269,7 +265,7 @@ def learn_clean(sample: DataFrame, lexicon: Lexicon, most: int = 10 * ENTRIES) -
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
 
     words = sample.where("y = 0").select("text").mapInArrow(run, "word string, n long")
-    rows = words.groupBy("word").agg(F.sum("n").alias("n")).where("n >= 2").orderBy(F.desc("n"), "word").limit(most).collect()
+    rows = words.groupBy("word").agg(F.sum("n").alias("n")).where("n >= 2").collect()
     return {r["word"] for r in rows}
 
 
@@ -334,7 +330,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, mod: i
     count = {r["y"]: r["count"] for r in known.groupBy(F.col("toxic").cast("int").alias("y")).count().collect()}
     # Dealt to as many files as a shuffle has partitions: the bounded sample is small, but its words cost time.
     dealt = label_sample(docs, labels, "toxic", mod, held, per_class).repartition(shuffle_width(docs.sparkSession), "doc_id")
-    sample = cut(dealt.dropDuplicates(["doc_id"]))
+    sample = cut(dealt)
     lexicon = learn_lexicon(sample)
     lexicon.clean = learn_clean(sample, lexicon)
     rows = sample.mapInArrow(_feature_rows(lexicon), "doc_id long, y int, x array<double>").toPandas().sort_values("doc_id")

@@ -91,3 +91,32 @@ def test_held_out_labels_are_never_read(spark):
 def test_without_labels(spark, odd):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in T.classify(odd, none).collect()} == {0.0}
+
+
+def test_features_equal_a_plain_count():
+    """Densities, windows, quotes and terms of short texts, counted word by word."""
+    text = 'You stupid, stupid moron! He said "you are worthless" and that vilsters are pathetlc people ' + "calm " * 40
+    words = text.split()
+    kinds, weights, quoted, terms = [0, 0, 0], [], 0, set()
+    for i, w in enumerate(words):
+        plain = w.strip('",!.').lower()
+        near = [t for t in TERMS if distance(plain, t) <= T.Lexicon.edits(t)]
+        if plain in TERMS:
+            kind, weight, term = 0, 5.0, plain
+        elif plain.startswith("vilst"):
+            kind, weight, term = 2, 3.0, "vilst"
+        elif near:
+            kind, weight, term = 1, 5.0 * 0.8 ** distance(plain, near[0]), near[0]
+        else:
+            continue
+        kinds[kind] += 1
+        terms.add(term)
+        weights.append((i, weight))
+        opened = sum(x.count('"') for x in words[:i]) % 2 == 1 or w.startswith('"')
+        quoted += opened
+    n, per, total = len(words), 100 / len(words), sum(w for _, w in weights)
+    dense = max(sum(w for j, w in weights if i <= j <= i + 2 * T.WINDOW) for i, _ in weights)
+    want = [*(np.log1p(k * per) for k in kinds), np.log1p(total * per), np.log1p(dense), max(w for _, w in weights), np.log1p(len(weights)), np.log1p(len(terms))]
+    want += [quoted / len(weights), np.log1p((len(weights) - quoted) * per), 1.0, np.log1p(n)]
+    assert kinds == [4, 1, 1] and quoted == 1
+    assert np.allclose(T.Scanner(LEXICON).features(text), want)
