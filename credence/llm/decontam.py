@@ -10,34 +10,44 @@ and only pivots are scored.
 
 An item's threshold is the least score that a passage can have that holds ``OVERLAP`` of the item's
 ``GRAM``-word shingles: the item's score less the most impact that words can have which together stand in
-no more shingles than may be missing. Nothing that verification would accept is lost. A pair is verified if the passage holds OVERLAP of the item's shingles, and some of its
-question (all but the last sentence) and of its answer (the last sentence, if there are several).
+no more shingles than may be missing. Nothing that verification would accept is lost. A pair is verified if
+the passage holds OVERLAP of the item's shingles, and ``PART`` of the shingles of its question (all but the
+last sentence) and of the words of its answer (the last sentence, if there are several).
 
-Null and empty texts and items match nothing; items of fewer words than GRAM have one shingle. Equal items
-are reported each. Rows without a doc_id keep a null doc_id. Repeated rows give repeated results.
+The number of items, their mean and greatest length and the items that each word is in are counted over the
+whole benchmark. It is then indexed in parts of ``PART_ITEMS``, which bound what is sent to a worker and
+change nothing in the result: scores, passages and thresholds come from the counts of the whole.
+
+Null and empty texts and items match nothing. A text of fewer words than GRAM, item or document, has one
+shingle, all its words; so a short item is found where it is a whole document, and not inside longer ones.
+Equal items are reported each. Rows without a doc_id keep a null doc_id. Repeated rows give repeated results.
 Further columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm._common import texts
+from credence.llm._common import cut, texts
 
 PASSAGE = 128
 GRAM = 5
 OVERLAP = 0.8
 K1, B = 1.2, 0.75
 BLOCKS = 100
-#: Most items to one index. It is sent to every worker, so larger sets go through in parts of this size.
-INDEX_ITEMS = 20_000
+#: Least share of a question's shingles, and of an answer's words, that a passage with OVERLAP must hold.
+PART = 0.5
+#: Items to one part of the index; a part is sent to every worker.
+PART_ITEMS = 20_000
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"[.!?]+\s+|\n+")
 
@@ -80,10 +90,27 @@ def most_lost(impacts: list[float], spare: int) -> float:
     return top
 
 
+class Counts(NamedTuple):
+    """What BM25 takes of the whole benchmark: items with words, their mean and greatest length, items by word."""
+
+    items: int
+    mean: float
+    longest: int
+    df: dict[str, int]
+
+
+def counts_of(items: list[tuple[int, str]]) -> Counts:
+    """The counts of items that are the whole benchmark."""
+    words = [w for _, t in items if (w := words_of(t))]
+    df = Counter(t for w in words for t in set(w))
+    return Counts(len(words), sum(map(len, words)) / max(1, len(words)), max(map(len, words), default=0), dict(df))
+
+
 class Index:
-    """Postings by block, with the greatest impact of each term in each block."""
+    """Postings by block, with the greatest impact of each term in each block, of some items of a benchmark."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int, str]], counts: Counts | None = None) -> None:
+        counts = counts or counts_of(items)
         known = [(i, t, w) for i, t in items if (w := words_of(t))]
         known.sort(key=lambda x: (x[2], x[0]))  # alike items share a block
         self.ids = [i for i, _, _ in known]
@@ -95,15 +122,11 @@ class Index:
             cut = len(w) - len(tail) if 0 < len(tail) < len(w) else len(w)
             self.parts.append((shingles(w[:cut]), set(w[cut:])))
         n = len(known)
-        self.longest = max(map(len, self.words), default=0)
+        self.longest = counts.longest
         self.size = max(1, -(-n // BLOCKS))
         self.n_blocks = -(-n // self.size)
-        df: dict[str, int] = {}
-        for w in self.words:
-            for t in set(w):
-                df[t] = df.get(t, 0) + 1
-        self.term = {t: k for k, t in enumerate(sorted(df))}
-        mean = sum(map(len, self.words)) / max(1, n)
+        df, mean = counts.df, counts.mean
+        self.term = {t: k for k, t in enumerate(sorted(set().union(*self.words)))}
         self.best = np.zeros((len(self.term) + 1, self.n_blocks), dtype=np.float32)  # last row: unknown words
         self.postings: list[dict[int, list[tuple[int, float]]]] = [{} for _ in range(self.n_blocks)]
         self.least = np.zeros(n)
@@ -111,7 +134,7 @@ class Index:
             b, impacts = d // self.size, {}
             for t in sorted(set(w)):
                 tf = w.count(t)
-                idf = np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5))
+                idf = np.log(1 + (counts.items - df[t] + 0.5) / (df[t] + 0.5))
                 s = float(idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / mean)))
                 k = self.term[t]
                 self.postings[b].setdefault(k, []).append((d, s))
@@ -187,20 +210,17 @@ class Index:
             for d, score in (x for b in hot.tolist() for x in self.wand(b, terms.tolist())):
                 if grams is None:
                     inside = words[s:e]
-                    grams = {tuple(inside[i : i + GRAM]) for i in range(max(1, len(inside) - GRAM + 1))}
+                    # A short end of a longer document is no shingle of it.
+                    grams = shingles(inside) if e - s >= GRAM or e - s == n else set()
                     single = set(inside)
                 mine = self.shingles[d]
-                if len(self.words[d]) < GRAM:
-                    w = self.words[d]
-                    share = float(any(inside[i : i + len(w)] == w for i in range(len(inside) - len(w) + 1)))
-                else:
-                    share = len(mine & grams) / len(mine)
+                share = len(mine & grams) / len(mine)
                 if share < OVERLAP:
                     continue
                 question, answer = self.parts[d]
                 q = len(question & grams) / len(question) if question and len(next(iter(question))) == GRAM else 1.0
                 a = len(answer & single) / len(answer) if answer else 1.0
-                if q and a and (d not in best or (share, score) > (best[d][3], best[d][2])):
+                if q >= PART and a >= PART and (d not in best or (share, score) > (best[d][3], best[d][2])):
                     best[d] = (d, s, score, share, q, a)
         return [best[d] for d in sorted(best)]
 
@@ -224,29 +244,51 @@ _NAMES = ["doc_id", "item_id", "passage_start", "score", "overlap", "question_ov
 _SCHEMA = "doc_id long, item_id long, passage_start long, score double, overlap double, question_overlap double, answer_overlap double"
 
 
-def indexes(benchmark: DataFrame, most: int = INDEX_ITEMS) -> Iterator[Index]:
-    """The benchmark in indexes of at most ``most`` items."""
+def count_items(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, Counts]:
+    """(item_id, text) of the items with a text, (term, df) over all of them, and the other counts."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    n = items.count()
-    parts = max(1, -(-n // most))
-    dealt = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))) if parts > 1 else items.withColumn("part", F.lit(0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [words_of(t) for t in b.column("text").to_pylist()]
+            kind = pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(set(w)) for w in words], kind), pa.array(list(map(len, words)), pa.int64())], names=["terms", "n"])
+
+    sized = cut(items.select("text").mapInArrow(run, "terms array<string>, n long").where("n > 0"))
+    n, total, longest = sized.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    df = cut(sized.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")))
+    return items, df, Counts(n, total / max(1, n), longest, {})
+
+
+def indexes(benchmark: DataFrame, part_items: int = PART_ITEMS) -> Iterator[Index]:
+    """The benchmark in indexes of about ``part_items`` items; only one part is held at a time."""
+    items, df, counts = count_items(benchmark)
+    parts = max(1, -(-counts.items // part_items))
+    dealt = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
     for part in range(parts):
-        yield Index([(r["item_id"], r["text"]) for r in dealt.where(F.col("part") == part).collect()])
+        rows = [(r["item_id"], r["text"]) for r in dealt.where(F.col("part") == part).collect()]
+        mine = {t for _, text in rows for t in words_of(text)}
+        if parts == 1:
+            known = {r["term"]: r["df"] for r in df.collect()}
+        else:
+            own = df.sparkSession.createDataFrame([(t,) for t in sorted(mine)], "term string")
+            known = {r["term"]: r["df"] for r in df.join(own, "term", "left_semi").collect()} if mine else {}
+        yield Index(rows, counts._replace(df=known))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, most: int = INDEX_ITEMS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, part_items: int = PART_ITEMS) -> DataFrame:
     """One row for each document and test item that a passage of it holds."""
     spark = docs.sparkSession
     out = None
-    for index in indexes(benchmark, most):
+    for index in indexes(benchmark, part_items):
         found = texts(docs).mapInArrow(_matches(spark.sparkContext.broadcast(index)), _SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, most: int = INDEX_ITEMS) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, part_items: int = PART_ITEMS) -> DataFrame:
     """The rows of ``docs``, with all their columns, no passage of which holds a test item."""
-    for index in indexes(benchmark, most):
+    for index in indexes(benchmark, part_items):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,6 @@ import itertools
 import random
 
 import numpy as np
-import pytest
 
 from credence.llm import decontam as D
 from tests.llm.conftest import prose
@@ -14,15 +13,10 @@ def brute(docs, items):
     """Items that hold their share of shingles in some stretch of a document."""
     out = set()
     for i, t in docs:
-        w = D.words_of(t)
+        have = D.shingles(D.words_of(t))
         for d, text in items:
-            iw = D.words_of(text)
-            if not iw:
-                continue
-            want = D.shingles(iw)
-            size = len(iw) if len(iw) < D.GRAM else D.GRAM
-            have = {tuple(w[k : k + size]) for k in range(len(w) - size + 1)}
-            if len(want & have) >= D.OVERLAP * len(want) - 1e-9:
+            want = D.shingles(D.words_of(text))
+            if want and len(want & have) >= D.OVERLAP * len(want) - 1e-9:
                 out.add((i, d))
     return out
 
@@ -42,13 +36,25 @@ def corpus():
     return [*docs, (60, "a tiny item here"), (61, "no " * 30), (62, "Tiny, item.")]
 
 
-@pytest.mark.parametrize("most", [20_000, 5])
-def test_equals_brute_force(spark, most):
+def test_equals_brute_force_however_the_benchmark_is_parted(spark):
     docs = corpus()
     items = spark.createDataFrame([(i, t, 1.0) for i, t in ITEMS], "item_id long, text string, score double")
-    got = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items, most).collect()
-    assert {(r.doc_id, r.item_id) for r in got} == brute(docs, ITEMS)
-    assert all(r.overlap >= 0.8 and 0 < r.question_overlap <= 1 and 0 < r.answer_overlap <= 1 for r in got)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(map(tuple, D.contaminated(df, items).collect()))
+    assert {r[:2] for r in got} == brute(docs, ITEMS) and (62, 20) in {r[:2] for r in got} and 60 not in {r[0] for r in got}
+    assert all(r[4] >= 0.8 and 0.5 <= r[5] <= 1 and 0.5 <= r[6] <= 1 for r in got)
+    for part in (3, 7):
+        assert sorted(map(tuple, D.contaminated(df, items, part).collect())) == got
+    kept = {r.doc_id for r in D.drop_contaminated(df, items, 5).collect()}
+    assert kept == {i for i, _ in docs} - {r[0] for r in got}
+
+
+def test_question_and_answer_must_both_be_held(spark):
+    question, answer = prose(1, 40) + "?", "It was exactly here"
+    items = spark.createDataFrame([(1, question + " " + answer), (2, "yes"), (3, "no!")], "item_id long, text string")
+    docs = [(1, prose(5, 30) + " " + question + " " + prose(6, 30)), (2, f"x {question} {answer} y"), (3, "yes indeed it is so"), (4, "Yes!"), (5, "no " * 9)]
+    got = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items)
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(2, 1), (4, 2)]
 
 
 def test_wand_scores_what_reaches_its_threshold():
