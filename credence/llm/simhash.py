@@ -1,19 +1,22 @@
 """SimHash near-duplicates by an inverted index on byte positions with count filtering.
 
 A fingerprint is eight positional bytes. Two fingerprints that differ in at most three bits differ in at
-most three bytes, so they share at least five of the eight positional bytes: the guaranteed minimum. The
-index therefore keeps one posting list for each choice of five positions and their bytes (56 choices), in
-which a pair that reaches the minimum meets, and in which no pair below it does. Inside a list the shared
-bytes are counted by construction, and the bits that remain are verified.
+most three bytes, so they share at least five of the eight positional bytes: the guaranteed minimum. Lists
+of one positional byte hold a 256th of all rows or more, and a tally over their pairs grows with the square
+of the table. The index therefore keeps one posting list for each choice of five positions and their bytes
+(56 choices): a pair that reaches the minimum meets in some list, and no pair below it meets in any. Where
+pairs meet, their shared positional bytes are tallied, those with five or more are retained, and the bits
+that differ are counted to verify them.
 
 Copies are collapsed first: a fingerprint enters the index once, under its smallest doc_id. A list emits
 no pairs but a spanning forest of its links, so a list of m fingerprints emits fewer than m rows and no
 link is lost from the components. Lists are read as sorted runs; a run holds distinct fingerprints that
-share 40 bits, at most 2**24 of eight bytes.
+share 40 bits, at most 2**24 of eight bytes. Fingerprints of more than 1 / (4 x shuffle partitions) of all
+rows, fewer than 4 x shuffle partitions of them, meet their rows by a broadcast.
 
 Null and empty texts have no shingles and the fingerprint zero, linked like any other. Rows without a
-doc_id keep a null doc_id and take part in no link. Repeated rows give repeated results. Further columns
-are ignored.
+doc_id keep a null doc_id and take part in no link. Rows of one doc_id are one document: different texts of
+it link what either of them links. Repeated rows give repeated results. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm._common import cut, shuffle_width, texts
+from credence.llm._common import cut, meet, shuffle_width, texts
 from credence.llm.components import components
 
 WIDTH = 3
@@ -67,15 +70,17 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(votes * 2 > total, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint's bits as a signed long."""
+def fingerprints(docs: DataFrame, *marks: Column) -> DataFrame:
+    """(doc_id, fp) of every row, and further longs; fp is the fingerprint's bits as a signed long."""
+    names = ["doc_id", *[f"mark{k}" for k in range(len(marks))]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t) for t in b.column("text").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(fps.view(np.int64))], names=[*names, "fp"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[m.alias(n) for m, n in zip(marks, names[1:], strict=True)])
+    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "fp"]))
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,6 +120,18 @@ def _flips() -> np.ndarray:
     return np.array(masks, dtype=np.uint32)
 
 
+def shared_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The tally of a pair: how many of the eight positional bytes the fingerprints share."""
+    return ((a ^ b).view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+
+
+def _verified(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether pairs reach the guaranteed minimum of shared bytes and differ in few enough bits."""
+    out = shared_bytes(a, b) >= 8 - MAX_BITS
+    out[out] = np.bitwise_count(a[out] ^ b[out]) <= MAX_BITS
+    return out
+
+
 def _forest(rest: np.ndarray) -> list[tuple[int, int]]:
     """Links that span the components of the values at a distance of MAX_BITS or less.
 
@@ -162,7 +179,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
         two = starts[sizes == 2]
-        near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= MAX_BITS]
+        near = two[_verified(fp[two], fp[two + 1])]
         a, b = [rep[near]], [rep[near + 1]]
         for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
             pairs = _forest(_rest_bits(int(key[s]), fp[s : s + n]))
@@ -187,11 +204,13 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of ``docs``."""
-    spark = docs.sparkSession
-    known = cut(fingerprints(docs))
-    groups = cut(known.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
+def _labelled(known: DataFrame) -> DataFrame:
+    """The rows of ``known`` (doc_id, fp and more) that have a doc_id, with their component_id."""
+    spark = known.sparkSession
+    share = 4 * shuffle_width(spark)
+    named = known.where("doc_id is not null")
+    total = named.count()
+    groups = cut(named.groupBy("fp").agg(F.min("doc_id").alias("rep"), (F.count("*") * share > total).alias("common")))
     lists = (
         groups.mapInArrow(_postings, "key long, fp long, rep long")
         .repartition(shuffle_width(spark), "key")
@@ -200,17 +219,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = lists.mapInArrow(_links, "a long, b long").distinct()
     member = components(links)  # (node, component)
     labelled = groups.join(member, groups.rep == member.node, "left").select(
-        "fp", F.coalesce("component", "rep").alias("component_id")
+        "fp", "common", F.coalesce("component", "rep").alias("component_id")
     )
-    out = known.join(labelled, "fp", "left")
-    return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return meet(named, ["fp"], cut(labelled), ["component_id"])
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) of every row of ``docs``."""
+    known = cut(fingerprints(docs))
+    rest = known.where("doc_id is null").withColumn("component_id", F.lit(None).cast("long"))
+    return _labelled(known).unionByName(rest).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without all but the smallest doc_id of each component; rows without doc_id stay.
 
-    Of repeated rows of one doc_id one stays.
+    Of rows of one doc_id and fingerprint the one with the least hash of its text stays, of rows equal in
+    text that with the least hash of all columns (but nested ones), so the order of rows does not matter. If
+    that doc_id has texts of other fingerprints, one of each stays, and no text is lost to a different one.
     """
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    flat = [F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith(("map", "struct", "array", "variant"))]
+    tag, whole = F.xxhash64(F.col("text").cast("string")), F.xxhash64(*flat)
+    known = cut(fingerprints(docs, tag, whole))
+    least = F.min(F.struct("mark0", "mark1")).alias("least")
+    kept = _labelled(known).where("doc_id = component_id").groupBy("doc_id", "fp").agg(least).select(F.col("doc_id").alias("id"), "least.*").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("key"), tag.alias("tag"), whole.alias("whole")).where("key is not null")
+    met = rows.join(kept, (F.col("key") == F.col("id")) & (F.col("tag") == F.col("mark0")) & (F.col("whole") == F.col("mark1")), "left_semi")
+    named = met.dropDuplicates(["key", "tag", "whole"]).select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    return named.unionByName(docs.where("doc_id is null"))
