@@ -10,7 +10,9 @@ interval of the sorted array, and within it equal words at the left complete a p
 A passage counts as repeated if it stands in two documents, or twice in one without overlap.
 
 Sorted runs are read batch by batch. A run of more than ``HOT`` suffixes is not held: its passages are
-counted by an aggregation over their digests, which combines on the map side, with the same result.
+counted by an aggregation over their digests, which combines on the map side, with the same result. Words
+that begin more than 1 / (4 x shuffle partitions) of all suffixes, fewer than 4 x shuffle partitions of them,
+meet their suffixes by a broadcast.
 
 Null, empty and short texts repeat nothing. Equal rows count as one document. Rows without a doc_id take
 no part. Further columns are ignored.
@@ -22,47 +24,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from credence.llm._common import cut, shuffle_width, texts
+from credence.llm._common import cut, meet, shuffle_width, texts
+from credence.llm._words import grams as _grams
+from credence.llm._words import hashes
 
 LENGTH = 50
 GRAM = 8
 HOT = 200_000
-_CACHE = 200_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _PLACE = 22  # bits of a position inside a chunk
 
 
-class _Words(dict):
-    """64-bit hashes of words."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= _CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
-
-    def array(self, text: str | None) -> np.ndarray:
-        words = (text or "").split()
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
-def _grams(words: np.ndarray, gram: int) -> np.ndarray:
-    n = len(words) - gram + 1
-    h = np.zeros(n, dtype=np.uint64)
-    for j in range(gram):
-        h *= _PRIME
-        h += words[j : j + n]
-    h ^= h >> np.uint64(29)
-    h *= _MIX
-    h ^= h >> np.uint64(32)
-    return h
-
-
 def anchors(words: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """Minimiser positions and the hashes of their words; the leftmost of equal hashes in a stretch."""
     if len(words) < length:
@@ -87,11 +63,10 @@ def anchors(words: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[
 
 def _anchor_rows(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
         for b in batches:
             ids, tags, places, grams = [], [], [], []
             for i, tag, t in zip(*(b.column(c).to_pylist() for c in ("doc_id", "tag", "text")), strict=True):
-                at, h = anchors(known.array(t), length, gram)
+                at, h = anchors(hashes(t), length, gram)
                 if len(at):
                     ids.append(np.full(len(at), i, dtype=np.int64))
                     tags.append(np.full(len(at), tag, dtype=np.int64))
@@ -119,11 +94,10 @@ def _context_rows(length: int, gram: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
         for b in batches:
             out: list[list] = [[], [], [], [], [], [], []]
             for i, t, found in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "found")), strict=True):
-                words = (known.array(t) >> np.uint64(32)).astype(">u4")
+                words = (hashes(t) >> np.uint64(32)).astype(">u4")
                 back = np.ascontiguousarray(words[::-1])
                 n = len(words)
                 open_rows: dict[tuple, list[int]] = {}
@@ -260,14 +234,15 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, h
     rows = texts(docs).where("doc_id is not null").withColumn("tag", F.xxhash64("text"))
     found = cut(rows.mapInArrow(_anchor_rows(length, gram), "doc_id long, tag long, pos int, gram long"))
     place = F.struct("doc_id", "pos")
+    share, total = 4 * shuffle_width(spark), found.count()
     often = (
         found.groupBy("gram")
         .agg(F.count("*").alias("n"), F.min(place).alias("a"), F.max(place).alias("b"))
         .where("a < b")
-        .select("gram", (F.col("n") > hot).alias("hot"))
+        .select("gram", (F.col("n") > hot).alias("hot"), (F.col("n") * share > total).alias("common"))
     )
     by_doc = (
-        found.join(often, "gram")
+        meet(found, ["gram"], cut(often), ["hot"])
         .groupBy("doc_id", "tag")
         .agg(F.collect_set(F.struct("pos", "gram", "hot")).alias("found"))
     )
