@@ -1,48 +1,62 @@
-"""Best-fit packing of documents into sequences of several permitted lengths.
+"""Best-fit packing of documents into sequences of several permitted lengths, chosen jointly.
 
 A document is cut into pieces of the largest permitted length and a rest. Within a shard the pieces go,
 longest first, into the open bin with the least room that holds them. Where none does, a bin opens at the
-permitted size of least cost for each token that it can still be filled with: cost(size) = size +
-``OVERHEAD``, over the lesser of the size and the tokens yet to be packed. When all are packed, each bin
-is cut down to the least permitted size that holds its contents.
-
-A document's hash chooses its shard, and the number of shards follows from the number of tokens, so a
-shard's work and memory are bounded whatever the input, and no source or length can fill one alone. Only
-ids and lengths are shuffled.
-
-Lengths are words, unless a column is named. Null and empty texts have length 0 and one piece of length 0
-at the start of a bin of its shard. Repeated rows are packed each; further columns are ignored.
+permitted size that costs least for each token it can be filled with. A sequence of c tokens costs
+``OVERHEAD`` + c + c * c / ``ATTENTION``: a share that every sequence has, its tokens, and the attention
+between them, in units of what a token costs the other layers. So a long sequence pays off only for pieces
+that need its length or for want of others to fill it. What a bin of size c can be filled with is the piece
+itself and, up to the room beside it, the tokens of the pieces yet to come that are no longer than that
+room. When all are packed, each bin is cut down to the least permitted size that holds its contents.
+
+The number of shards follows from the numbers of tokens and pieces, and a row's shard is drawn with a fixed
+seed before the lengths are written, so a shard's work and memory are bounded whatever the input: no source,
+length, id or missing id can fill one alone, and a lost executor changes nothing. Only ids and lengths are
+shuffled.
+
+Lengths are tokens of the given vocabulary, unless a column is named. Null and empty texts have length 0
+and one piece of length 0 at the start of a bin of its shard. Repeated rows are packed each; further columns
+are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm._common import cut, texts
+from credence.llm import token_counts
+from credence.llm._common import cut
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 OVERHEAD = 16
+#: Tokens of a sequence at which attention costs as much as the rest of a layer: six times a width of 4,096.
+ATTENTION = 24_576
 SHARD_TOKENS = 4_000_000
+SHARD_PIECES = 100_000
+
+
+def cost(capacity: int) -> float:
+    """What a sequence of so many tokens costs."""
+    return OVERHEAD + capacity + capacity * capacity / ATTENTION
 
 
-def pack(sizes: list[int], capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD) -> tuple[list[int], list[int], list[int]]:
+def pack(sizes: list[int], capacities: tuple[int, ...] = CAPACITIES) -> tuple[list[int], list[int], list[int]]:
     """Bin and offset of each piece, and the final capacity of each bin. No piece may exceed the largest capacity."""
     caps = sorted(capacities)
+    costs = {c: cost(c) for c in caps}
     top = caps[-1]
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    falling = np.array([sizes[i] for i in order], dtype=np.int64)
+    #: Tokens from a place in the order on, and the first place whose piece is no longer than a room.
+    rest = np.concatenate([np.cumsum(falling[::-1])[::-1], [0]]).tolist()
+    first = np.searchsorted(-falling, -np.arange(top + 1)).tolist()
     rooms: list[list[int]] = [[] for _ in range(top + 1)]  # open bins by the room they have
     mask = 0  # bit r: some open bin has room r
     bins, offsets = [0] * len(sizes), [0] * len(sizes)
-    opened: list[int] = []
     filled: list[int] = []
-    left = sum(sizes)
-    for i in order:
+    for at, i in enumerate(order):
         size = sizes[i]
         fits = mask >> size
         if fits:
@@ -51,47 +65,44 @@ def pack(sizes: list[int], capacities: tuple[int, ...] = CAPACITIES, overhead: i
             if not rooms[room]:
                 mask &= ~(1 << room)
         else:
-            cap = min((c for c in caps if c >= size), key=lambda c: ((c + overhead) / max(1, min(c, left)), c))
-            b, room = len(opened), cap
-            opened.append(cap)
+            room = min(
+                (c for c in caps if c >= size),
+                key=lambda c: (costs[c] / max(1, size + min(c - size, rest[max(at + 1, first[c - size])])), c),
+            )
+            b = len(filled)
             filled.append(0)
         bins[i], offsets[i] = b, filled[b]
         filled[b] += size
-        left -= size
         rooms[room - size].append(b)
         mask |= 1 << (room - size)
     return bins, offsets, [next(c for c in caps if c >= n) for n in filled]
 
 
-def lengths(docs: DataFrame) -> DataFrame:
-    """(doc_id, length) with the number of words of the whole text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = [len((t or "").split()) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64())], names=["doc_id", "length"])
-
-    return texts(docs).mapInArrow(run, "doc_id long, length long")
-
-
 def pack_documents(
-    docs: DataFrame, length: str | None = None, capacities: tuple[int, ...] = CAPACITIES, shard_tokens: int = SHARD_TOKENS
+    docs: DataFrame,
+    length: str | None = None,
+    capacities: tuple[int, ...] = CAPACITIES,
+    shard_tokens: int = SHARD_TOKENS,
+    shard_pieces: int = SHARD_PIECES,
+    model: str = token_counts.MODEL,
 ) -> DataFrame:
     """doc_id, piece, start, length, shard, bin, offset and capacity of every piece of every row of ``docs``."""
     top = max(capacities)
     sized = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.greatest(F.coalesce(F.col(length).cast("long"), F.lit(0)), F.lit(0)).alias("length"))
         if length
-        else lengths(docs)
+        else token_counts.count_tokens(docs, model=model).select("doc_id", F.col("n_tokens").alias("length"))
     )
-    sized = cut(sized)
-    total = sized.agg(F.sum("length")).first()[0] or 0
-    shards = max(1, -(-total // shard_tokens))
+    sized = cut(sized.withColumn("draw", (F.rand(0) * (1 << 53)).cast("long")))
+    count = F.greatest(F.lit(1), F.ceil(F.col("length") / top).cast("int"))
+    tokens, n = sized.agg(F.sum("length"), F.sum(count)).first()
+    shards = max(1, -(-(tokens or 0) // shard_tokens), -(-(n or 0) // shard_pieces))
     pieces = (
-        sized.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("length") / top).cast("int") - 1))))
+        sized.withColumn("piece", F.explode(F.sequence(F.lit(0), count - 1)))
         .withColumn("start", F.col("piece").cast("long") * top)
         .withColumn("length", F.least(F.col("length") - F.col("start"), F.lit(top).cast("long")))
-        .withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
+        .withColumn("shard", F.pmod(F.xxhash64("draw", "piece"), F.lit(shards)))
+        .drop("draw")
     )
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
