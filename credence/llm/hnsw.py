@@ -2,14 +2,19 @@
 
 Rows are dealt to shards by a hash of their id, so no label, source or repeated vector fills one. A shard
 indexes every row of its own: equal vectors are one node with a list of ids, and the graph is kept as flat
-neighbour arrays, one for each layer, in one row of a table in the shared folder. Largest inner product
-becomes nearest direction by one further component that gives all nodes of a shard the same norm. Queries
-are dealt to blocks, each block meets each shard, and the nearest of all shards are merged by score. A
-shard's answers are scored on the original vectors in double precision; ties go to the smaller vec_id.
-
-The number of shards follows the rows (``SHARD_ROWS`` each, ``MIN_SHARDS`` at least, so that small tables
-use all cores). Building and searching grow with rows times log of shard size; the graph is approximate
-and its recall is measured in tests.
+neighbour arrays, one for each layer, in one row of a table in the shared folder. A node draws its top layer,
+and on each layer chooses links out of the ``EF_BUILD`` nodes nearest to it, those that no chosen one is
+nearer to first; links go both ways. The nearest ones are found exactly, by products of blocks of a shard's
+rows, instead of by walking the unfinished graph: for shards of this size that takes a tenth of the time.
+Largest inner product becomes nearest direction by one further component that gives all nodes of a shard
+the same norm.
+
+A shard's index is read once, and the queries stream past it, so a task holds an index and a batch of
+queries. Where there are fewer shards than shuffle partitions, queries are dealt to as many blocks as there
+are idle partitions, and an index is copied for each. Every query meets every shard, and the nearest of all
+shards are merged by score: with a twentieth of the rows as queries, searching grows with the square of the
+table. A shard's answers are scored on the original vectors in double precision; ties go to the smaller
+vec_id. The graph is approximate and its recall is measured in tests.
 
 Vectors that are null, zero, empty, or hold null or non-finite components take no part. Vectors are
 compared with those of equal length only. Repeated rows of one vec_id count once if equal; of different
@@ -20,21 +25,23 @@ without a vec_id take no part. Further columns are ignored.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from credence.llm._common import cut
+from credence.llm._common import cut, shuffle_width
 
-M = 16  # links of a new node; twice as many on the lowest layer
-SLACK = 16  # links beyond which a node's are chosen anew
+M = 24  # links that a node chooses; with those from others M at most, twice as many on the lowest layer
 EF_BUILD = 80
-EF_SEARCH = 160
-SHARD_ROWS = 50_000
-MIN_SHARDS = 8
-BLOCK = 4096
+EF_SEARCH = 80
+EF_DESCENT = 8
+SHARD_ROWS = 20_000
+MIN_SHARDS = 4
+ROWS = 1024  # of a block of similarities
 K = 20
 
 
@@ -61,66 +68,63 @@ class Graph:
         self.count = [(links >= 0).sum(axis=1).astype(np.int32) for _, links in self.layers]
 
     def _build(self) -> None:
+        """Layers by a geometric draw; on each the nodes' links out of their exact nearest ones, and back."""
         n = len(self.x)
         rng = np.random.default_rng(n)
         level = np.minimum((-np.log(1 - rng.random(n)) / np.log(M)).astype(np.int64), 8)
-        top = int(level.max())
-        for layer in range(top + 1):
+        for layer in range(int(level.max()) + 1):
             nodes = np.flatnonzero(level >= layer).astype(np.int32)
-            width = (2 * M if layer == 0 else M) + SLACK
-            self.layers.append((nodes, np.full((len(nodes), width), -1, dtype=np.int32)))
+            self.layers.append((nodes, self._links(nodes, 2 * M if layer == 0 else M)))
+        self.entry = int(self.layers[-1][0][0])
         self._place()
-        order = np.argsort(rng.random(n))
-        self.entry = int(order[0])
-        height = int(level[self.entry])
-        for u in map(int, order[1:]):
-            q, at = self.x[u], [(float(self.x[self.entry] @ self.x[u]), self.entry)]
-            for layer in range(height, -1, -1):
-                if layer > level[u]:
-                    at = self._search(q, at, 1, layer)
-                    continue
-                at = self._search(q, at, EF_BUILD, layer)
-                near = sorted(at, reverse=True)
-                chosen = self._choose(np.array([s for s, _ in near], dtype=np.float32), np.array([v for _, v in near]), M)
-                self._set(layer, u, chosen)
-                for v in chosen.tolist():
-                    self._add(layer, v, u)
-            if level[u] > height:
-                self.entry, height = u, int(level[u])
-
-    def _set(self, layer: int, u: int, chosen: np.ndarray) -> None:
-        r = self.row[layer][u]
-        links = self.layers[layer][1]
-        links[r, : len(chosen)] = chosen
-        links[r, len(chosen) :] = -1
-        self.count[layer][r] = len(chosen)
-
-    def _add(self, layer: int, v: int, u: int) -> None:
-        r, links = self.row[layer][v], self.layers[layer][1]
-        c = int(self.count[layer][r])
-        if c < links.shape[1]:
-            links[r, c] = u
-            self.count[layer][r] = c + 1
-            return
-        near = np.append(links[r], u)
-        sims = self.x[near] @ self.x[v]
-        order = np.argsort(-sims, kind="stable")
-        self._set(layer, v, self._choose(sims[order], near[order], links.shape[1] - SLACK))
-
-    def _choose(self, sims: np.ndarray, near: np.ndarray, most: int) -> np.ndarray:
+
+    def _links(self, nodes: np.ndarray, most: int) -> np.ndarray:
+        """Flat neighbour arrays of one layer, padded with -1; at most ``most`` links a node."""
+        x, n = self.x[nodes], len(nodes)
+        near, sims = np.empty((n, min(EF_BUILD, n - 1)), dtype=np.int32), np.empty((n, min(EF_BUILD, n - 1)), dtype=np.float32)
+        for at in range(0, n, ROWS):
+            part = x[at : at + ROWS] @ x.T
+            part[np.arange(len(part)), np.arange(at, at + len(part))] = -np.inf
+            if near.shape[1] < n - 1:
+                found = np.argpartition(-part, near.shape[1], axis=1)[:, : near.shape[1]]
+            else:
+                found = np.argsort(-part, axis=1)[:, : near.shape[1]]
+            values = np.take_along_axis(part, found, axis=1)
+            order = np.argsort(-values, axis=1, kind="stable")
+            near[at : at + ROWS], sims[at : at + ROWS] = np.take_along_axis(found, order, axis=1), np.take_along_axis(values, order, axis=1)
+        own = [self._choose(x, sims[u], near[u], M) for u in range(n)]
+        source = np.repeat(np.arange(n, dtype=np.int32), [len(c) for c in own])
+        target = np.concatenate(own) if own else np.empty(0, np.int32)
+        # Both ends of a link know it; a node with too many chooses anew.
+        pairs = np.unique(np.concatenate([source.astype(np.int64) * n + target, target.astype(np.int64) * n + source]))
+        starts = np.searchsorted(pairs, np.arange(n + 1, dtype=np.int64) * n)
+        out = np.full((n, most), -1, dtype=np.int32)
+        for u in range(n):
+            links = (pairs[starts[u] : starts[u + 1]] - u * n).astype(np.int32)
+            if len(links) > most:
+                close = x[links] @ x[u]
+                order = np.argsort(-close, kind="stable")
+                links = self._choose(x, close[order], links[order], most)
+            out[u, : len(links)] = nodes[links]
+        return out
+
+    @staticmethod
+    def _choose(x: np.ndarray, sims: np.ndarray, near: np.ndarray, most: int) -> np.ndarray:
         """Of neighbours, nearest first, those that no chosen one is nearer to; then the nearest of the rest."""
         if len(near) <= most:
             return near
-        x = self.x[near]
-        between = x @ x.T
+        between = x[near] @ x[near].T
         closest = np.full(len(near), -np.inf, dtype=np.float32)  # to any chosen one
         chosen = np.zeros(len(near), dtype=bool)
-        for i in range(len(near)):
-            if closest[i] < sims[i]:
-                chosen[i] = True
-                if chosen.sum() == most:
-                    break
-                np.maximum(closest, between[i], out=closest)
+        open_ = np.ones(len(near), dtype=bool)
+        for _ in range(most):
+            i = int(open_.argmax())
+            if not open_[i]:
+                break
+            chosen[i] = True
+            np.maximum(closest, between[i], out=closest)
+            open_ &= closest < sims
+            open_[: i + 1] = False
         short = most - int(chosen.sum())
         if short > 0:
             chosen[np.flatnonzero(~chosen)[:short]] = True
@@ -164,8 +168,8 @@ class Graph:
         q = q.astype(np.float32)
         at = [(float(self.x[self.entry] @ q), self.entry)]
         for layer in range(len(self.layers) - 1, 0, -1):
-            if self.row[layer][at[0][1]] >= 0:
-                at = [max(self._search(q, at, 1, layer))]
+            if len(self.layers[layer][0]) > 1:
+                at = sorted(self._search(q, at, EF_DESCENT, layer), reverse=True)
         return np.array([v for _, v in self._search(q, at, ef, 0)], dtype=np.int64)
 
 
@@ -225,33 +229,50 @@ def build(vectors: DataFrame, shard_rows: int = SHARD_ROWS, min_shards: int = MI
     return cut(dealt.groupBy("dim", "shard").applyInPandas(_index, _INDEX)), shards
 
 
+class _Shard:
+    """One shard's index, read back from its flat arrays."""
+
+    def __init__(self, at: dict) -> None:
+        self.x = np.frombuffer(at["vectors"], dtype=np.float64).reshape(-1, at["dim"])
+        self.ids, self.starts = np.frombuffer(at["ids"], dtype=np.int64), np.frombuffer(at["starts"], dtype=np.int64)
+        layers = []
+        for nodes, links in zip(at["nodes"], at["links"], strict=True):
+            own = np.frombuffer(nodes, dtype=np.int32)
+            layers.append((own, np.frombuffer(links, dtype=np.int32).reshape(len(own), -1)))
+        self.graph = Graph(_same_norm(self.x), layers, at["entry"])
+
+    def nearest(self, query: int, v: list[float], k: int, ef: int) -> list[tuple[float, int]]:
+        """(score, vec_id) of the ``k`` nearest rows found, but the query's own, nearest first."""
+        q = np.asarray(v, dtype=np.float64)
+        near = self.graph.nearest(np.append(q / np.linalg.norm(q), 0.0), max(ef, k + 1))
+        scores = self.x[near] @ q
+        best: list[tuple[float, int]] = []
+        for s, u in sorted(zip((-scores).tolist(), near.tolist(), strict=True)):
+            if len(best) > k and -s < best[k][0]:
+                break
+            ids = self.ids[self.starts[u] : min(self.starts[u + 1], self.starts[u] + k + 2)]
+            best += [(-s, i) for i in ids.tolist() if i != query]
+        return sorted(best, key=lambda p: (-p[0], p[1]))[:k]
+
+
 def _searcher(k: int, ef: int):
-    def run(key: tuple, index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
-        if len(index) and len(queries):
-            at = index.iloc[0]
-            dim = int(at["dim"])
-            x = np.frombuffer(at["vectors"], dtype=np.float64).reshape(-1, dim)
-            ids, starts = np.frombuffer(at["ids"], dtype=np.int64), np.frombuffer(at["starts"], dtype=np.int64)
-            layers = []
-            for layer, (nodes, links) in enumerate(zip(at["nodes"], at["links"], strict=True)):
-                width = (2 * M if layer == 0 else M) + SLACK
-                layers.append((np.frombuffer(nodes, dtype=np.int32), np.frombuffer(links, dtype=np.int32).reshape(-1, width)))
-            graph = Graph(_same_norm(x), layers, int(at["entry"]))
-            for query, v in zip(queries["vec_id"].tolist(), queries["v"], strict=True):
-                q = np.asarray(v, dtype=np.float64)
-                near = graph.nearest(np.append(q / np.linalg.norm(q), 0.0), max(ef, k + 1))
-                scores = x[near] @ q
-                best = []
-                for s, u in sorted(zip((-scores).tolist(), near.tolist(), strict=True)):
-                    if len(best) > k and -s < best[k][0]:
-                        break
-                    best += [(-s, i) for i in ids[starts[u] : min(starts[u + 1], starts[u] + k + 2)].tolist() if i != query]
-                for s, i in sorted(best, key=lambda p: (-p[0], p[1]))[:k]:
-                    out["query_id"].append(query)
-                    out["vec_id"].append(i)
-                    out["score"].append(s)
-        return pd.DataFrame(out)
+    """Answers from rows sorted by shard and block, each index before its queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, key = None, None
+        for b in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            cells = zip(*(b.column(c).to_pylist() for c in ("dim", "shard", "block", "kind", "vec_id")), strict=True)
+            for row, (dim, number, block, kind, query) in enumerate(cells):
+                if kind == 0:
+                    shard, key = _Shard(b.column("index")[row].as_py() | {"dim": dim}), (dim, number, block)
+                elif key == (dim, number, block):
+                    for s, i in shard.nearest(query, b.column("v")[row].as_py(), k, ef):
+                        out[0].append(query)
+                        out[1].append(i)
+                        out[2].append(s)
+            types = (pa.int64(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -260,19 +281,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, ef: int = EF_SEAR
     """query_id, rank, vec_id and score of the ``k`` nearest rows found for each row of ``queries``, but itself."""
     index, shards = build(vectors, **sharding)
     asked = cut(valid(queries).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")))
-    blocks = max(1, -(-asked.count() // BLOCK))
-    cells = 2 * shards * blocks
-    left = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(cells, "dim", "shard", "block")
-    right = (
-        asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).cast("int"))
-        .withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-        .repartition(cells, "dim", "shard", "block")
+    blocks = max(1, -(-shuffle_width(vectors.sparkSession) // shards))
+    numbers = F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))
+    flat = F.struct("entry", "vectors", "ids", "starts", "nodes", "links").alias("index")
+    left = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
+        "dim", "shard", "block", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<double>").alias("v"), flat
     )
-    keys = ("dim", "shard", "block")
-    found = (
-        left.groupBy(*keys)
-        .cogroup(right.groupBy(*keys))
-        .applyInPandas(_searcher(k, ef), "query_id long, vec_id long, score double")
+    right = asked.select(
+        "dim", F.explode(numbers).alias("shard"), F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).cast("int").alias("block"), F.lit(1).alias("kind"),
+        "vec_id", "v", F.lit(None).cast(left.schema["index"].dataType).alias("index"),
     )
+    cells = left.unionByName(right).repartition(2 * shards * blocks, "dim", "shard", "block").sortWithinPartitions("dim", "shard", "block", "kind")
+    found = cells.mapInArrow(_searcher(k, ef), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
