@@ -1,4 +1,13 @@
-"""Documents to packed training sequences: five stages, each of which works on all that the one before kept."""
+"""Documents to packed training sequences: five stages, each of which works on all that the one before kept.
+
+A null or empty text is scored like any other; if it is kept, all such texts have one fingerprint, so one of
+them stays, and it is packed as a piece without tokens. Rows without a doc_id are never copies of others and
+keep their text; their packed pieces have a null doc_id. Repeated rows, and copies under different ids, count
+once: that with the smallest doc_id stays. Of different texts of one doc_id none is lost to another. Further
+columns, whatever their names, pass through up to the last stage, and ``n_chars`` follows the text. An empty
+table gives an empty result; without labels of both classes nothing is rejected but by the share of good
+ones, and without benchmark items nothing is contaminated.
+"""
 
 from __future__ import annotations
 
@@ -23,7 +32,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines and sentences that an earlier document has."""
+    """Texts without the lines and passages that an earlier document has."""
     return line_dedup.deduplicate(docs)
 
 
