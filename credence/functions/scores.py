@@ -18,14 +18,18 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
-def numeric_range(value: Column, spread: float = 0.10, floor: float | None = None, ceiling: float | None = None) -> tuple[Column, Column]:
-    """A nominal value to a clamped interval around it."""
+#: Spreads of a mode's properties other than a tenth.
+SPREADS = {"centre_frequency": 0.02, "detection_range": 0.25, "instrumented_range": 0.25, "false_alarm_rate": 0.5}
+
+
+def numeric_range(value: Column, spread: float = 0.10, floor: float | None = None, ceiling: float | None = None, whole: bool = False) -> tuple[Column, Column]:
+    """A nominal value to a clamped interval around it; bounds of a ``whole`` number are rounded to whole ones."""
     low, high = value * (1 - spread), value * (1 + spread)
     if floor is not None:
         low = F.greatest(low, F.lit(floor))
     if ceiling is not None:
         high = F.least(high, F.lit(ceiling))
-    return low, high
+    return (F.bround(low).cast("long"), F.bround(high).cast("long")) if whole else (low, high)
 
 
 def measurement_interval(value: Column, error: Column, low: Column, high: Column) -> tuple[Column, Column]:
@@ -127,9 +131,21 @@ def slug(x: Column) -> Column:
 
 
 def type_key(x: Column) -> Column:
-    """The part of a variant's name up to its first mark, without a namespace."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(x), "^[a-z_]+:", ""), "[/ -]+", "_")
-    return F.regexp_extract(plain, "^([^_]+)", 1)
+    """Type of a variant's name without a namespace: letters and the number after them ("ab-12"), else what stands before its first mark."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(x), "^[a-z_]+:", ""), "[/ _-]+", "_")
+    first, second = F.regexp_extract(plain, "^_?([^_]+)", 1), F.regexp_extract(plain, "^_?[^_]+_([^_]+)", 1)
+    digits = F.regexp_replace(second, "[^0-9]", "")
+    return F.when(first.rlike("^[a-z]+$") & second.rlike("^[a-z0-9]+$") & (digits != ""), F.concat(first, F.lit("-"), digits)).otherwise(first)
+
+
+def parse_utc(text: Column) -> Column:
+    """Time of an ISO text with a zone ("Z" or an offset), in UTC; null for null, empty or other texts."""
+    return F.try_to_timestamp(F.nullif(text, F.lit("")))
+
+
+def iso_utc(time: Column) -> Column:
+    """ISO text of a time to milliseconds, in UTC with a Z."""
+    return F.date_format(F.to_utc_timestamp(time, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
 def dead_reckoning(lat: Column, lon: Column, heading: Column, kph: Column, seconds: Column) -> tuple[Column, Column]:

@@ -3,7 +3,8 @@
 The candidate rows are bounded (nations x templates x segments x two operators), so they are broadcast and
 the observations stay where they are. Only (observation, total, ordinal of the row) goes through the
 ranking; names come back to the k best by an equi join. ``topk_factored`` scores a mode once for each
-observation and a carrier once, and meets both by the radar they share.
+observation and leaves out modes that no carrier or operator can bring among the k best, before the others
+meet their rows.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from credence.functions.scores import (
     carrier_link, carrier_score, external_prior, interval_overlap, limit_consistency, masses_from_score, mean_known, r6,
 )
+from credence.operators.etl import spread
 
 K = 5
 MIN_DELTA = 0.05
@@ -51,11 +53,11 @@ def total(mode: Column, rest: Column) -> Column:
 
 def seen(observations: DataFrame) -> DataFrame:
     """What scoring reads of an observation, dealt to all tasks: one input file must not mean one task for all pairs."""
-    width = int(observations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return observations.select(
+    rows = observations.select(
         "observation_id", "lo", "hi", (F.col("k") * 0.95).alias("k_lo"), (F.col("k") * 1.05).alias("k_hi"), "code",
         (F.col("value") * 20).alias("speed"), (F.col("k") * 100).alias("height"),
-    ).repartition(width, "observation_id")
+    )
+    return spread(rows, "observation_id")
 
 
 def by_code(rows: DataFrame) -> DataFrame:
@@ -86,11 +88,22 @@ def topk(observations: DataFrame, rows: DataFrame, k: int = K) -> DataFrame:
 
 
 def topk_factored(observations: DataFrame, modes: DataFrame, rows: DataFrame, k: int = K) -> DataFrame:
-    """As ``topk``; a mode is scored once for each observation and then meets its rows by an equi join."""
+    """As ``topk``; a mode is scored once for each observation and then meets its rows by an equi join.
+
+    The best row of a mode adds no more than ``high`` and no less than ``low``; a mode whose most is below the
+    k-th best least has no row among the k best.
+    """
     rows = numbered(rows)
     modes = modes.select("mode_id", "klo", "khi", "k_klo", "k_khi", "mode_code")
     scored = seen(observations).crossJoin(F.broadcast(modes)).select("observation_id", "code", "speed", "height", "mode_id", mode_score().alias("mode_score"))
     own = by_code(rows).select(F.col("mode_id").alias("row_mode"), "row_code", "row", "uses_radar", "speed_limit", "ceiling", "prior")
+    add = lambda best: F.max(0.15 * carrier_score(F.when(F.col("uses_radar"), best).otherwise(0.5), carrier_link(F.col("uses_radar"), F.col("uses_radar"))) + 0.10 * F.col("prior"))
+    bounds = own.groupBy("row_mode", "row_code").agg(add(0.0).alias("low"), add(1.0).alias("high"))
+    scored = scored.join(F.broadcast(bounds), (F.col("mode_id") == F.col("row_mode")) & (F.col("code") == F.col("row_code"))).drop("row_mode", "row_code")
+    least = 0.75 * F.col("mode_score") + F.col("low")
+    in_order = Window.partitionBy("observation_id").orderBy(F.desc(least)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # Totals are rounded to six places.
+    scored = scored.withColumn("least", F.nth_value(least, k).over(in_order)).where(F.col("least").isNull() | (0.75 * F.col("mode_score") + F.col("high") >= F.col("least") - 2e-6))
     met = scored.join(F.broadcast(own), (F.col("mode_id") == F.col("row_mode")) & (F.col("code") == F.col("row_code")))
     pairs = met.select("observation_id", total(F.col("mode_score"), support()).alias("total"), "row")
     names = rows.select("row", "mode_id", "radar_id", "carrier_id", "operator")

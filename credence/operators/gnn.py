@@ -38,6 +38,18 @@ def _activate(h: pd.Series, x: pd.Series) -> pd.Series:
     return pd.Series(list(out + before if before.shape == out.shape else out))
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def normal_then_active(h: pd.Series) -> pd.Series:
+    """GELU of the normalised vector."""
+    return pd.Series(list(gelu(layer_norm(np.stack(h.to_list()))))) if len(h) else pd.Series([], dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def add_then_normal(h: pd.Series, x: pd.Series) -> pd.Series:
+    """The normalised sum of x and GELU of h."""
+    return pd.Series(list(layer_norm(np.stack(x.to_list()) + gelu(np.stack(h.to_list()))))) if len(h) else pd.Series([], dtype=object)
+
+
 def block(nodes: DataFrame, edges: DataFrame, weights, own, gates, bias) -> DataFrame:
     """Relational layer, exact GELU, layer norm, and the input added where the widths agree."""
     h = G.relational_layer(nodes, edges, weights, own, gates, bias).withColumnRenamed("x", "h")
@@ -52,7 +64,7 @@ def mean_block(nodes: DataFrame, edges: DataFrame, own, neighbour, most: int) ->
         sum((F.element_at("x", i + 1) * float(own[i][j]) + F.coalesce(F.element_at("m", i + 1), F.lit(0.0)) * float(neighbour[i][j]) for i in range(n)), F.lit(0.0))
         for j in range(width)
     ]
-    return nodes.join(agg, "node_id", "left").select("node_id", "x", F.array(*cells).alias("h")).select("node_id", _activate("h", "x").alias("x"))
+    return nodes.join(agg, "node_id", "left").select("node_id", "x", F.array(*cells).alias("h")).select("node_id", add_then_normal("h", "x").alias("x"))
 
 
 def propagate(nodes: DataFrame, edges: DataFrame, relations: list[int], hops: int, width: int) -> DataFrame:

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from credence.operators.etl import spread
+
 
 def point_in_interval(points: DataFrame, intervals: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:
     """Pairs of a point and an interval around it, both ends included, as an equi join.
@@ -32,8 +34,7 @@ def vote(
 
     The modes are bounded by their templates and broadcast; votes are counted before anything is shuffled.
     """
-    width = int(observations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    obs = observations.withColumns({"k_lo": F.col("k") * 0.95, "k_hi": F.col("k") * 1.05}).repartition(width, "observation_id")
+    obs = spread(observations.withColumns({"k_lo": F.col("k") * 0.95, "k_hi": F.col("k") * 1.05}), "observation_id")
     votes = [
         F.coalesce((F.least(F.col(oh), F.col(kh)) >= F.greatest(F.col(ol), F.col(kl))).cast("int"), F.lit(0))
         for ol, oh, kl, kh in intervals

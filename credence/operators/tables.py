@@ -16,10 +16,11 @@ def first_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def upsert(base: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Full outer merge: of each column that both have the new value if it is given, else the old one."""
+    """Full outer merge: a key's new row sets each column it has, a null in it removes the old value; other columns stay."""
     shared = [c for c in base.columns if c in rows.columns and c != key]
-    merged = base.alias("b").join(rows.alias("r"), key, "full")
-    cols = [F.coalesce(F.col(f"r.{c}"), F.col(f"b.{c}")).alias(c) if c in shared else F.col(f"b.{c}") for c in base.columns if c != key]
+    merged = base.alias("b").join(rows.withColumn("__new", F.lit(True)).alias("r"), key, "full")
+    given = F.col("r.__new").isNotNull()
+    cols = [F.when(given, F.col(f"r.{c}")).otherwise(F.col(f"b.{c}")).alias(c) if c in shared else F.col(f"b.{c}") for c in base.columns if c != key]
     new = [F.col(f"r.{c}") for c in rows.columns if c not in base.columns]
     return merged.select(key, *cols, *new)
 

@@ -103,6 +103,39 @@ def dempster_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Eleven names of six types, three of which several share: a compact frame of 15 focal sets.
+NAMES = ("ab-12a", "ab-12b", "ab-12c", "ab-12d", "cd-1", "ef-7a", "ef-7b", "gh-3a", "gh-3b", "ij-9", "kl-2")
+COMPACT = M.frame(NAMES)
+THIRTY_ONE = M.subset_masks(5)
+
+
+def _pair_sql(masks: list[int]) -> str:
+    cells, conflict = _combine_sql(masks)
+    n = len(masks)
+    return f"""WITH {T.VECS}, {_masses_sql(n, 'm')}, pr AS (SELECT a.node_id, {conflict} AS conflict, {", ".join(f"{c} AS c{i + 1}" for i, c in enumerate(cells))} FROM ms a JOIN ms b ON b.node_id = a.node_id + 1)
+  SELECT node_id, round(conflict + 1e-9, 6) AS conflict, {", ".join(f"round(c{i} / (1 - conflict) + 1e-9, 6) AS c{i}" for i in range(1, n + 1))} FROM pr WHERE 1 - conflict > 1e-12"""
+
+
+def _with_next(spark: SparkSession, sf_dir: str, masks: list[int]) -> DataFrame:
+    ms = masses(spark, sf_dir, len(masks)).select("node_id", "m")
+    nxt = ms.select((F.col("node_id") - 1).alias("node_id"), F.col("m").alias("n"))
+    c, conflict = M.combine(F.col("m"), F.col("n"), masks)
+    met = ms.join(nxt, "node_id").select("node_id", conflict.alias("k"), c.alias("c")).where("c is not null")
+    return met.select("node_id", r6(F.col("k")).alias("conflict"), *_cells(F.col("c"), len(masks), "c"))
+
+
+@query(_pair_sql(COMPACT))
+def dempster_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dempster's rule in a frame of eleven hypotheses, three groups of one type and the whole."""
+    return _with_next(spark, sf_dir, COMPACT)
+
+
+@query(_pair_sql(THIRTY_ONE))
+def dempster_powerset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dempster's rule over all 31 subsets of five hypotheses."""
+    return _with_next(spark, sf_dir, THIRTY_ONE)
+
+
 _Q = {m: " + ".join(f"m{i + 1}" for i, x in enumerate(THREE) if x & m == m) for m in THREE}
 
 

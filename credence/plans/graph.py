@@ -106,14 +106,16 @@ def keyed_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH u AS (SELECT o_custkey AS c_custkey, max(o_totalprice) AS c_acctbal, count(*) AS n_orders FROM orders GROUP BY o_custkey HAVING count(*) >= 8)
-  SELECT c_custkey, c.c_name, coalesce(u.c_acctbal, c.c_acctbal) AS c_acctbal, u.n_orders FROM customer c FULL JOIN u USING (c_custkey)""")
+  SELECT c_custkey, c.c_name, CASE WHEN u.n_orders IS NOT NULL THEN u.c_acctbal ELSE c.c_acctbal END AS c_acctbal, u.n_orders FROM customer c
+  FULL JOIN (SELECT c_custkey, CASE WHEN n_orders % 2 = 0 THEN c_acctbal END AS c_acctbal, n_orders FROM u) u USING (c_custkey)""")
 def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers merged with rows from their orders: given values win, others stay."""
+    """Customers merged with rows from their orders: a given column wins, and a null in it removes the old value."""
     base = V.table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
     new = V.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
         F.max("o_totalprice").alias("c_acctbal"), F.count("*").alias("n_orders")
     )
-    return tables.upsert(base, new.where("n_orders >= 8"), "c_custkey")
+    new = new.where("n_orders >= 8").withColumn("c_acctbal", F.when(F.col("n_orders") % 2 == 0, F.col("c_acctbal")))
+    return tables.upsert(base, new, "c_custkey")
 
 
 @query("""SELECT source, type, target, max(stamp) AS stamp, arg_max(score, (stamp, score)) AS score FROM (
@@ -145,10 +147,14 @@ def fk_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b.select(F.lit("document").alias("label"), "id"))
 
 
-@query("""SELECT p_partkey, regexp_extract(regexp_replace(regexp_replace(lower('part:' || p_type), '^[a-z_]+:', ''), '[/ -]+', '_', 'g'), '^([^_]+)', 1) AS type_key FROM part""")
+@query("""WITH n AS (SELECT p_partkey, string_split(regexp_replace(lower(split_part(p_type, ' ', 1) || '-' || p_size || '/' || p_name), '[/ _-]+', '_', 'g'), '_') AS t FROM part),
+  d AS (SELECT *, regexp_replace(t[2], '[^0-9]', '', 'g') AS digits FROM n)
+  SELECT p_partkey, CASE WHEN regexp_full_match(t[1], '[a-z]+') AND regexp_full_match(t[2], '[a-z0-9]+') AND digits <> '' THEN t[1] || '-' || digits ELSE t[1] END AS type_key FROM d""")
 def type_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of names such as "part:large-12/blue": letters and the number after them."""
     part = V.table(spark, sf_dir, "part")
-    return part.select("p_partkey", S.type_key(F.concat(F.lit("part:"), "p_type")).alias("type_key"))
+    name = F.concat(F.lit("part:"), F.substring_index("p_type", " ", 1), F.lit("-"), "p_size", F.lit("/"), "p_name")
+    return part.select("p_partkey", S.type_key(name).alias("type_key"))
 
 
 @query("""WITH t AS (SELECT p_partkey - 1 AS pos, p_type FROM part), g AS (SELECT p_type, min(pos) AS first_pos, count(*) AS members FROM t GROUP BY p_type HAVING count(*) >= 2)

@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from credence.functions import masses as M
 from credence.functions.scores import r6
-from credence.operators import generate
+from credence.operators import etl, generate
 from credence.operators import gnn
 from credence.operators import graph as G
+from credence.plans import ingest as I
 from credence.plans import twins as T
 from credence.plans.evidence import _masses_sql, masses
 from credence.plans.registry import query
 from credence.sources import views as V
 
-N = 8  # entries of a vector that layers read
+N = 64  # entries of a vector
 WIDTH = 3
 #: Fixed weights of the layers that queries evaluate, by rule.
 BASES = [[[((7 * i + 3 * j + 5 * b) % 11 - 5) / 10 for j in range(WIDTH)] for i in range(N)] for b in range(2)]
@@ -40,15 +41,15 @@ def _mean_out(prefix: str, width: int) -> list:
     return [r6(F.element_at("m", j + 1)).alias(f"{prefix}{j}") for j in range(width)]
 
 
-_Z = ", ".join(f"round((x[{i}] - avg(x[{i}]) OVER ()) / coalesce(nullif(stddev_pop(x[{i}]) OVER (), 0), 1), 4) + 0.0 AS z{i}" for i in range(1, 9))
+_Z = ", ".join(f"round((x[{i}] - avg(x[{i}]) OVER ()) / coalesce(nullif(stddev_pop(x[{i}]) OVER (), 0), 1), 4) + 0.0 AS z{i}" for i in range(1, N + 1))
 
 
 @query(f"WITH {T.VECS} SELECT node_id, {_Z} FROM vecs")
 def zscore_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries less their mean over their deviation; a deviation of 0 counts as 1. One row of statistics is broadcast."""
     rows = V.vectors(spark, sf_dir)
-    stats = rows.agg(*[f(F.element_at("x", i)).alias(f"{n}{i}") for i in range(1, 9) for f, n in ((F.avg, "a"), (F.stddev_pop, "s"))])
-    z = [(F.element_at("x", i) - F.col(f"a{i}")) / F.when(F.col(f"s{i}") == 0, 1.0).otherwise(F.col(f"s{i}")) for i in range(1, 9)]
+    stats = rows.agg(*[f(F.element_at("x", i)).alias(f"{n}{i}") for i in range(1, N + 1) for f, n in ((F.avg, "a"), (F.stddev_pop, "s"))])
+    z = [(F.element_at("x", i) - F.col(f"a{i}")) / F.when(F.col(f"s{i}") == 0, 1.0).otherwise(F.col(f"s{i}")) for i in range(1, N + 1)]
     return rows.crossJoin(F.broadcast(stats)).select("node_id", *[(F.round(c, 4) + 0.0).alias(f"z{i + 1}") for i, c in enumerate(z)])
 
 
@@ -239,10 +240,67 @@ def class_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.where("r <= 3").select("task", "classes", "label", "n")
 
 
-@query()
+def carriers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The carriers of the views as a catalogue for the generators; segments stand for kinds and families."""
+    low, high = (F.array(*[F.coalesce(f"{e}{i}", F.lit(1.0 + i)) for i in range(etl.N)]).alias(n) for e, n in (("klo", "lo"), ("khi", "hi")))
+    names = V.modes(spark, sf_dir).select("mode_id", "mode_name")
+    bounds = I.mode_bounds(V.modes(spark, sf_dir)).join(names, "mode_id").select(
+        "radar_id", F.struct("mode_id", F.col("mode_name").alias("mode"), F.col("mode_waveform").cast("string").alias("waveform"), F.col("mode_scan").cast("string").alias("scan"), low, high).alias("m")
+    )
+    modes = bounds.groupBy("radar_id").agg(F.array_sort(F.collect_list("m")).alias("modes"))
+    operators = V.operates(spark, sf_dir).groupBy("carrier_id").agg(F.array_sort(F.collect_set("operator")).alias("operators"))
+    own = V.carriers(spark, sf_dir).join(F.broadcast(modes), "radar_id").join(F.broadcast(operators), "carrier_id")
+    kind = F.when(F.col("variant") == "MACHINERY", "rotary").when(F.col("variant") == "BUILDING", "bomber").otherwise("other")
+    return own.select(
+        F.col("carrier_id").alias("aircraft_id"), "variant", F.col("variant").alias("family"), "radar_id", F.col("radar_id").alias("radar"), kind.alias("kind"),
+        (F.col("speed_limit") / 4).alias("vmax"), (F.abs("ceiling") + 9000).alias("ceiling"), "operators", "modes",
+    )
+
+
+def _u(seed: int, name: str, *keys: str) -> str:
+    """The generators' draw in DuckDB."""
+    return f"(('0x' || substr(md5(concat_ws(':', '{seed}', '{name}', {', '.join(keys)})), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
+_GENERATED = f"""{T.KG}, {I._MODES9}, ml AS (SELECT radar_id, list(struct_pack(mode_id := mode_id, mode := mode_name, lo := [{", ".join(f"coalesce(klo{i}, {1.0 + i})" for i in range(etl.N))}],
+    hi := [{", ".join(f"coalesce(khi{i}, {1.0 + i})" for i in range(etl.N))}]) ORDER BY mode_id) AS modes FROM modes9 GROUP BY radar_id),
+  ol AS (SELECT carrier_id, list(DISTINCT operator ORDER BY operator) AS operators FROM operates GROUP BY carrier_id),
+  cat AS (SELECT list(struct_pack(aircraft_id := c.carrier_id, variant := c.variant, radar_id := c.radar_id, kind := CASE c.variant WHEN 'MACHINERY' THEN 'rotary' WHEN 'BUILDING' THEN 'bomber' ELSE 'other' END,
+    vmax := c.speed_limit / 4, ceiling := abs(c.ceiling) + 9000, operators := operators, modes := modes) ORDER BY c.carrier_id) AS al FROM carriers c JOIN ml USING (radar_id) JOIN ol USING (carrier_id)),
+  drawn AS (SELECT n, al[1 + floor(@carrier * len(al))::INT] AS own FROM range(1, @count + 1) r(n), cat),
+  chosen AS (SELECT n, own, own.operators[1 + floor(@operator * len(own.operators))::INT] AS operator, own.modes[1 + floor(@mode * len(own.modes))::INT] AS mode FROM drawn)"""
+COUNT = 5000
+
+
+def _generated(count: int) -> str:
+    out = _GENERATED.replace("@count", str(count))
+    for k in ("carrier", "operator", "mode"):
+        out = out.replace(f"@{k}", _u(7, k, "n"))
+    return out
+
+
+def _between(low: str, high: str, name: str) -> str:
+    return f"({low} + ({high} - {low}) * {_u(7, name, 'n')})"
+
+
+_SPEED = f"""CASE own.kind WHEN 'rotary' THEN {_between("120.0", "least(own.vmax, 310.0)", "speed")} WHEN 'bomber' THEN {_between("650.0", "least(own.vmax * 0.9::DOUBLE, 1050.0)", "speed")}
+  ELSE {_between("450.0", "least(own.vmax * 0.85::DOUBLE, 1450.0)", "speed")} END"""
+_ALTITUDE = f"""CASE own.kind WHEN 'rotary' THEN {_between("100.0", "least(own.ceiling * 0.75::DOUBLE, 4500.0)", "altitude")} WHEN 'bomber' THEN {_between("7000.0", "own.ceiling * 0.9::DOUBLE", "altitude")}
+  ELSE {_between("1500.0", "own.ceiling * 0.9::DOUBLE", "altitude")} END"""
+
+
+@query(f"""WITH {_generated(COUNT)} SELECT 'esm_obs_' || lpad(n::VARCHAR, 5, '0') AS observation_id, own.aircraft_id AS aircraft_id, operator, mode.mode_id AS mode_id,
+  {", ".join(f"round({_between(f'mode.lo[{i + 1}]', f'mode.hi[{i + 1}]', f'm{i}')} + 1e-9, 6) AS v{i}" for i in range(etl.N))},
+  round({_SPEED} + 1e-9, 1) AS speed, round({_ALTITUDE} + 1e-9, 1) AS altitude, {generate.START}::DOUBLE + floor({_u(7, "time", "n")} * {generate.END - generate.START}) AS at FROM chosen""")
 def generate_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Synthetic observations with their truth, drawn in the bounds of the modes."""
-    return generate.observations(spark, V.candidate_rows(spark, sf_dir), 5000, seed=7)
+    rows = generate.observations(spark, carriers(spark, sf_dir), COUNT, seed=7)
+    label, kin = "ground_truth_label", "approximate_kinematics"
+    values = [F.col(f"esm_radar_parameters.{name}.value").alias(f"v{i}") for i, (name, *_) in enumerate(etl.MEASURES)]
+    return rows.select(
+        "observation_id", f"{label}.aircraft_id", f"{label}.operator", f"{label}.mode_id", *values, F.col(f"{kin}.ground_speed_kph").alias("speed"), F.col(f"{kin}.altitude_m").alias("altitude"),
+        F.col("timestamp_unix").alias("at"),
+    )
 
 
 @query()
@@ -251,10 +309,25 @@ def generate_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate.series(spark, V.modes(spark, sf_dir), 200, seed=42)
 
 
-@query()
+_R = lambda name: _u(4200, name, "observation_id", "no")
+
+
+@query(f"""WITH {_generated(500)}, obs5 AS (SELECT 'esm_obs_' || lpad(n::VARCHAR, 5, '0') AS observation_id, own, operator, mode FROM chosen),
+  rep AS (SELECT *, unnest(range(0, 10 + floor({_u(4200, "reports", "observation_id")} * 3)::INT)) AS no FROM obs5),
+  typed AS (SELECT *, ['{"', '".join(generate.CLAIM_TYPES)}'][no % 7 + 1] AS claim_type, {_R("right")} < 0.72::DOUBLE AND no NOT IN (1, 5) AS correct FROM rep)
+  SELECT 'intel_report:' || observation_id || ':' || lpad((no + 1)::VARCHAR, 2, '0') AS report_id, claim_type, CASE WHEN {_R("stance")} <= 0.12::DOUBLE THEN 'refutes' ELSE 'supports' END AS stance, correct,
+  round(CASE WHEN correct THEN 0.6::DOUBLE + (0.92::DOUBLE - 0.6::DOUBLE) * {_R("confidence")} ELSE 0.35::DOUBLE + (0.82::DOUBLE - 0.35::DOUBLE) * {_R("confidence")} END + 1e-9, 6) AS claim_confidence,
+  CASE WHEN claim_type = 'aircraft_variant' THEN CASE WHEN correct THEN own.aircraft_id ELSE list_filter(al, lambda x: x.aircraft_id <> own.aircraft_id)[1 + floor({_R("other")} * (len(al) - 1))::INT].aircraft_id END
+    WHEN claim_type = 'radar_type' THEN CASE WHEN correct THEN own.radar_id ELSE list_filter(al, lambda x: x.radar_id <> own.radar_id)[1 + floor({_R("radar")} * len(list_filter(al, lambda x: x.radar_id <> own.radar_id)))::INT].radar_id END
+  END AS object_id FROM typed, cat""")
 def generate_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Synthetic reports with claims, right and wrong, about synthetic observations."""
-    return generate.reports(generate.observations(spark, V.candidate_rows(spark, sf_dir), 500, seed=7), seed=4200)
+    own = carriers(spark, sf_dir)
+    claim = generate.reports(generate.observations(spark, own, 500, seed=7), own, seed=4200).select("report_id", F.explode("claims").alias("c"))
+    named = F.when(F.col("c.claim_type").isin("aircraft_variant", "radar_type"), F.col("c.object_id"))
+    return claim.select(
+        "report_id", "c.claim_type", "c.stance", (F.col("c.synthetic_truth_value") == "correct").alias("correct"), "c.claim_confidence", named.alias("object_id")
+    )
 
 
 @query()

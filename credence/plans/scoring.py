@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from credence.functions import scores as S
 from credence.operators import candidates as C
+from credence.operators import etl as E
 from credence.operators import ranges as R
 from credence.plans import twins as T
 from credence.plans.registry import query
@@ -185,8 +186,7 @@ def shares_best_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours in time among the observations of one best mode, both ways."""
     obs = V.observations(spark, sf_dir).select("observation_id", "ts")
     first = best(spark, sf_dir).where("rank = 1").select("observation_id", "mode_id").join(obs, "observation_id")
-    nxt = F.lead("observation_id").over(Window.partitionBy("mode_id").orderBy("ts", "observation_id"))
-    pairs = first.select("mode_id", F.col("observation_id").alias("source"), nxt.alias("target")).where("target is not null")
+    pairs = E.chain(first, "mode_id", "ts", "observation_id")
     return pairs.unionByName(pairs.select("mode_id", F.col("target").alias("source"), F.col("source").alias("target")))
 
 
@@ -220,20 +220,21 @@ def interval_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {T.KG}, {T.OBS}, hit AS (SELECT o.observation_id, m.radar_id FROM obs o JOIN modes m ON o.value BETWEEN m.klo AND m.khi),
   n AS (SELECT h.observation_id, count(DISTINCT h.radar_id) AS radars, count(DISTINCT c.carrier_id) AS carriers FROM hit h LEFT JOIN carriers c USING (radar_id) GROUP BY 1)
-  SELECT o.observation_id, coalesce(n.radars, 25) AS radars, CASE WHEN coalesce(n.carriers, 0) = 0 THEN (SELECT count(*) FROM carriers) ELSE n.carriers END AS carriers,
+  SELECT o.observation_id, coalesce(n.radars, (SELECT count(DISTINCT radar_id) FROM modes)) AS radars, CASE WHEN coalesce(n.carriers, 0) = 0 THEN (SELECT count(*) FROM carriers) ELSE n.carriers END AS carriers,
   coalesce(n.carriers, 0) = 0 AS used_fallback FROM obs o LEFT JOIN n USING (observation_id)""")
 def point_in_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Radars with a mode around the value, and their carriers; all carriers where there are none."""
     obs = V.observations(spark, sf_dir).select("observation_id", "value")
-    hits = R.point_in_interval(obs, V.modes(spark, sf_dir).select("radar_id", "klo", "khi"), "value", "klo", "khi", width=50.0)
+    modes = V.modes(spark, sf_dir).select("radar_id", "klo", "khi")
+    hits = R.point_in_interval(obs, modes, "value", "klo", "khi", width=50.0)
     carriers = V.carriers(spark, sf_dir).select("radar_id", "carrier_id")
     n = hits.select("observation_id", "radar_id").distinct().join(F.broadcast(carriers), "radar_id", "left").groupBy("observation_id").agg(
         F.countDistinct("radar_id").alias("r"), F.countDistinct("carrier_id").alias("c")
     )
-    everything = F.broadcast(carriers.agg(F.count("*").alias("all")))
+    everything = F.broadcast(carriers.agg(F.count("*").alias("all")).crossJoin(modes.agg(F.countDistinct("radar_id").alias("radar_total"))))
     none = F.coalesce("c", F.lit(0)) == 0
     return obs.select("observation_id").join(n, "observation_id", "left").crossJoin(everything).select(
-        "observation_id", F.coalesce("r", F.lit(25)).alias("radars"), F.when(none, F.col("all")).otherwise(F.col("c")).alias("carriers"), none.alias("used_fallback")
+        "observation_id", F.coalesce("r", "radar_total").alias("radars"), F.when(none, F.col("all")).otherwise(F.col("c")).alias("carriers"), none.alias("used_fallback")
     )
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +21,12 @@ REPORT = (
 LABEL = "struct<aircraft_family:string,aircraft_variant:string,aircraft_id:string,operator:string,radar:string,radar_id:string,mode:string,mode_id:string>"
 OBSERVATION = (
     "struct<observation_id:string,series_id:string,sequence_index:int,elapsed_time_s:double,timestamp_unix:double,timestamp_iso8601:string,"
-    f"approximate_kinematics:struct<ground_speed_max_kph:double,altitude_max_m:double,heading_deg:double>,"
+    "sensor:struct<type:string,platform:string>,estimated_emitter_location:struct<area:string,estimated_latitude_deg:double,estimated_longitude_deg:double,"
+    "error_box:struct<min_latitude_deg:double,max_latitude_deg:double,min_longitude_deg:double,max_longitude_deg:double>>,"
+    "approximate_kinematics:struct<ground_speed_kph:double,ground_speed_error_kph:double,ground_speed_min_kph:double,ground_speed_max_kph:double,"
+    "altitude_m:double,altitude_error_m:double,altitude_min_m:double,altitude_max_m:double,heading_deg:double,heading_error_deg:double>,"
     f"esm_radar_parameters:struct<observed_waveform:string,observed_scan_type:string,measured_centre_frequency_ghz:{MEASURE},measured_bandwidth_mhz:{MEASURE},measured_prf_hz:{MEASURE},"
-    f"measured_pulse_width_us:{MEASURE},measured_duty_cycle:{MEASURE},measured_coherent_processing_interval_ms:{MEASURE},measured_dwell_time_ms:{MEASURE}>,"
+    f"measured_pulse_width_us:{MEASURE},measured_duty_cycle:{MEASURE},measured_coherent_processing_interval_ms:{MEASURE},measured_dwell_time_ms:{MEASURE},measured_pulse_repetition_interval_us:{MEASURE}>,"
     f"ground_truth_label:{LABEL},external_context:struct<operator_priors:map<string,double>,priors:map<string,map<string,double>>,operator:variant>,intelligence_reports:array<{REPORT}>>"
 )
 SERIES = f"struct<series_id:string,emitter_type:string,sample_interval_s:double,duration_s:double,observation_count:int,observations:array<{OBSERVATION}>>"
@@ -50,15 +55,26 @@ def explain_json_error(text: str, around: int = 1) -> str:
     return ""
 
 
-def _check(spark: SparkSession, path: str, key: str) -> None:
-    """Reads the head of the documents again for a message that names the place."""
-    texts = spark.read.text(path, wholetext=True)
-    for row in texts.limit(20).toLocalIterator():
-        if message := explain_json_error(row["value"]):
-            raise DocumentError(message)
-        data = json.loads(row["value"])
-        if not isinstance(data, list) and not isinstance(data.get(key), list):
-            raise DocumentError(f"the document needs a list under {key!r}")
+def _check(spark: SparkSession, path: str, keys: tuple[str, ...]) -> None:
+    """Parses every document where it lies; the first broken one by path raises with its place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for at, text in zip(b.column("at").to_pylist(), b.column("value").to_pylist(), strict=True):
+                message = explain_json_error(text)
+                if not message:
+                    data = json.loads(text)
+                    if not isinstance(data, list) and not (isinstance(data, dict) and any(isinstance(data.get(k), list) for k in keys)):
+                        message = f"the document needs a list under {' or '.join(map(repr, keys))}"
+                if message:
+                    found.append((at, message))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in (0, 1)], names=["at", "message"])
+
+    texts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("at"), "value")
+    bad = texts.mapInArrow(run, "at string, message string").agg(F.min(F.struct("at", "message")).alias("first")).first()["first"]
+    if bad:
+        raise DocumentError(f"{bad['at']}: {bad['message']}")
 
 
 def _documents(spark: SparkSession, path: str) -> DataFrame:
@@ -76,7 +92,7 @@ def load_observations(spark: SparkSession, path: str) -> DataFrame:
 
 def load_series(spark: SparkSession, path: str) -> DataFrame:
     """One row for each series; a broken document raises with its place."""
-    _check(spark, path, "observation_series")
+    _check(spark, path, ("observation_series",))
     return _documents(spark, path).select(F.explode("observation_series").alias("s")).select("s.*")
 
 

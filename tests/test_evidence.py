@@ -25,6 +25,68 @@ def test_two_hypotheses(spark):
     got = row(spark, c=c, k=k)
     assert [round(x, 5) for x in got.c] == [0.42857, 0.51786, 0.05357] and round(got.k, 9) == 0.44
     assert row(spark, c=M.combine(arr(1, 0, 0), arr(0, 1, 0), masks)[0]).c is None
+    for wrong in (M.combine(arr(1, 0, 0), arr(0, 1, 0), masks, strict=True)[0], M.validate_masses(arr(0.5, -0.1), strict=True), M.validate_masses(arr(0, 0), strict=True)):
+        with pytest.raises(Exception, match="total conflict|must not be negative"):
+            row(spark, c=wrong)
+    assert [round(x, 9) for x in row(spark, c=M.validate_masses(arr(1, 3), strict=True)).c] == [0.25, 0.75]
+
+
+def brute_combine(a, b, masks):
+    """Products of all pairs of focal sets."""
+    out, conflict = dict.fromkeys(masks, 0.0), 0.0
+    for x, p in zip(masks, a, strict=True):
+        for y, q in zip(masks, b, strict=True):
+            if x & y:
+                out[x & y] += p * q
+            else:
+                conflict += p * q
+    return [v / (1 - conflict) for v in out.values()], conflict
+
+
+def test_combination_equals_all_pairs_of_focal_sets(spark):
+    rng = random.Random(7)
+    names = ["aircraft:ab-12 a", "aircraft:ab_12b", "ab-12c", "ab/12d", "cd-1", "ef-7a", "ef-7b", "gh 3", "gh 3x", "ij-9", "kl-2"]
+    for masks in (M.subset_masks(3), M.subset_masks(6), M.subset_masks(10), M.frame(names), M.subset_masks(12)):
+        a, b = ([rng.random() for _ in masks] for _ in range(2))
+        a, b = [x / sum(a) for x in a], [x / sum(b) for x in b]
+        want, conflict = brute_combine(a, b, masks)
+        df = spark.createDataFrame([(a, b)], "a array<double>, b array<double>")
+        c, k = M.combine(F.col("a"), F.col("b"), masks)
+        got = df.select(c.alias("c"), k.alias("k"), M.plausibility(F.col("a"), masks, 1).alias("pl")).first()
+        assert max(abs(x - y) for x, y in zip(got.c, want, strict=True)) < 1e-9 and abs(got.k - conflict) < 1e-9
+        assert abs(got.pl - sum(x for x, m in zip(a, masks, strict=True) if m & 2)) < 1e-9
+
+
+def test_types_and_frames_of_names():
+    keys = {"aircraft:Su-27/SK": "su-27", "su_27_ub": "su-27", "MiG-29": "mig-29", "F-16C": "f-16", "Rafale C": "rafale c", "B-2A_Spirit": "b-2", "Tornado-IDS": "tornado", "4x-1": "4x"}
+    assert {k: M.type_key(k) for k in keys} == keys
+    names = [f"su-27{x}" for x in "abcd"] + ["b-1", "f-16a", "f-16b", "j_10a", "j_10b", "x", "y"]
+    masks = M.frame(names)
+    assert len(masks) == 11 + 3 + 1 and masks[11:] == [0b1111, 0b1100000, 0b110000000, (1 << 11) - 1]
+
+
+def test_fusion_keeps_the_conflict_of_each_step(spark):
+    masks = M.subset_masks(3)
+    rng = random.Random(9)
+    vs = []
+    for _ in range(4):
+        raw = [rng.random() for _ in masks]
+        vs.append([x / sum(raw) for x in raw])
+    m, k = M.fuse(F.col("v"), masks)
+    got = spark.createDataFrame([(vs,), (vs[:1],), ([],)], "v array<array<double>>").select(m.alias("m"), k.alias("k")).collect()
+    state, steps = vs[0], []
+    for v in vs[1:]:
+        state, c = brute_combine(state, v, masks)
+        steps.append(c)
+    assert max(abs(x - y) for x, y in zip(got[0].m + got[0].k, state + steps, strict=True)) < 1e-9
+    assert got[1].m == vs[0] and got[1].k == [] and got[2].m is None
+
+
+def test_times(spark):
+    r = row(spark, a=S.iso_utc(S.parse_utc(F.lit("2024-03-01T12:00:00.250+02:00"))), b=S.parse_utc(F.lit("")), c=S.parse_utc(F.lit("soon")), d=S.iso_utc(S.parse_utc(F.lit("2024-03-01T12:00:00Z"))))
+    assert (r.a, r.b, r.c, r.d) == ("2024-03-01T10:00:00.250Z", None, None, "2024-03-01T12:00:00.000Z")
+    lo, hi = S.numeric_range(F.lit(25), 0.1, whole=True)
+    assert tuple(row(spark, a=lo, b=hi, t=M.singleton_target(F.lit(1), 2, powerset=True), d=M.dirichlet(arr(800, 0))[0])[:3]) == (22, 28, [0.0, 0.85, 0.15])
 
 
 def test_frames():
@@ -83,4 +145,4 @@ def test_scores(spark):
     )
     assert (r.inside, r.half, r.none, r.turned) == (1.0, 0.5, None, 1.0) and r.point == pytest.approx(1 - 0.5 / 3) and r.far == pytest.approx(1 - 998.5 / 1000.5)
     assert (r["mean"], r.nothing) == (0.75, 0.0) and r.limits == [0.5, 1.0, 1.0, 0.25]
-    assert (round(r.rec, 9), r.old, r.ahead) == (0.5, 0.25, 1.0) and r.slug == "vx_27_falcon_é" and r.key == "vx"
+    assert (round(r.rec, 9), r.old, r.ahead) == (0.5, 0.25, 1.0) and r.slug == "vx_27_falcon_é" and r.key == "vx-27"

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from credence.operators import candidates, generate, gnn, tables, temporal
+from credence.operators import candidates, etl, generate, gnn, tables, temporal
 from credence.operators import graph as G
 from credence.operators import ranges as R
 from credence.plans import learning, series
@@ -65,6 +65,8 @@ def test_tables(spark):
     new = spark.createDataFrame([(2, 5, True), (3, 6, False)], "id int, v int, w boolean")
     got = sorted(map(tuple, tables.upsert(base, new, "id").collect()), key=str)
     assert got == [(1, "a", 1, None), (2, "b", 5, True), (3, None, 6, False)]
+    gone = spark.createDataFrame([(1, None)], "id int, v int")
+    assert sorted(map(tuple, tables.upsert(base, gone, "id").collect()), key=str) == [(1, "a", None), (2, "b", None)]
     rows = spark.createDataFrame([(1, 2, "x"), (1, 1, "y")], "id int, o int, n string")
     assert [tuple(r) for r in tables.first_wins(rows, "id", "o").collect()] == [(1, 1, "y")]
 
@@ -90,7 +92,7 @@ def test_layers_equal_numpy(spark):
     for d in range(n):
         near = [x[s] for s, _, _ in sorted([e for e in edges if e[1] == d], key=lambda e: (e[2], e[0]))[:2]]
         agg[d] = np.mean(near, axis=0) if near else 0
-    assert np.allclose(np.array([r.x for r in mean]), x + gnn.layer_norm(gnn.gelu(x + agg)))
+    assert np.allclose(np.array([r.x for r in mean]), gnn.layer_norm(x + gnn.gelu(x + agg)))
     q = rng.normal(size=(3, 4, width))
     gated = {r.dst: r.m for r in G.gated_mean(nodes, links, *q.tolist(), [1.0, 0.7, 1.3]).collect()}
     for d in {e[1] for e in edges}:
@@ -115,27 +117,55 @@ def test_strip_and_flatten(spark):
 
 
 def test_generated_rows(spark):
-    rows = V.candidate_rows(spark, DIR)
-    a = generate.observations(spark, rows, 300, seed=7)
-    assert a.repartition(3).count() == 300
-    assert a.where("frequency.min > frequency.value or frequency.max < frequency.value").count() == 0
-    again = generate.observations(spark, rows, 300, seed=7).repartition(5)
-    assert a.exceptAll(again).count() == 0 and generate.observations(spark, rows, 300, seed=8).exceptAll(a).count() > 0
+    own = learning.carriers(spark, DIR)
+    a = generate.observations(spark, own, 300, seed=7).cache()
+    assert a.count() == 300
+    for name, *_ in etl.MEASURES:
+        assert a.where(f"esm_radar_parameters.{name}.min > esm_radar_parameters.{name}.value").count() == 0
+    again = generate.observations(spark, own, 300, seed=7).repartition(5)
+    assert a.exceptAll(again).count() == 0 and generate.observations(spark, own, 300, seed=8).exceptAll(a).count() > 0
+    near = a.select("ground_truth_label.aircraft_id", F.col("candidate_labels_from_shared_kg_features").alias("c"))
+    assert near.where("size(c) < 1 or size(c) > 10 or exists(c, x -> x.operator is null)").count() == 0
     s = generate.series(spark, V.modes(spark, DIR), 30, seed=1, most=2)
     w = s.groupBy("series_id").agg(F.min("sequence_index").alias("a"), F.count("*").alias("n"), F.max("sequence_index").alias("b"))
     assert w.where("a <> 0 or b <> n - 1 or n < 2").count() == 0
     assert temporal.shifts(s, "mode_id").groupBy("series_id").count().where("count > 2").count() == 0
-    r = generate.reports(a, seed=3)
-    n = r.groupBy("observation_id").count()
-    assert n.where("count not between 10 and 12").count() == 0
-    claims = r.select(F.explode("claims").alias("c")).select("c.*")
-    share = claims.agg(F.avg(F.col("synthetic_truth_value").cast("double"))).first()[0]
+    assert s.exceptAll(generate.series(spark, V.modes(spark, DIR), 30, seed=1, most=2, workers=3)).count() == 0
+    r = generate.reports(a, own, seed=3).cache()
+    assert r.groupBy("observation_id").count().where("count not between 10 and 12").count() == 0
+    claims = r.select("observation_id", F.explode("claims").alias("c")).select("observation_id", "c.*").join(a.select("observation_id", "ground_truth_label"), "observation_id").cache()
+    share = claims.agg(F.avg((F.col("synthetic_truth_value") == "correct").cast("double"))).first()[0]
     assert 0.5 < share < 0.7 and claims.select("claim_type").distinct().count() == 7
-    for bad in (lambda: generate.observations(spark, rows, 0, 1), lambda: generate.series(spark, rows, 0, 1), lambda: generate.series(spark, rows, 1, 1, min_s=0.1)):
+    wrong = claims.where("synthetic_truth_value <> 'correct'")
+    known = {c.aircraft_id for c in own.collect()}
+    for kind, field in (("operator", "operator"), ("aircraft_variant", "aircraft_id"), ("radar_type", "radar_id"), ("radar_mode", "mode_id")):
+        rows = wrong.where(F.col("claim_type") == kind).select("object_id", f"ground_truth_label.{field}").collect()
+        assert rows and all(x.object_id and x.object_id != x[field] for x in rows)
+        assert kind != "aircraft_variant" or {x.object_id for x in rows} <= known
+    for bad in (
+        lambda: generate.observations(spark, own, 0, 1), lambda: generate.series(spark, own, 0, 1), lambda: generate.series(spark, own, 1, 1, min_s=0.1), lambda: generate.series(spark, own, 1, 1, span_s=3.0),
+        lambda: generate.series(spark, own, 1, 1, workers=0), lambda: generate.series(spark, own, 1, 1, most=-1), lambda: generate.reports(a, own, 1, 5, 4), lambda: generate.budgets(a, 1, 3, 2),
+        lambda: generate.with_reports(a, own, 1, series_bounds=(1, None)),
+    ):
         with pytest.raises(ValueError):
             bad()
 
 
+def test_report_budgets_of_series(spark):
+    own = learning.carriers(spark, DIR)
+    found = generate.observations(spark, own, 40, seed=5).withColumn("n", F.substring("observation_id", -2, 2).cast("int"))
+    found = found.withColumn("series_id", F.concat(F.lit("s"), (F.col("n") % 4).cast("string"))).withColumn("sequence_index", F.col("n"))
+    rows = generate.with_reports(found, own, 9, series_bounds=(6, 8)).select("series_id", "observation_id", F.size("intelligence_reports").alias("k"), "intelligence_reports").collect()
+    assert len(rows) == 40
+    totals = {}
+    for r in rows:
+        totals[r.series_id] = totals.get(r.series_id, 0) + r.k
+        assert [x.report_id for x in r.intelligence_reports] == [f"intel_report:{r.observation_id}:{i + 1:02d}" for i in range(r.k)]
+    assert len(totals) == 4 and all(6 <= n <= 8 for n in totals.values())
+    none = generate.with_reports(found, own, 9, series_bounds=(0, 0))
+    assert none.where("size(intelligence_reports) <> 0").count() == 0
+
+
 def test_documents(spark, tmp_path):
     obs = {"observation_id": "o1", "external_context": {"operator_priors": {"x": 0.5}, "operator": ["a", "b"]}, "intelligence_reports": [{"report_id": "r1", "claims": [{"claim_id": "c"}]}]}
     (tmp_path / "flat.json").write_text(json.dumps({"observations": [obs, {"observation_id": "o2", "series_id": "s9"}]}))
@@ -149,6 +179,14 @@ def test_documents(spark, tmp_path):
         D.load_series(spark, str(tmp_path / "bad.json"))
     with pytest.raises(D.DocumentError, match="list under"):
         D.load_series(spark, str(tmp_path / "flat.json"))
+    many = tmp_path / "many"
+    many.mkdir()
+    for i in range(30):
+        (many / f"{i:02d}.json").write_text(json.dumps({"observation_series": [{"series_id": f"s{i}", "observations": []}]}))
+    assert D.load_series(spark, str(many)).count() == 30
+    (many / "27.json").write_text('{"observation_series": [}')
+    with pytest.raises(D.DocumentError, match=r"27\.json: invalid JSON at line 1"):
+        D.load_series(spark, str(many))
     triples = spark.createDataFrame([("a", "R", "b"), ("c", "S", "d,e")], "source string, relation string, target string")
     D.write_triples(triples, str(tmp_path / "t"))
     assert sorted(map(tuple, D.read_triples(spark, str(tmp_path / "t")).collect())) == sorted(map(tuple, triples.collect()))

@@ -52,3 +52,22 @@ def test_without_twin_is_repeatable(spark, name):
     one, two = catalogue.QUERIES[name](spark, SF_DIR), catalogue.QUERIES[name](spark, SF_DIR)
     assert one.schema == two.schema
     assert table(one.collect(), one.columns) == table(two.collect(), two.columns)
+
+
+def test_entry_without_the_subpackage(monkeypatch):
+    import importlib
+    import sys
+
+    def gone(name, *args, **kwargs):
+        if name in ("corpus_pipeline", "credence.llm"):
+            raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+        return real(name, *args, **kwargs)
+
+    import builtins
+
+    real = builtins.__import__
+    monkeypatch.setattr(builtins, "__import__", gone)
+    sys.modules.pop("__spark_entry__", None)
+    entry = importlib.import_module("__spark_entry__")
+    assert set(entry.queries()) == set(catalogue.QUERIES) and "candidate_topk" in entry.oracle_sql()
+    sys.modules.pop("__spark_entry__", None)
