@@ -197,7 +197,7 @@ def test_evidence_of_documents(spark, tmp_path):
     assert (first.mode_id, first.aircraft_id, first.operator) == ("radar_mode:r_one:search", "aircraft:su_1_a", "X") and first.mode_score == 1.0 and first.aircraft_score == 1.0
     assert first.text_score == pytest.approx(0.75 + 0.15 + 0.05) and first.missing_feature_count == 5.0 and first.degree_score == 1.0 and first.observation_uncertainty_width == pytest.approx(0.1)
     # A name that the map lacks is held against the single one that is given.
-    assert [(best["o2", k].operator, best["o2", k].text_score) for k in (1, 2)] == [("X", 1.0), ("Y", pytest.approx(0.99))] and best["o3", 1].mode_score == 0.0
+    assert [(best["o2", k].operator, best["o2", k].text_score) for k in (1, 2, 3)] == [("X", 1.0), ("X", 1.0), ("Y", pytest.approx(0.99))] and best["o3", 1].mode_score == 0.0
     assert first.center_frequency_residual == 0.0 and first.prf_residual is None and first.ds_masses == [pytest.approx(0.04), pytest.approx(0.76), 0.2]
     rest = {name: t.collect() for name, t in out.items()}
     assert {n: len(r) for n, r in rest.items()} == {"observations": 3, "candidates": 15, "candidate_edges": 15, "contradiction_edges": len(rest["contradiction_edges"]), "truth_edges": 4, "similarity_edges": 4}
