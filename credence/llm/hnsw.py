@@ -37,7 +37,7 @@ from credence.llm._common import cut, shuffle_width
 
 M = 24  # links that a node chooses; with those from others M at most, twice as many on the lowest layer
 EF_BUILD = 80
-EF_SEARCH = 80
+EF_SEARCH = 128
 EF_DESCENT = 8
 SHARD_ROWS = 20_000
 MIN_SHARDS = 4
