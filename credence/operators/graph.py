@@ -99,11 +99,27 @@ def grouped_split(rows: DataFrame, group: str, train: float, test: float, shuffl
     )
 
 
-def stratified_split(rows: DataFrame, stratum: str, train: float, test: float, order: Sequence[Column]) -> DataFrame:
+def places(rows: DataFrame, group: str, lead: Column, rest: Sequence[Column], slice_width: int) -> DataFrame:
+    """Rows with their place (__p, from 1) among the rows of their group (__n) by ``lead``, then ``rest``.
+
+    A group is cut into slices of its range of ``lead``, a number, each ``slice_width`` wide, and a slice is numbered
+    on from the rows of those before it; so a group is as many tasks as it has slices. Windows over whole groups
+    see a row for each slice. Rows whose ``lead`` is null are one slice, the first.
+    """
+    cut = rows.withColumn("__lead", lead).withColumn("__slice", F.floor(F.col("__lead") / slice_width))
+    sizes = cut.groupBy(F.col(group).alias("__g"), F.col("__slice").alias("__s")).agg(F.count("*").alias("__in"))
+    whole = Window.partitionBy("__g")
+    upto = F.sum("__in").over(whole.orderBy(F.asc_nulls_first("__s")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    before = sizes.select("__g", "__s", (upto - F.col("__in")).alias("__before"), F.sum("__in").over(whole).alias("__n"))
+    own = F.row_number().over(Window.partitionBy(group, "__slice").orderBy(F.asc_nulls_first("__lead"), *rest))
+    met = cut.withColumn("__own", own).join(before, F.col(group).eqNullSafe(F.col("__g")) & F.col("__slice").eqNullSafe(F.col("__s")))
+    return met.select(*rows.columns, (F.col("__own") + F.col("__before")).alias("__p"), "__n")
+
+
+def stratified_split(rows: DataFrame, stratum: str, train: float, test: float, lead: Column, rest: Sequence[Column], slice_width: int) -> DataFrame:
     """Within each stratum the first share in a shuffled order trains, the next tests, the rest validates."""
-    place = F.row_number().over(Window.partitionBy(stratum).orderBy(*order))
-    n = F.count("*").over(Window.partitionBy(stratum))
-    return rows.withColumn("__p", place).withColumn("__n", n).withColumn("split", split_of(F.col("__p"), F.col("__n"), train, test)).drop("__p", "__n")
+    placed = places(rows, stratum, lead, rest, slice_width)
+    return placed.withColumn("split", split_of(F.col("__p"), F.col("__n"), train, test)).drop("__p", "__n")
 
 
 def filter_edges(edges: DataFrame, splits: DataFrame, dropped: Sequence[int]) -> DataFrame:

@@ -18,6 +18,7 @@ from credence.sources import views as V
 
 N = 64  # entries of a vector
 WIDTH = 3
+SLICE = 1000  # of the range of a seeded order, 1,000,003 numbers wide
 #: Fixed weights of the layers that queries evaluate, by rule.
 BASES = [[[((7 * i + 3 * j + 5 * b) % 11 - 5) / 10 for j in range(WIDTH)] for i in range(N)] for b in range(2)]
 MIX = [[1.0, 0.5], [-0.5, 1.0], [0.25, 0.75]]
@@ -97,7 +98,7 @@ _STRAT = """sp AS (SELECT vec_id AS node_id, label, CASE WHEN p <= floor(n * 0.7
 
 def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.vectors(spark, sf_dir).select("node_id", "label")
-    return G.stratified_split(rows, "label", 0.7, 0.15, [_shuffled(F.col("node_id")), F.col("node_id")])
+    return G.stratified_split(rows, "label", 0.7, 0.15, _shuffled(F.col("node_id")), [F.col("node_id")], SLICE)
 
 
 @query(f"WITH {_STRAT} SELECT * FROM sp")
@@ -108,8 +109,9 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY (o_orderkey * 7919 + 104729) % 1000003, o_orderkey) AS place FROM orders")
 def deterministic_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places in a seeded order within batches by priority."""
-    place = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy(_shuffled(F.col("o_orderkey")), "o_orderkey"))
-    return V.table(spark, sf_dir, "orders").select("o_orderkey", place.alias("place"))
+    rows = V.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    placed = G.places(rows, "o_orderpriority", _shuffled(F.col("o_orderkey")), [F.col("o_orderkey")], SLICE)
+    return placed.select("o_orderkey", F.col("__p").alias("place"))
 
 
 @query(f"""WITH {T.EDGES}, {_STRAT}, kept AS (SELECT e.* FROM edges e LEFT JOIN sp a ON a.node_id = src LEFT JOIN sp b ON b.node_id = dst WHERE rel <> 1 AND (a.split IS NULL OR b.split IS NULL OR a.split = b.split))

@@ -212,3 +212,17 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_prediction_beats_chance(spark):
     rows = QUERIES["gnn_predict"](spark, DIR)
     assert rows.where("confidence < 0 or confidence > 1.0000001").count() == 0 and rows.count() == 500
+
+
+def test_places_equal_one_window_with_nulls_and_ties(spark):
+    from pyspark.sql import Window
+
+    rows = spark.createDataFrame(
+        [(k, ["a", "b", None][(k // 7) % 3] if k % 5 else "a", (k * 37) % 50 - 10 if k % 11 else None) for k in range(300)] + [(7, "a", 3)] * 2, "id long, g string, x long"
+    )
+    order = Window.partitionBy("g").orderBy(F.asc_nulls_first("x"), "id")
+    plain = rows.select("id", "g", "x", F.row_number().over(order).alias("p"), F.count("*").over(Window.partitionBy("g")).alias("n"))
+    for width in (1, 7, 1000):
+        got = G.places(rows, "g", F.col("x"), [F.col("id")], width).select("id", "g", "x", "__p", "__n")
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, plain.collect())))
+    assert G.places(rows.limit(0), "g", F.col("x"), [F.col("id")], 7).count() == 0
