@@ -1,12 +1,12 @@
-"""SimHash near-duplicates by an inverted index on byte positions with count filtering.
+"""SimHash near-duplicates by an inverted index on choices of five byte positions, in place of count filtering.
 
 A fingerprint is eight positional bytes. Two fingerprints that differ in at most three bits differ in at
 most three bytes, so they share at least five of the eight positional bytes: the guaranteed minimum. Lists
 of one positional byte hold a 256th of all rows or more, and a tally over their pairs grows with the square
 of the table. The index therefore keeps one posting list for each choice of five positions and their bytes
-(56 choices): a pair that reaches the minimum meets in some list, and no pair below it meets in any. Where
-pairs meet, their shared positional bytes are tallied, those with five or more are retained, and the bits
-that differ are counted to verify them.
+(56 choices): a pair that reaches the minimum meets in some list, and no pair below it meets in any. In a
+list of two the shared positional bytes are tallied; in a longer one they are five or more by construction.
+The bits that differ are counted to verify a pair.
 
 Copies are collapsed first: a fingerprint enters the index once, under its smallest doc_id. A list emits
 no pairs but a spanning forest of its links, so a list of m fingerprints emits fewer than m rows and no
