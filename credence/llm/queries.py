@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.llm import decontam, hnsw, html_extract, line_dedup, packing, quality, runs, simhash, suffix_dedup, token_counts, toxicity
+from credence.llm import decontam, divergence, hnsw, html_extract, line_dedup, packing, quality, runs, simhash, suffix_dedup, token_counts, toxicity
 from credence.llm import twins
 from credence.llm._common import read
 
@@ -57,6 +57,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_report(read(spark, sf_dir, "documents"))
 
@@ -66,9 +70,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_html_extraction, op2_token_counts, op3_line_dedup, op4_best_fit_packing, op5_hnsw,
         op6_simhash, op7_suffix_arrays, op8_toxicity, op9_decontamination, op10_quality,
-        op12_periodic_runs,
+        op11_source_divergence, op12_periodic_runs,
     )
 }
 
 #: The others can't be written in SQL at a bearable cost; tests/llm holds them against brute force.
-ORACLE: dict[str, str] = {"op3_line_dedup": twins.LINE_DEDUP}
+ORACLE: dict[str, str] = {"op3_line_dedup": twins.LINE_DEDUP, "op11_source_divergence": twins.DIVERGENCE}

@@ -32,3 +32,22 @@ out AS (SELECT doc_id, string_agg(body, chr(10) ORDER BY line) AS text FROM line
 final AS (SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(o.text, '') END AS text, coalesce(s.removed, '') AS removed
   FROM documents d LEFT JOIN out o USING (doc_id) LEFT JOIN spans s USING (doc_id))
 SELECT doc_id, text, length(text) AS n_chars, removed FROM final"""
+
+#: Shares of kept terms by group and language in whole numbers; sources pair by their language, terms above the language's share rank.
+DIVERGENCE = r"""
+WITH doc AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+word AS (SELECT id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM doc),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS n FROM word GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+whole AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS n FROM kept GROUP BY lang),
+vocab AS (SELECT k.lang, term, v, 1 + (1000000000::HUGEINT * (k.n + 5)) // (w.n + 5 * v) AS q FROM kept k JOIN whole w USING (lang)),
+grp AS (SELECT DISTINCT lang, source FROM doc),
+cnt AS (SELECT lang, source, term, count(*)::HUGEINT AS c FROM word JOIN kept USING (lang, term) GROUP BY ALL),
+tot AS (SELECT g.lang, g.source, coalesce(sum(c), 0)::HUGEINT AS n FROM grp g LEFT JOIN cnt USING (lang, source) GROUP BY ALL),
+cell AS (SELECT t.lang, t.source, term, coalesce(c, 0) AS c, q, 1 + (1000000000::HUGEINT * (coalesce(c, 0) + 5)) // (t.n + 5 * v) AS p
+  FROM tot t JOIN vocab USING (lang) LEFT JOIN cnt USING (lang, source, term)),
+gap AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM cell a JOIN cell b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(g.value, 0)::BIGINT AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN gap g ON g.lang = a.lang AND g.source = a.source AND g.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM cell WHERE c > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50"""
