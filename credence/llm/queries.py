@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.llm import decontam, divergence, hnsw, html_extract, line_dedup, packing, quality, runs, simhash, suffix_dedup, token_counts, toxicity
+from credence.llm import decontam, divergence, fingerprints, hnsw, html_extract, line_dedup, packing, quality, runs, simhash, suffix_dedup, token_counts, toxicity
 from credence.llm import twins
 from credence.llm._common import read
 
@@ -65,12 +65,16 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_report(read(spark, sf_dir, "documents"))
 
 
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edits(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_html_extraction, op2_token_counts, op3_line_dedup, op4_best_fit_packing, op5_hnsw,
         op6_simhash, op7_suffix_arrays, op8_toxicity, op9_decontamination, op10_quality,
-        op11_source_divergence, op12_periodic_runs,
+        op11_source_divergence, op12_periodic_runs, op13_document_fingerprints,
     )
 }
 
