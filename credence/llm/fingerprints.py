@@ -121,7 +121,7 @@ def fingerprints(docs: DataFrame, table: DataFrame | None = None) -> DataFrame:
 
 
 def _order(light: DataFrame) -> DataFrame:
-    """(kd, tag, n, next_kd, next_tag) of rows (kd, tag, doc_id, n): the next one in descending order of doc_id, the first after the last."""
+    """(kd, tag, doc_id, n, next_kd, next_tag) of rows (kd, tag, doc_id, n): the next one in descending order of doc_id, the first after the last."""
     marks = [(i + 1) / SLICES for i in range(SLICES - 1)]
     # At most SLICES numbers come to the driver.
     found = light.agg(F.percentile_approx("doc_id", marks, 10_000)).first()[0] or []
@@ -140,7 +140,7 @@ def _order(light: DataFrame) -> DataFrame:
     edges = cutted.groupBy(*slice_).agg(F.max(at).alias("last"))
     edges = edges.select(*slice_, F.lag("last").over(whole).alias("edge"), F.last("last").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("wrap"))
     met = cutted.withColumn("before", before).join(F.broadcast(edges), slice_).withColumn("next", F.coalesce("before", "edge", "wrap"))
-    return met.select("kd", "tag", "n", F.col("next.kd").alias("next_kd"), F.col("next.tag").alias("next_tag"))
+    return met.select("kd", "tag", "doc_id", "n", F.col("next.kd").alias("next_kd"), F.col("next.tag").alias("next_tag"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -148,7 +148,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     rows = _rows(docs)
     light = cut(rows.groupBy("kd", "tag").agg(F.max("doc_id").alias("doc_id"), F.max(F.char_length("text")).cast("long").alias("n")))
     order = cut(_order(light))
-    once = rows.dropDuplicates(["kd", "tag"])
+    # Read twice with the same columns, so both share one shuffle.
+    once = rows.select("kd", "tag", "text").dropDuplicates(["kd", "tag"])
     wanted = order.select(F.col("next_kd").alias("kd"), F.col("next_tag").alias("tag"), F.col("kd").alias("to_kd"), F.col("tag").alias("to_tag"), "n")
     third = F.floor(F.col("n") / 3).cast("int")
     heads = once.join(wanted, ["kd", "tag"]).select(F.col("to_kd").alias("kd"), F.col("to_tag").alias("tag"), F.substring("text", F.lit(1), third).alias("head"))
