@@ -152,9 +152,10 @@ def vectors(docs: DataFrame) -> DataFrame:
     groups = words.select("lang", "source").distinct()
     by_term = counts.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs")).where(F.col("docs") >= LEAST).drop("docs")
     by_term = cut(by_term)
-    # A row for each language.
-    langs = by_term.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("lang_n")).withColumn("shards", F.ceil(F.col("v") / SHARD))
-    cell = by_term.join(langs, "lang").withColumn("shard", F.pmod(F.xxhash64("term"), F.col("shards")))
+    # A row for each language, written so that its size is known.
+    langs = cut(by_term.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("lang_n")).withColumn("shards", F.ceil(F.col("v") / SHARD)))
+    # Dealt by shard, lest a language's whole vocabulary be numbered in one task.
+    cell = by_term.join(langs, "lang").withColumn("shard", F.pmod(F.xxhash64("term"), F.col("shards"))).repartition("lang", "shard")
     number = F.row_number().over(Window.partitionBy("lang", "shard").orderBy("term")) - 1
     cell = cut(cell.select("lang", "term", "shard", number.alias("number"), share(F.col("total"), F.col("lang_n"), F.col("v")).alias("q"), "v"))
     have = cut(counts.join(cell, ["lang", "term"]).select("lang", "source", "term", "shard", "number", "q", "n"))
