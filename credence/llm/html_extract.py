@@ -9,13 +9,17 @@ zero.
 Where the page marks an article, the lines of its containers are the lines looked at; of several kinds of
 marks the one whose containers hold most text counts. What a writer put there is text from the start, so it
 dives only at a whole window without weight, that is at ``WINDOW`` lines of links or more, all of which go,
-and surges again at the next line with weight; a lone line of links stays. A container without any weight
-is kept whole. On other pages the threshold is ``SURGE`` characters or half of the largest window, whichever
-is less, and since regions are parted by lines without weight alone, all lines with weight after the first
-surge are kept, short ones too.
+and surges again at the next line with weight; a lone line of links stays, and so does a run of them that a
+heading leads, such as a list of sources. A container without any weight is kept whole. On other pages the threshold is ``SURGE`` characters or half of the largest window, whichever
+is less, and since regions are parted by lines without weight alone, all lines from the first surge to the last line
+with weight are kept, short ones too, but for what is no article text and for whole windows of links.
+
+A form is no article text unless it holds the article: a mark of one, or most of the page's text.
 
 Classes of <html>, <body> and <main> drop nothing, nor do those that tell of a layout ("has-sidebar") or in
 which a word that could name a sidebar or the like stands beside words of another sense ("social-science").
+Ids of headings are anchors and drop nothing, nor do those of sections within an article but for what names readers'
+comments, related texts and the like.
 Where all lines of a page weigh nothing by their surroundings, it is read again without regard to class words.
 
 A null or empty page has the empty text. Repeated rows give repeated results; further columns are ignored.
@@ -48,7 +52,8 @@ _CAMEL = re.compile(r"([a-z])([A-Z])")
 # Elements of the HTML standard by what they mean for the text.
 _RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 _GONE = _RAW | {"noscript", "template", "svg", "math", "object", "canvas", "audio", "video", "select", "button", "datalist", "head"}
-_ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset"}
+_ASIDE = {"nav", "header", "footer", "aside", "menu", "dialog", "fieldset"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "input",
@@ -77,6 +82,11 @@ _SHAPE_WORDS = {
     "links", "list", "main", "mobile", "outer", "page", "pane", "panel", "post", "posts", "article", "articles", "primary", "right", "row", "secondary", "section", "site", "slot",
     "small", "stories", "sticky", "text", "title", "top", "unit", "view", "widget", "wrap", "wrapper", "zone", "header", "head", "meta", "media", "page", "user", "story", "thread",
 }
+#: Words of the ids of sections within an article that name something else than a part of it.
+_PART_WORDS = {
+    "comment", "comments", "commentlist", "disqus", "respond", "reply", "replies", "related", "recommended", "recommendations", "newsletter", "signup", "subscribe", "share", "sharing",
+    "sidebar", "sponsor", "sponsored", "outbrain", "taboola", "paywall",
+}
 #: Elements that hold the page or its main part, whatever their classes say of the rest.
 _HOLDERS = {"html", "body", "main"}
 #: Words beside which one of the above tells of the page's layout and names nothing.
@@ -107,12 +117,16 @@ def _aside(tag: str, attrs: str, in_main: bool, named: bool = True) -> tuple[boo
             elif name == "role" and value.lower() in ("main", "article"):
                 strength = max(strength, 4)
             elif name not in ("hidden", "aria-hidden"):
+                if name == "id" and tag in _HEADINGS:
+                    continue
                 for token in value.split():
                     words = set(_WORDS.findall(_CAMEL.sub(r"\1 \2", token).lower()))
                     names |= words
                     # An article is a comment or teaser only where a class says just that.
                     if words & _LAYOUT_WORDS or tag == "article" and len(words) > 1:
                         continue
+                    if name == "id" and tag == "section" and in_main and not words & _PART_WORDS:
+                        continue
                     if all(w in _ASIDE_WORDS or w in _SHAPE_WORDS or w in _HEAD_WORDS or w.isdigit() or len(w) < 3 for w in words):
                         others |= words
         if named and tag not in _HOLDERS and (others & _ASIDE_WORDS or not in_main and names & _HEAD_WORDS and tag != "article"):
@@ -122,10 +136,18 @@ def _aside(tag: str, attrs: str, in_main: bool, named: bool = True) -> tuple[boo
     return aside, 0 if aside else strength
 
 
-def lines(html: str, named: bool = True) -> list[tuple[str, bool, frozenset[int], float]]:
-    """(text, aside, strengths of the article marks around it, share of its text in links) of each block."""
-    out: list[tuple[str, bool, frozenset[int], float]] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # tag, gone, aside, strength
+Line = tuple[str, bool, frozenset[int], float, bool]
+
+
+def lines(html: str, named: bool = True) -> list[Line]:
+    """(text, aside, strengths of the article marks around it, share of its text in links, whether it is a heading) of each block."""
+    out: list[Line] = []
+    #: Of each form whether it holds an article's mark; the forms around each line.
+    holds: list[bool] = []
+    around: list[tuple[int, ...]] = []
+    forms: tuple[int, ...] = ()
+    heading = False
+    stack: list[tuple[str, bool, bool, int, int]] = []  # tag, gone, aside, strength, number of the form or -1
     gone = aside = False
     strength = links = linked = 0
     marks: frozenset[int] = frozenset()
@@ -136,16 +158,18 @@ def lines(html: str, named: bool = True) -> list[tuple[str, bool, frozenset[int]
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                out.append((text, aside, marks, min(1.0, linked / len(text))))
+                out.append((text, aside, marks, min(1.0, linked / len(text)), heading))
+                around.append(forms)
             parts.clear()
         linked = 0
 
     def state() -> None:
-        nonlocal gone, aside, strength, links, marks
+        nonlocal gone, aside, strength, links, marks, forms, heading
         gone, aside = any(x[1] for x in stack), any(x[2] for x in stack)
         marks = frozenset(x[3] for x in stack if x[3])
         strength = max(marks, default=0)
         links = sum(x[0] == "a" for x in stack)
+        forms, heading = tuple(x[4] for x in stack if x[4] >= 0), any(x[0] in _HEADINGS for x in stack)
 
     at, end = 0, len(html)
     while at < end:
@@ -199,16 +223,26 @@ def lines(html: str, named: bool = True) -> list[tuple[str, bool, frozenset[int]
             del stack[next(k for k, x in enumerate(stack) if x[0] == "head") :]
             state()
         is_aside, mark = _aside(tag, attrs, strength >= 3, named)
-        new = (tag, tag in _GONE, is_aside, mark)
+        if tag == "form":
+            holds.append(False)
+        if mark >= 3:
+            for k in forms:
+                holds[k] = True
+        new = (tag, tag in _GONE, is_aside, mark, len(holds) - 1 if tag == "form" else -1)
         if not block and (is_aside or new[1]):
             flush()
         stack.append(new)
-        gone, aside = gone or new[1], aside or is_aside
+        gone, aside, heading = gone or new[1], aside or is_aside, heading or tag in _HEADINGS
+        if tag == "form":
+            forms = (*forms, new[4])
         if mark and mark not in marks:
             marks, strength = marks | {mark}, max(strength, mark)
         links += tag == "a"
     flush()
-    return out
+    mass = [sum(len(x[0]) for x, f in zip(out, around, strict=True) if k in f and not x[1]) for k in range(len(holds))]
+    whole = sum(len(x[0]) for x in out if not x[1])
+    held = {k for k in range(len(holds)) if holds[k] or 2 * mass[k] > whole}
+    return [x if set(f) <= held else (x[0], True, *x[2:]) for x, f in zip(out, around, strict=True)]
 
 
 def regions(weights: list[int], threshold: int, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -248,37 +282,47 @@ def extract(html: str | None) -> str:
     return _text(lines(html)) or _text(lines(html, named=False))
 
 
-def _marked(found: list[tuple[str, bool, frozenset[int], float]]) -> list[bool]:
+def _marked(found: list[Line]) -> list[bool]:
     """Which lines stand in the article's containers; none where nothing is marked.
 
     The mark whose containers hold most text, of equal ones the strongest; inside it a stronger mark whose
     containers hold at least half of that text.
     """
     mass: dict[int, int] = {}
-    for t, aside, marks, _ in found:
+    for t, aside, marks, *_ in found:
         for s in marks if not aside else ():
             mass[s] = mass.get(s, 0) + len(t)
     if not mass:
         return [False] * len(found)
     most = max(mass, key=lambda s: (mass[s], s))
-    inside = {s: sum(len(t) for t, aside, marks, _ in found if not aside and {s, most} <= marks) for s in mass}
+    inside = {s: sum(len(t) for t, aside, marks, *_ in found if not aside and {s, most} <= marks) for s in mass}
     best = max(s for s in mass if s >= most and 2 * inside[s] >= mass[most])
-    return [not aside and {most, best} <= marks for _, aside, marks, _ in found]
+    return [not aside and {most, best} <= marks for _, aside, marks, *_ in found]
+
+
+def _links_go(found: list[Line]) -> list[bool]:
+    """Which lines are links in whole windows of them that no heading leads."""
+    gone = dives([len(x[0]) if x[3] <= 0.5 else 0 for x in found])
+    for i, x in enumerate(found):
+        led = i and (found[i - 1][4] and not gone[i - 1] or i > 1 and gone[i] and not gone[i - 1] and found[i - 1][3] > 0.5)
+        if gone[i] and led:
+            gone[i] = False
+    return gone
 
 
-def _text(found: list[tuple[str, bool, frozenset[int], float]]) -> str:
+def _text(found: list[Line]) -> str:
     marked = _marked(found)
     if any(marked):
         own = [x for x, m in zip(found, marked, strict=True) if m]
-        gone = dives([len(t) if link <= 0.5 else 0 for t, _, _, link in own])
-        return "\n\n".join(x[0] for x, g in zip(own, gone, strict=True) if not g)
-    weights = [len(t) if not aside and link <= 0.5 else 0 for t, aside, _, link in found]
+        return "\n\n".join(x[0] for x, g in zip(own, _links_go(own), strict=True) if not g)
+    weights = [len(x[0]) if not x[1] and x[3] <= 0.5 else 0 for x in found]
     if not any(weights):
         return ""
     largest = max(sum(weights[i : i + WINDOW]) for i in range(len(weights)))
     # Only lines without weight part the regions: what follows the first surge is one article.
-    keep = [(a, len(weights)) for a, _ in regions(weights, max(1, min(SURGE, largest // 2)))[:1]]
-    return "\n\n".join(found[i][0] for a, b in keep for i in range(a, b) if weights[i])
+    first = regions(weights, max(1, min(SURGE, largest // 2)))[0][0]
+    own = [x for x in found[first : max(i for i, w in enumerate(weights) if w) + 1] if not x[1]]
+    return "\n\n".join(x[0] for x, g in zip(own, _links_go(own), strict=True) if not g)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

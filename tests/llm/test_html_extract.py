@@ -150,3 +150,32 @@ def test_words_of_another_sense_beside_class_words_drop_nothing():
         assert extract(f"<body><article><p>Intro.</p><{tag}><p>The text.</p></{tag.split()[0]}></article></body>") == "Intro.\n\nThe text."
     for name in ("share-buttons", "related-posts", "ad-slot-3", "cookie-banner", "newsletter-signup"):
         assert extract(f'<body><article><p>Intro.</p><div class="{name}"><p>Not this.</p></div></article></body>') == "Intro."
+
+
+def test_forms_that_hold_the_article():
+    inner = "<nav><a href=/>Home</a></nav><article><h1>Title</h1><p>One paragraph of it.</p><p>Another one.</p><form><label>Mail</label> Sign up here</form></article>"
+    want = "Title\n\nOne paragraph of it.\n\nAnother one."
+    assert extract(f'<body><form id="aspnetForm" action="x">{inner}</form></body>') == want
+    body = "".join(f"<p>{'Plain sentence number %d of the article. ' % i * 3}</p>" for i in range(5))
+    got = extract(f"<body><form id=f><div><a href=x>One</a></div>{body}</form><form><p>Write to us</p></form></body>").split("\n\n")
+    assert len(got) == 5 and all(x.startswith("Plain sentence") for x in got)
+
+
+def test_ids_of_headings_and_sections_are_anchors():
+    page = (
+        '<article><h1>Title</h1><h2 id="legal">Legal</h2><p>Text a.</p><h2 id="Advertising">Advertising</h2><p>Text b.</p><h3 id="search">Search</h3><p>Text c.</p>'
+        '<section id="navigation"><p>How ships find their way.</p></section><section id="comments"><p>I disagree.</p></section></article>'
+    )
+    assert extract(page) == "Title\n\nLegal\n\nText a.\n\nAdvertising\n\nText b.\n\nSearch\n\nText c.\n\nHow ships find their way."
+
+
+def test_lists_of_links_that_a_heading_leads_stay():
+    sources = "<ul>" + "".join(f"<li><a href={i}>Source {i}</a></li>" for i in range(4)) + "</ul>"
+    assert extract(f"<article><h1>T</h1><p>Text.</p><h2>Sources</h2>{sources}</article>").endswith("Sources\n\nSource 0\n\nSource 1\n\nSource 2\n\nSource 3")
+    assert extract(f"<article><h1>T</h1><p>Text.</p>{sources}<p>End.</p></article>") == "T\n\nText.\n\nEnd."
+
+
+def test_a_line_of_links_within_an_unmarked_article_stays():
+    long = "<p>" + "Many words make a sentence of some length. " * 4 + "</p>"
+    got = extract(f"<body>{long}<p><a href=x>Read the whole report of the commission here</a></p>{long}<div><a href=q>next</a></div></body>").split("\n\n")
+    assert len(got) == 3 and got[1].startswith("Read the whole report")
