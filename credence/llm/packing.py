@@ -9,10 +9,10 @@ that need its length or for want of others to fill it. What a bin of size c can
 itself and, up to the room beside it, the tokens of the pieces yet to come that are no longer than that
 room. When all are packed, each bin is cut down to the least permitted size that holds its contents.
 
-The number of shards follows from the numbers of tokens and pieces, and a row's shard is drawn with a fixed
-seed before the lengths are written, so a shard's work and memory are bounded whatever the input: no source,
-length, id or missing id can fill one alone, and a lost executor changes nothing. Only ids and lengths are
-shuffled.
+The number of shards follows from the numbers of tokens and pieces, and a row's shard is drawn by a digest of its id,
+its length and an ordinal among equal ones, so a shard's work and memory are bounded whatever the input: no source,
+length, id or missing id can fill one alone, and neither a lost executor nor the order or partitions of the input
+change anything. Only ids and lengths are shuffled.
 
 Lengths are tokens of the given vocabulary, unless a column is named. Null and empty texts have length 0
 and one piece of length 0 at the start of a bin of its shard. Repeated rows are packed each; further columns
@@ -78,6 +78,19 @@ def pack(sizes: list[int], capacities: tuple[int, ...] = CAPACITIES) -> tuple[li
     return bins, offsets, [next(c for c in caps if c >= n) for n in filled]
 
 
+def _drawn(sized: DataFrame) -> DataFrame:
+    """``sized`` (doc_id, length) with a number drawn by a digest of both and an ordinal among equal rows.
+
+    Equal rows can't be told apart in the result, so they are counted and made again, a part of them at a time.
+    """
+    part = 1000
+    counted = sized.groupBy("doc_id", "length").agg(F.count("*").alias("n"))
+    parts = counted.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / part))))
+    parts = parts.repartition("doc_id", "length", "at")
+    each = parts.withColumn("no", F.explode(F.sequence(F.col("at") * part, F.least(F.col("n"), (F.col("at") + 1) * part) - 1)))
+    return each.select("doc_id", "length", F.xxhash64("doc_id", "length", "no").alias("draw"))
+
+
 def pack_documents(
     docs: DataFrame,
     length: str | None = None,
@@ -93,7 +106,7 @@ def pack_documents(
         if length
         else token_counts.count_tokens(docs, model=model).select("doc_id", F.col("n_tokens").alias("length"))
     )
-    sized = cut(sized.withColumn("draw", (F.rand(0) * (1 << 53)).cast("long")))
+    sized = cut(_drawn(sized))
     count = F.greatest(F.lit(1), F.ceil(F.col("length") / top).cast("int"))
     tokens, n = sized.agg(F.sum("length"), F.sum(count)).first()
     shards = max(1, -(-(tokens or 0) // shard_tokens), -(-(n or 0) // shard_pieces))

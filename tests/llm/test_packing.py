@@ -90,3 +90,11 @@ def test_no_id_and_no_length_fill_one_shard(spark):
     nothing = spark.range(400).selectExpr("1L as doc_id", "0 as n")
     sizes = [r["count"] for r in pack_documents(nothing, length="n", shard_pieces=20).groupBy("shard").count().collect()]
     assert len(sizes) > 15 and max(sizes) < 60 and sum(sizes) == 400
+
+
+def test_partitions_change_no_row(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([None, *range(60)]), rng.choice([0, 5, 9, 40, 200])) for _ in range(600)] + [(None, 5)] * 2500
+    df = spark.createDataFrame(rows, "doc_id long, n int")
+    packed = [sorted(map(tuple, pack_documents(d, length="n", capacities=(16, 64), shard_tokens=700).collect()), key=repr) for d in (df.repartition(1), df.repartition(7, "n"))]
+    assert packed[0] == packed[1] and len(packed[0]) > 3100
