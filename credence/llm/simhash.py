@@ -204,6 +204,15 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
+def _of_one_id(named: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, b): links between the fingerprints, by their smallest ids, of documents that have several."""
+    several = named.groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x < y").select("doc_id")
+    each = named.select("doc_id", "fp").join(several, "doc_id").distinct()
+    reps = cut(meet(each, ["fp"], groups, ["rep"]))
+    least = reps.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    return reps.join(least, "doc_id").where("rep <> a").select(F.col("rep").alias("b"), "a").select("a", "b")
+
+
 def _labelled(known: DataFrame) -> DataFrame:
     """The rows of ``known`` (doc_id, fp and more) that have a doc_id, with their component_id."""
     spark = known.sparkSession
@@ -216,7 +225,7 @@ def _labelled(known: DataFrame) -> DataFrame:
         .repartition(shuffle_width(spark), "key")
         .sortWithinPartitions("key")
     )
-    links = lists.mapInArrow(_links, "a long, b long").distinct()
+    links = lists.mapInArrow(_links, "a long, b long").unionByName(_of_one_id(named, groups)).distinct()
     member = components(links)  # (node, component)
     labelled = groups.join(member, groups.rep == member.node, "left").select(
         "fp", "common", F.coalesce("component", "rep").alias("component_id")

@@ -99,3 +99,11 @@ def test_odd_rows(spark, odd, empty):
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == [1, 3, 6, 7, 8, 9, 10] and ids.count(None) == 2
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
+
+
+def test_texts_of_one_id_link_what_either_links(spark):
+    a, b, c = "alpha beta gamma delta", "quite another text of some words", "a third text that has nothing of those"
+    rows = [(3, b), (7, b), (7, a), (9, a), (11, c), (12, c), (13, None)]
+    for docs in (rows, rows[::-1]):
+        got = simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (7, 3), (7, 3), (9, 3), (11, 11), (12, 11), (13, 13)]
