@@ -15,17 +15,20 @@ from credence.sources import artifacts, documents
 def test_settings(tmp_path):
     assert settings.features({"feature_properties": ["a", "text_score", "a"], "recommended_candidate_features": True})[:3] == ["a", "text_score", "degree_score"]
     assert len(settings.features({"recommended_candidate_features": True})) == 19
-    assert settings.targets({"classification": True})["radar_type"] == "radar_id" and settings.targets({}) == {}
-    assert settings.task_weights({}) == settings.TASK_WEIGHTS and settings.task_weights({"classification_task_loss_weights": {"x": 2}}) == {"x": 2.0}
-    assert settings.fraction({"s": 1}, "s", 0.1) == 1.0 and settings.split_fractions({}) == (0.5, 0.3, 0.2)
+    targets, weights = "classification_label_properties", "classification_task_loss_weights"
+    assert settings.setting({"classification": True}, targets)["radar_type"] == "radar_id" and settings.setting({}, targets) == {}
+    assert settings.setting({targets: {"a": 1}}, targets) == {"a": "1"}
+    assert settings.setting({}, weights) == settings.TASK_WEIGHTS and settings.setting({weights: {"x": 2}}, weights) == {"x": 2.0}
+    assert settings.setting({"mass_label_smoothing": 1}, "mass_label_smoothing") == 1.0 and settings.setting({}, "mass_label_smoothing") == 0.01
+    assert settings.split_fractions({}) == (0.5, 0.3, 0.2)
     for bad in (
-        lambda: settings.features({}), lambda: settings.task_weights({"classification_task_loss_weights": {"x": -1}}), lambda: settings.fraction({"s": 1.1}, "s", 0.1),
+        lambda: settings.features({}), lambda: settings.setting({weights: {"x": -1}}, weights), lambda: settings.setting({"mass_label_smoothing": 1.1}, "mass_label_smoothing"),
         lambda: settings.split_fractions({"train_fraction": 0.6}), lambda: settings.check_names(["speed", "best_Mode_ID"]),
     ):
         with pytest.raises(ValueError):
             bad()
     with pytest.raises(TypeError):
-        settings.targets({"classification_label_properties": ["a"]})
+        settings.setting({targets: ["a"]}, targets)
     settings.check_names(["speed", "text_score"])
     (tmp_path / "s.json").write_text('{"training": {"epochs": 3}}')
     assert settings.read(str(tmp_path / "s.json"))["training"]["epochs"] == 3
