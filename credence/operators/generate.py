@@ -1,8 +1,7 @@
 """Synthetic observations, tracks and reports.
 
 Draws are digests of (seed, name of the draw, row), so a row's values depend neither on partitions nor on
-workers, and another engine can draw the same. Only the schedule of a track carries state; it runs in
-Python, a batch of tracks at a time.
+workers, and another engine can draw the same. The schedule of a track is folded over its switches within its row.
 
 ``carriers`` is the catalogue: aircraft_id, variant, family, radar_id, radar, kind ("rotary", "bomber" or
 other), vmax (km/h), ceiling (m), operators, and modes with mode_id, mode, waveform, scan and the bounds lo
@@ -11,14 +10,13 @@ and hi of the measurements. It is as long as the catalogue, so it is broadcast.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.functions.scores import iso_utc, r6, slug
+from credence.functions.scores import dead_reckoning, iso_utc, r6, slug
 from credence.operators.etl import MEASURES
 
 #: Areas of sensors with latitude and longitude, kinds of claims, sources of reports.
@@ -120,12 +118,9 @@ def observations(spark: SparkSession, carriers: DataFrame, count: int, seed: int
     rows = rows.withColumn("operator", pick(F.col("own.operators"), u("operator"))).withColumn("mode", pick(F.col("own.modes"), u("mode")))
     at = F.timestamp_seconds(F.lit(start) + F.floor(u("time") * (end - start)))
     own, mode = F.col("own"), F.col("mode")
-    label = F.struct(
-        own["family"].alias("aircraft_family"), own["variant"].alias("aircraft_variant"), own["aircraft_id"].alias("aircraft_id"), F.col("operator"), own["radar"].alias("radar"),
-        own["radar_id"].alias("radar_id"), mode["mode"].alias("mode"), mode["mode_id"].alias("mode_id"),
-    )
+    label = _label(own, F.col("operator"), mode["mode"], mode["mode_id"])
     return rows.select(
-        F.concat(F.lit("esm_obs_"), F.lpad(F.col("n").cast("string"), 5, "0")).alias("observation_id"),
+        F.concat(F.lit("esm_obs_"), number(F.col("n"), 5)).alias("observation_id"),
         F.unix_seconds(at).cast("double").alias("timestamp_unix"), iso_utc(at).alias("timestamp_iso8601"),
         F.struct(F.lit("passive_esm").alias("type"), F.lit("synthetic_ground_or_airborne_collector").alias("platform")).alias("sensor"),
         location(u).alias("estimated_emitter_location"), kinematics(own["kind"], own["vmax"], own["ceiling"], u).alias("approximate_kinematics"),
@@ -134,72 +129,137 @@ def observations(spark: SparkSession, carriers: DataFrame, count: int, seed: int
     )
 
 
-def schedule(rng: np.random.Generator, steps: int, modes: int, switch: float, most: int | None) -> list[int]:
-    """Mode of each step; a switch never stays in its mode, and at most ``most`` of them happen."""
-    if not 0 <= switch <= 1:
+def number(n: Column, width: int) -> Column:
+    """Decimal digits, with zeros ahead up to ``width``."""
+    return F.format_string(f"%0{width}d", n.cast("long"))
+
+
+def normal(u, name: str) -> Column:
+    """A standard normal draw, out of two uniform ones."""
+    return F.sqrt(-2 * F.log(1 - u(f"{name}_radius"))) * F.cos(2 * math.pi * u(f"{name}_angle"))
+
+
+def switches(steps: Column, modes: Column, share: float, most: int | None, at: Callable[[str, Column], Column]) -> Column:
+    """The steps at which a track changes its mode, in order: each but the first with probability ``share``, ``most`` drawn of them at most."""
+    if not 0 <= share <= 1:
         raise ValueError("the probability of a switch must lie in [0, 1]")
     if most is not None and most < 0:
         raise ValueError("the cap on switches must not be negative")
-    at = np.flatnonzero(rng.random(steps - 1) < switch) + 1
-    if most is not None and len(at) > most:
-        at = np.sort(rng.choice(at, most, replace=False))
-    out, mode = [], int(rng.integers(modes))
-    for i in range(steps):
-        if i in at and modes > 1:
-            mode = (mode + 1 + int(rng.integers(modes - 1))) % modes
-        out.append(mode)
-    return out
+    found = F.filter(F.sequence(F.lit(1), steps - 1), lambda i: at("switch", i) < share)
+    if most is not None:
+        kept = F.slice(F.array_sort(F.transform(found, lambda i: F.struct(at("keep", i).alias("u"), i.alias("i")))), 1, most) if most else F.array().cast("array<struct<u:double,i:int>>")
+        found = F.array_sort(F.transform(kept, lambda x: x["i"]))
+    return F.when(modes > 1, found).otherwise(F.array().cast("array<int>"))
 
 
-def series(
-    spark: SparkSession, modes: DataFrame, count: int, seed: int, min_s: float = 1.0, max_s: float = 45.0, step_s: float = 0.5,
-    switch: float = 0.05, most: int | None = 3, span_s: float = END - START, workers: int | None = None,
-) -> DataFrame:
-    """``count`` tracks of a radar: one row for each observation, its mode, place and kinematics.
+def stays(shifts: Column, modes: Column, first: Column, at: Callable[[str, Column], Column]) -> Column:
+    """The mode of each stay between switches, folded from the first on: a switch moves on by 1 to ``modes - 1`` places, so never to the same mode."""
+    start = F.array(first.cast("int"))
+    move = lambda held, i: (F.element_at(held, -1) + 1 + F.floor(at("jump", i) * (modes - 1)).cast("int")) % modes
+    return F.aggregate(shifts, start, lambda held, i: F.concat(held, F.array(move(held, i))))
 
-    Speed, altitude and heading drift from those at the start by normal steps times the time gone. ``workers``
-    deals the tracks to so many tasks; it changes no row.
-    """
+
+def tracks(
+    spark: SparkSession, carriers: DataFrame, count: int, seed: int, min_s: float = 1.0, max_s: float = 60.0, step_s: float = 0.5, switch: float = 0.03,
+    most: int | None = None, start: int = START, end: int = END,
+) -> DataFrame:
+    """``count`` tracks: carrier, operator, number of steps, switches, modes of the stays, start, place and kinematics at the start."""
     if count < 1:
         raise ValueError("count must be at least 1")
     if min_s < step_s or max_s < min_s:
         raise ValueError("durations must not be shorter than a step, nor the longest shorter than the shortest")
-    if span_s <= max_s:
+    if end - start <= max_s:
         raise ValueError("the span of time must be longer than the longest track")
+    u = lambda name: draw(seed, name, "n")
+    at = lambda name, i: draw(seed, name, "n", i)
+    rows = spark.range(1, count + 1).withColumnRenamed("id", "n").crossJoin(F.broadcast(catalogue(carriers)))
+    rows = rows.withColumn("own", pick(F.col("all"), u("carrier"))).where("own is not null").withColumn("operator", pick(F.col("own.operators"), u("operator")))
+    rows = rows.withColumn("duration", uniform(min_s, max_s, u("duration"))).withColumn("modes", F.size("own.modes"))
+    rows = rows.withColumn("steps", F.greatest(F.lit(2), F.round(F.col("duration") / step_s).cast("int") + 1))
+    rows = rows.withColumn("shifts", switches(F.col("steps"), F.col("modes"), switch, most, at))
+    rows = rows.withColumn("stays", stays(F.col("shifts"), F.col("modes"), F.floor(u("mode") * F.col("modes")), at))
+    begin = F.lit(start) + F.floor(u("start") * F.greatest(F.lit(1), F.floor(F.lit(end - start) - F.col("duration"))))
+    return rows.select(
+        "n", "all", "own", "operator", "steps", "shifts", "stays", begin.cast("long").alias("begin"), F.lit(float(step_s)).alias("step_s"),
+        location(u).alias("place"), kinematics(F.col("own.kind"), F.col("own.vmax"), F.col("own.ceiling"), u).alias("base"),
+    )
+
+
+def _label(own: Column, operator: Column, mode: Column, mode_id: Column) -> Column:
+    return F.struct(
+        own["family"].alias("aircraft_family"), own["variant"].alias("aircraft_variant"), own["aircraft_id"].alias("aircraft_id"), operator.alias("operator"), own["radar"].alias("radar"),
+        own["radar_id"].alias("radar_id"), mode.alias("mode"), mode_id.alias("mode_id"),
+    )
+
+
+def series(
+    spark: SparkSession, carriers: DataFrame, count: int, seed: int, min_s: float = 1.0, max_s: float = 60.0, step_s: float = 0.5, switch: float = 0.03,
+    most: int | None = None, start: int = START, end: int = END, workers: int | None = None,
+) -> DataFrame:
+    """The observations of ``count`` tracks in the document schema, a row for each: seven measurements of the step's mode, place and kinematics that drift, candidates, truth, ids.
+
+    Speed, altitude and heading drift from those at the start by normal draws times the time gone; the place follows
+    them. Everything is drawn by digests and folded within a row, so no state is kept and no worker matters:
+    ``workers`` deals the tracks to so many tasks and changes no row.
+    """
     if workers is not None and workers < 1:
         raise ValueError("workers must be at least 1")
-    schedule(np.random.default_rng(0), 2, 1, switch, most)
-    radars = modes.groupBy("radar_id").agg(F.array_sort(F.collect_list(F.struct("mode_index", "mode_id", "klo", "khi"))).alias("modes"))
-    radars = radars.withColumn("pick", F.row_number().over(Window.orderBy("radar_id")) - 1)
-    n = F.broadcast(radars.agg(F.greatest(F.count("*"), F.lit(1)).alias("n")))
-    tracks = spark.range(count).withColumnRenamed("id", "series_id").crossJoin(n)
-    tracks = tracks.withColumn("pick", F.floor(draw(seed, "radar", "series_id") * F.col("n")).cast("int")).withColumn("seed", F.xxhash64(F.lit(seed), "series_id"))
-    tracks = tracks.join(F.broadcast(radars), "pick").select("series_id", "seed", "radar_id", "modes")
-    tracks = tracks.repartition(workers, "series_id") if workers else tracks
-
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for t in pdf.itertuples():
-                rng = np.random.default_rng(int(t.seed) & (2**63 - 1))
-                duration = rng.uniform(min_s, max_s)
-                steps = max(2, round(duration / step_s) + 1)
-                plan = schedule(rng, steps, len(t.modes), switch, most)
-                lat, lon, course, pace, level = rng.uniform(-60, 60), rng.uniform(-180, 180), rng.uniform(0, 360), rng.uniform(400, 1400), rng.uniform(1500, 12_000)
-                for i, m in enumerate(plan):
-                    mode = t.modes[m]
-                    gone = max(0.0, i * step_s + rng.uniform(-0.04, 0.04)) if i else 0.0
-                    speed, altitude = max(0.0, pace + rng.normal(0, 0.6) * gone), max(0.0, level + rng.normal(0, 1.8) * gone)
-                    heading = (course + rng.normal(0, 0.04) * gone) % 360
-                    km = speed * gone / 3600
-                    north = lat + km * np.cos(np.radians(heading)) / 111
-                    east = lon + km * np.sin(np.radians(heading)) / max(1e-6, 111 * np.cos(np.radians(lat)))
-                    out.append((t.series_id, i, round(gone, 3), t.radar_id, mode["mode_id"], rng.uniform(mode["klo"], mode["khi"]), north, east, heading, speed, altitude))
-            yield pd.DataFrame(out, columns=["series_id", "sequence_index", "elapsed_time_s", "radar_id", "mode_id", "value", "latitude", "longitude", "heading", "speed", "altitude"])
-
-    return tracks.mapInPandas(
-        build,
-        "series_id long, sequence_index int, elapsed_time_s double, radar_id string, mode_id string, value double, latitude double, longitude double, heading double, speed double, altitude double",
+    made = tracks(spark, carriers, count, seed, min_s, max_s, step_s, switch, most, start, end)
+    made = made.repartition(workers, "n") if workers else made
+    rows = made.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("steps") - 1)))
+    u = lambda name: draw(seed, name, "n", "i")
+    stay = F.element_at("stays", F.size(F.filter("shifts", lambda s: s <= F.col("i"))) + 1)
+    rows = rows.withColumn("mode", F.element_at("own.modes", stay + 1)).withColumn("gone", F.greatest(F.lit(0.0), F.col("i") * F.col("step_s") + uniform(-0.04, 0.04, u("jitter"))))
+    gone, base, place, r1 = F.col("gone"), F.col("base"), F.col("place"), lambda x: F.round(x + 1e-9, 1)
+    speed = F.greatest(F.lit(0.0), base["ground_speed_kph"] + normal(u, "speed") * 0.6 * gone)
+    altitude = F.greatest(F.lit(0.0), base["altitude_m"] + normal(u, "altitude") * 1.8 * gone)
+    dv, dh = base["ground_speed_error_kph"], base["altitude_error_m"]
+    moved = F.struct(
+        r1(speed).alias("ground_speed_kph"), dv.alias("ground_speed_error_kph"), r1(F.greatest(F.lit(0.0), speed - dv)).alias("ground_speed_min_kph"), r1(speed + dv).alias("ground_speed_max_kph"),
+        r1(altitude).alias("altitude_m"), dh.alias("altitude_error_m"), r1(F.greatest(F.lit(0.0), altitude - dh)).alias("altitude_min_m"), r1(altitude + dh).alias("altitude_max_m"),
+        r1(F.pmod(base["heading_deg"] + normal(u, "heading") * 0.04 * gone, F.lit(360.0))).alias("heading_deg"), base["heading_error_deg"].alias("heading_error_deg"),
+    )
+    rows = rows.withColumn("kin", moved)
+    lat, lon = dead_reckoning(place["estimated_latitude_deg"], place["estimated_longitude_deg"], F.col("kin.heading_deg"), F.col("kin.ground_speed_kph"), gone)
+    box = place["error_box"]
+    dy, dx = ((box[f"max_{k}_deg"] - box[f"min_{k}_deg"]) / 2 for k in ("latitude", "longitude"))
+    where = F.struct(
+        place["area"].alias("area"), r6(lat).alias("estimated_latitude_deg"), r6(lon).alias("estimated_longitude_deg"),
+        F.struct(r6(lat - dy).alias("min_latitude_deg"), r6(lat + dy).alias("max_latitude_deg"), r6(lon - dx).alias("min_longitude_deg"), r6(lon + dx).alias("max_longitude_deg")).alias("error_box"),
+    )
+    micros = F.col("begin") * 1_000_000 + F.round(gone * 1e6).cast("long")
+    series_id, own, mode = F.concat(F.lit("esm_series_"), number(F.col("n"), 5)), F.col("own"), F.col("mode")
+    return rows.select(
+        F.concat(series_id, F.lit("_obs_"), number(F.col("i") + 1, 3)).alias("observation_id"), series_id.alias("series_id"), F.col("i").alias("sequence_index"), F.round(gone + 1e-9, 3).alias("elapsed_time_s"),
+        (micros / 1e6).alias("timestamp_unix"), iso_utc(F.timestamp_micros(micros)).alias("timestamp_iso8601"),
+        F.struct(F.lit("passive_esm").alias("type"), F.lit("synthetic_ground_or_airborne_collector").alias("platform")).alias("sensor"),
+        where.alias("estimated_emitter_location"), F.col("kin").alias("approximate_kinematics"), esm_parameters(mode, u).alias("esm_radar_parameters"),
+        ambiguous(own, F.col("operator"), mode["mode"], F.col("all")).alias("candidate_labels_from_shared_kg_features"),
+        _label(own, F.col("operator"), mode["mode"], mode["mode_id"]).alias("ground_truth_label"),
+    )
+
+
+def series_documents(found: DataFrame, step_s: float = 0.5) -> DataFrame:
+    """One row for each series with its observations nested, in order, and the truth of the whole track: its modes, and where they shift.
+
+    A series is one group, as long as its track. ``found`` may carry reports.
+    """
+    row = F.struct(F.col("sequence_index").alias("_at"), F.struct(*[c for c in found.columns]).alias("o"))
+    lists = found.groupBy("series_id").agg(F.collect_list(row).alias("r"))
+    ordered = F.transform(F.array_sort("r", lambda a, b: a["_at"] - b["_at"]), lambda x: x["o"])
+    rows = lists.select("series_id", ordered.alias("observations"))
+    o = F.col("observations")
+    mode = lambda i: o[i]["ground_truth_label"]["mode_id"]
+    steps = F.filter(F.sequence(F.lit(0), F.size(o) - 1), lambda i: (i > 0) & ~mode(F.greatest(i - 1, F.lit(0))).eqNullSafe(mode(i)))
+    rows = rows.withColumn("shifts", steps)
+    first = F.col("observations")[0]["ground_truth_label"]
+    many = F.size("shifts") > 0
+    whole = first.withField("mode", F.when(many, "multiple").otherwise(first["mode"])).withField("mode_id", F.when(many, "multiple").otherwise(first["mode_id"]))
+    plan = F.transform("observations", lambda x: F.struct(x["sequence_index"].alias("sequence_index"), x["ground_truth_label"]["mode"].alias("mode"), x["ground_truth_label"]["mode_id"].alias("mode_id")))
+    return rows.select(
+        "series_id", F.lit("aircraft").alias("emitter_type"), F.lit(float(step_s)).alias("sample_interval_s"),
+        F.round(F.element_at("observations", -1)["elapsed_time_s"] - F.col("observations")[0]["elapsed_time_s"], 3).alias("duration_s"), F.size("observations").alias("observation_count"),
+        F.col("shifts").alias("mode_shift_sequence_indices"), F.get("shifts", F.lit(0)).alias("mode_shift_sequence_index"), plan.alias("ground_truth_mode_sequence"), whole.alias("ground_truth_track_label"), "observations",
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -264,12 +266,12 @@ def _u(seed: int, name: str, *keys: str) -> str:
     return f"(('0x' || substr(md5(concat_ws(':', '{seed}', '{name}', {', '.join(keys)})), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 
 
-_GENERATED = f"""{T.KG}, {I._MODES9}, ml AS (SELECT radar_id, list(struct_pack(mode_id := mode_id, mode := mode_name, lo := [{", ".join(f"coalesce(klo{i}, {1.0 + i})" for i in range(etl.N))}],
+_CATALOGUE = f"""{T.KG}, {I._MODES9}, ml AS (SELECT radar_id, list(struct_pack(mode_id := mode_id, mode := mode_name, lo := [{", ".join(f"coalesce(klo{i}, {1.0 + i})" for i in range(etl.N))}],
     hi := [{", ".join(f"coalesce(khi{i}, {1.0 + i})" for i in range(etl.N))}]) ORDER BY mode_id) AS modes FROM modes9 GROUP BY radar_id),
   ol AS (SELECT carrier_id, list(DISTINCT operator ORDER BY operator) AS operators FROM operates GROUP BY carrier_id),
   cat AS (SELECT list(struct_pack(aircraft_id := c.carrier_id, variant := c.variant, radar_id := c.radar_id, kind := CASE c.variant WHEN 'MACHINERY' THEN 'rotary' WHEN 'BUILDING' THEN 'bomber' ELSE 'other' END,
-    vmax := c.speed_limit / 4, ceiling := abs(c.ceiling) + 9000, operators := operators, modes := modes) ORDER BY c.carrier_id) AS al FROM carriers c JOIN ml USING (radar_id) JOIN ol USING (carrier_id)),
-  drawn AS (SELECT n, al[1 + floor(@carrier * len(al))::INT] AS own FROM range(1, @count + 1) r(n), cat),
+    vmax := c.speed_limit / 4, ceiling := abs(c.ceiling) + 9000, operators := operators, modes := modes) ORDER BY c.carrier_id) AS al FROM carriers c JOIN ml USING (radar_id) JOIN ol USING (carrier_id))"""
+_GENERATED = f"""{_CATALOGUE}, drawn AS (SELECT n, al[1 + floor(@carrier * len(al))::INT] AS own FROM range(1, @count + 1) r(n), cat),
   chosen AS (SELECT n, own, own.operators[1 + floor(@operator * len(own.operators))::INT] AS operator, own.modes[1 + floor(@mode * len(own.modes))::INT] AS mode FROM drawn)"""
 COUNT = 5000
 
@@ -305,10 +307,67 @@ def generate_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+_T = lambda name, *keys: _u(42, name, *(keys or ("n", "i")))
+_N = lambda name: f"(sqrt(-2 * ln(1 - {_T(name + '_radius')})) * cos({2 * math.pi!r}::DOUBLE * {_T(name + '_angle')}))"
+_SPAN = lambda low, high, u: f"({low}::DOUBLE + ({high}::DOUBLE - ({low}::DOUBLE)) * {u})"
+_AREA = "[" + ", ".join(f"struct_pack(lat := {lat}::DOUBLE, lon := {lon}::DOUBLE)" for _, lat, lon in generate.AREAS) + "]"
+#: Tracks and their observations; the mode of a step is the first one moved on by every switch up to it.
+_TRACKS = f"""{_CATALOGUE}, t0 AS (SELECT n, al[1 + floor({_T("carrier", "n")} * len(al))::INT] AS own, {_SPAN(1.0, 60.0, _T("duration", "n"))} AS duration FROM (SELECT unnest(range(1, count(*) + 1)) AS n FROM supplier), cat),
+  t1 AS (SELECT *, len(own.modes) AS m, greatest(2, round(duration / 0.5::DOUBLE)::INT + 1) AS steps, {_AREA}[1 + floor({_T("area", "n")} * {len(generate.AREAS)})::INT] AS area,
+    own.operators[1 + floor({_T("operator", "n")} * len(own.operators))::INT] AS operator, {generate.START} + floor({_T("start", "n")} * greatest(1, floor({generate.END - generate.START} - duration))) AS begin_s,
+    round({_SPEED} + 1e-9, 1) AS speed0, round({_ALTITUDE} + 1e-9, 1) AS altitude0, round({_SPAN(0, 360, _T("heading", "n"))} + 1e-9, 1) AS heading0 FROM t0),
+  t2 AS (SELECT *, round(area.lat + {_SPAN(-1.5, 1.5, _T("lat", "n"))} + 1e-9, 6) AS lat0, round(area.lon + {_SPAN(-1.5, 1.5, _T("lon", "n"))} + 1e-9, 6) AS lon0,
+    list_transform(list_sort(list_transform(list_filter(range(1, steps), lambda i: m > 1 AND {_T("switch")} < 0.03::DOUBLE), lambda i: struct_pack(u := {_T("keep")}, i := i)))[1:3], lambda x: x.i) AS shifts FROM t1),
+  step AS (SELECT *, unnest(range(0, steps)) AS i FROM t2),
+  s1 AS (SELECT *, own.modes[1 + (floor({_T("mode", "n")} * m)::BIGINT + coalesce(list_sum(list_transform(list_filter(shifts, lambda s: s <= i), lambda s: 1 + floor({_T("jump", "n", "s")} * (m - 1))))::BIGINT, 0)) % m] AS mode,
+    greatest(0.0::DOUBLE, i * 0.5::DOUBLE + {_SPAN(-0.04, 0.04, _T("jitter"))}) AS gone FROM step),
+  s2 AS (SELECT *, round(greatest(0.0::DOUBLE, speed0 + {_N("speed")} * 0.6::DOUBLE * gone) + 1e-9, 1) AS speed, round(greatest(0.0::DOUBLE, altitude0 + {_N("altitude")} * 1.8::DOUBLE * gone) + 1e-9, 1) AS altitude,
+    heading0 + {_N("heading")} * 0.04::DOUBLE * gone AS turned FROM s1),
+  obs AS (SELECT *, round((CASE WHEN turned % 360 < 0 THEN turned % 360 + 360 ELSE turned % 360 END) + 1e-9, 1) AS heading, 'esm_series_' || printf('%05d', n) AS series_id FROM s2)""".replace("'7', '", "'42', '")
+
+
+def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many tracks as there are suppliers."""
+    return generate.series(spark, carriers(spark, sf_dir), V.table(spark, sf_dir, "supplier").count(), seed=42, most=3)
+
+
+@query(f"""WITH {_TRACKS} SELECT series_id, series_id || '_obs_' || printf('%03d', i + 1) AS observation_id, i AS sequence_index, round(gone + 1e-9, 3) AS elapsed, round((begin_s * 1000000 + round(gone * 1000000)) / 1e6, 6) AS at,
+  own.aircraft_id AS aircraft_id, operator, mode.mode_id AS mode_id, {", ".join(f"round({_SPAN(f'mode.lo[{k + 1}]', f'mode.hi[{k + 1}]', _T(f'm{k}'))} + 1e-9, 6) AS v{k}" for k in range(etl.N))},
+  speed, altitude, heading, round(lat0 + speed * gone / 3600 * cos(radians(heading)) / 111 + 1e-9, 6) AS latitude,
+  round(lon0 + speed * gone / 3600 * sin(radians(heading)) / (111 * greatest(0.1::DOUBLE, cos(radians(lat0)))) + 1e-9, 6) AS longitude FROM obs""")
 def generate_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Synthetic tracks: mode schedules, drifting kinematics and places."""
-    return generate.series(spark, V.modes(spark, sf_dir), 200, seed=42)
+    """Observations of synthetic tracks with their truth: mode schedules, seven measurements, drifting kinematics, places that follow them."""
+    kin, where, label = "approximate_kinematics", "estimated_emitter_location", "ground_truth_label"
+    values = [F.col(f"esm_radar_parameters.{name}.value").alias(f"v{i}") for i, (name, *_) in enumerate(etl.MEASURES)]
+    return tracks(spark, sf_dir).select(
+        "series_id", "observation_id", "sequence_index", F.col("elapsed_time_s").alias("elapsed"), F.round("timestamp_unix", 6).alias("at"), f"{label}.aircraft_id", f"{label}.operator", f"{label}.mode_id", *values,
+        F.col(f"{kin}.ground_speed_kph").alias("speed"), F.col(f"{kin}.altitude_m").alias("altitude"), F.col(f"{kin}.heading_deg").alias("heading"),
+        F.col(f"{where}.estimated_latitude_deg").alias("latitude"), F.col(f"{where}.estimated_longitude_deg").alias("longitude"),
+    )
+
+
+@query(f"""WITH {_TRACKS}, seen AS (SELECT series_id, i, mode.mode_id AS mode_id, lag(mode.mode_id) OVER (PARTITION BY n ORDER BY i) AS before, round(gone + 1e-9, 3) AS gone FROM obs)
+  SELECT series_id, count(*) AS observation_count, round(max(gone) - min(gone), 3) AS duration_s, coalesce(string_agg(i, ',' ORDER BY i) FILTER (i > 0 AND mode_id <> before), '') AS shifts,
+  coalesce(min(i) FILTER (i > 0 AND mode_id <> before), -1) AS first_shift, CASE WHEN count(DISTINCT mode_id) > 1 THEN 'multiple' ELSE min(mode_id) END AS mode_id FROM seen GROUP BY series_id""")
+def series_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the tracks: length, duration, steps at which the mode shifts, and the mode of the whole track."""
+    rows = generate.series_documents(tracks(spark, sf_dir))
+    return rows.select(
+        "series_id", "observation_count", "duration_s", F.array_join("mode_shift_sequence_indices", ",").alias("shifts"), F.coalesce("mode_shift_sequence_index", F.lit(-1)).alias("first_shift"), "ground_truth_track_label.mode_id",
+    )
+
+
+_S = lambda name, key: _u(4200, name, key)
+
+
+@query(f"""WITH RECURSIVE {_TRACKS}, o AS (SELECT series_id, series_id || '_obs_' || printf('%03d', i + 1) AS observation_id, i, steps FROM obs),
+  dealt AS (SELECT observation_id, series_id, i, steps, CASE WHEN steps = 1 THEN left0 ELSE floor({_S("share", "observation_id")} * (left0 + 1))::BIGINT END AS n, left0 AS have FROM (SELECT *, floor({_S("budget", "series_id")} * 21)::BIGINT + 20 AS left0 FROM o WHERE i = 0)
+    UNION ALL SELECT o.observation_id, o.series_id, o.i, o.steps, CASE WHEN o.i = o.steps - 1 THEN d.have - d.n ELSE floor({_S("share", "o.observation_id")} * (d.have - d.n + 1))::BIGINT END, d.have - d.n FROM dealt d JOIN o ON o.series_id = d.series_id AND o.i = d.i + 1)
+  SELECT observation_id, n AS reports FROM dealt""")
+def series_report_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many reports each observation of a track gets out of its series' total."""
+    rows = generate.budgets(tracks(spark, sf_dir).select("series_id", "observation_id", "sequence_index"), 4200, 20, 40)
+    return rows.select("observation_id", F.col("reports_left_to_it").alias("reports"))
 
 
 _R = lambda name: _u(4200, name, "observation_id", "no")

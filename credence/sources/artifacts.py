@@ -9,6 +9,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from credence.sources.documents import write_documents
+
 VERSION = 1
 
 
@@ -74,6 +76,11 @@ def top_intervals(predictions: DataFrame, k: int = 3) -> DataFrame:
     return predictions.select("node_id", top.alias("identifications"))
 
 
-def write_observations(rows: DataFrame, path: str) -> None:
-    """Generated observations or series, a record a line, keys in order; ``load_observations`` and ``load_series`` read lists of them."""
-    rows.select(*sorted(rows.columns)).write.mode("overwrite").json(path)
+def write_observations(rows: DataFrame, path: str, metadata: Mapping[str, Any] | None = None) -> None:
+    """Observations as documents that ``load_observations`` reads."""
+    write_documents(rows, path, "observations", metadata)
+
+
+def write_series(documents: DataFrame, path: str, metadata: Mapping[str, Any] | None = None) -> None:
+    """Series with nested observations, and reports if they have them, as documents that ``load_series``, ``load_observations`` and ``load_reports`` read."""
+    write_documents(documents, path, "observation_series", metadata)

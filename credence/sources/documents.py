@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -109,6 +110,35 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.select(*sorted(rows.columns)).write.mode("overwrite").json(path)
 
 
+def write_documents(rows: DataFrame, path: str, key: str, metadata: Mapping[str, Any] | None = None, chunk: int = 1000) -> None:
+    """Rows as whole JSON documents, ``{"metadata": ..., key: [...]}``, ``chunk`` rows in each, in the order the rows have.
+
+    Every file is one document that the loaders (and any JSON parser) read; no task or driver holds more than a chunk.
+    """
+    if chunk < 1:
+        raise ValueError("a document holds one row at least")
+    head = json.dumps(dict(metadata or {}), sort_keys=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def document(lines: list[str]) -> pa.RecordBatch:
+            body = ",\n    ".join(lines)
+            return pa.RecordBatch.from_pydict({"value": [f'{{\n  "metadata": {head},\n  {json.dumps(key)}: [\n    {body}\n  ]\n}}']})
+
+        held: list[str] = []
+        for b in batches:
+            for line in b.column("line").to_pylist():
+                held.append(line)
+                if len(held) == chunk:
+                    yield document(held)
+                    held = []
+        if held:
+            yield document(held)
+
+    lines = rows.select(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}).alias("line"))
+    # A record that is a document, a file that is a record.
+    lines.mapInArrow(run, "value string").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+
+
 def write_triples(triples: DataFrame, path: str) -> None:
     triples.select("source", "relation", "target").write.mode("overwrite").option("header", True).csv(path)
 
