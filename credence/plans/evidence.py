@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credence.functions import masses as M
 from credence.functions.scores import r6
+from credence.operators import fusion
 from credence.plans import twins as T
 from credence.plans.registry import query
 from credence.sources import views as V
@@ -136,22 +135,62 @@ def dempster_powerset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_next(spark, sf_dir, THIRTY_ONE)
 
 
-_Q = {m: " + ".join(f"m{i + 1}" for i, x in enumerate(THREE) if x & m == m) for m in THREE}
+def _q_sql(masks: list[int], x: int) -> str:
+    return " + ".join(f"m{i + 1}" for i, y in enumerate(masks) if y & x == x)
+
+
+def _fused_sql(masks: list[int]) -> tuple[str, str, str]:
+    """Sums of a group, commonalities over their largest, and masses not scaled, in SQL; zeros are counted, not clamped."""
+    sums = ", ".join(f"sum(CASE WHEN q{x} > 0 THEN ln(q{x}) ELSE 0 END) AS l{x}, sum((q{x} <= 0)::INT) AS z{x}" for x in masks)
+    top = "greatest(" + ", ".join(f"CASE WHEN z{x} = 0 THEN l{x} END" for x in masks) + ")"
+    scaled = ", ".join(f"CASE WHEN z{x} = 0 THEN exp(l{x} - top) ELSE 0 END AS s{x}" for x in masks)
+    cells = ", ".join("greatest(0.0::DOUBLE, " + " ".join(f"{'-' if (y.bit_count() - x.bit_count()) % 2 else '+'} s{y}" for y in masks if y & x == x) + f") AS u{x}" for x in masks)
+    return sums, f"{top} AS top", f"{scaled}|{cells}"
 
 
-@query(f"""WITH {T.VECS}, {_masses_sql(3, 'm')}, q AS (SELECT label, sum(ln(greatest({_Q[1]}, 1e-12))) AS l1, sum(ln(greatest({_Q[2]}, 1e-12))) AS l2, sum(ln(greatest({_Q[3]}, 1e-12))) AS l3, count(*) AS n FROM ms GROUP BY label),
-  s AS (SELECT label, n, greatest(l1, l2, l3) AS top, l1, l2, l3 FROM q), e AS (SELECT label, n, exp(l1 - top) AS q1, exp(l2 - top) AS q2, exp(l3 - top) AS q3 FROM s)
-  SELECT label, n, round((q1 - q3) / (q1 + q2 - q3) + 1e-9, 4) AS c1, round((q2 - q3) / (q1 + q2 - q3) + 1e-9, 4) AS c2, round(q3 / (q1 + q2 - q3) + 1e-9, 4) AS c3 FROM e""")
+def _levels_sql(masks: list[int], base: str, levels: list[tuple[str, list[str]]]) -> str:
+    sums, top, rest = _fused_sql(masks)
+    scaled, cells = rest.split("|")
+    total = "(" + " + ".join(f"u{x}" for x in masks) + ")"
+    parts = [base, "q AS (SELECT *, " + ", ".join(f"{_q_sql(masks, x)} AS q{x}" for x in masks) + " FROM evidence)"]
+    for k, (name, keys) in enumerate(levels):
+        by = ", ".join(keys)
+        parts.append(f"g{k} AS (SELECT {by}, count(*) AS n, {sums} FROM q GROUP BY {by})")
+        parts.append(f"f{k} AS (SELECT *, top + ln({total}) AS kept FROM (SELECT *, {cells} FROM (SELECT *, {scaled} FROM (SELECT *, {top} FROM g{k}))))")
+        apart = "SELECT *, 0.0::DOUBLE AS apart FROM f0" if not k else f"SELECT f.*, a.apart FROM f{k} f JOIN (SELECT {by}, CASE WHEN count(*) = count(kept) THEN sum(kept) END AS apart FROM f{k - 1} GROUP BY {by}) a USING ({by})"
+        parts.append(f"r{k} AS ({apart})")
+    out = []
+    for k, (name, keys) in enumerate(levels):
+        key = " || '/' || ".join(f"{c}::VARCHAR" for c in reversed(keys))
+        masses_ = ", ".join(f"round(CASE WHEN top IS NOT NULL THEN u{x} / {total} END + 1e-9, 6) AS c{i + 1}" for i, x in enumerate(masks))
+        out.append(f"SELECT '{name}' AS level, {key} AS key, n, round(CASE WHEN kept IS NULL THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - exp(kept - apart)) END + 1e-9, 6) AS conflict, {masses_} FROM r{k}")
+    return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(out)
+
+
+@query(_levels_sql(THREE, f"{T.VECS}, {_masses_sql(3, 'm')}, evidence AS (SELECT * FROM ms)", [("label", ["label"])]))
 def dempster_series_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All vectors of a label fused at once: sums of log commonalities, in any order and partially aggregated."""
-    m = F.col("m")
-    logs = [F.sum(F.log(F.greatest(M.commonality(m, THREE, x), F.lit(1e-12)))).alias(f"l{x}") for x in THREE]
-    fused = masses(spark, sf_dir, 3).groupBy("label").agg(*logs, F.count("*").alias("n"))
-    top = F.greatest(*[F.col(f"l{x}") for x in THREE])
-    q = {x: F.exp(F.col(f"l{x}") - top) for x in THREE}
-    cells = M.from_commonality(q, THREE)
-    total = reduce(lambda a, b: a + b, cells)
-    return fused.select("label", "n", *[F.round(F.try_divide(c, total) + 1e-9, 4).alias(f"c{i + 1}") for i, c in enumerate(cells)])
+    """All vectors of a label fused at once, in any order and partially aggregated; total conflict has no masses."""
+    found = fusion.levels(masses(spark, sf_dir, 3), ["label"], "m", THREE)
+    return found.select("level", F.array_join("key", "/").alias("key"), "n", r6(F.col("conflict")).alias("conflict"), *_cells(F.col("masses"), 3, "c"))
+
+
+_FIRM = 0.16
+
+
+@query(_levels_sql(
+    THIRTY_ONE,
+    f"""{T.VECS}, firm AS (SELECT node_id, label, list_transform(x[1:31], lambda v: CASE WHEN abs(v) >= {_FIRM}::DOUBLE THEN round(abs(v) + 1e-9, 6) ELSE 0 END) AS r FROM vecs),
+  evidence AS (SELECT label AS radar, node_id % 7 AS series, (node_id // 7) % 5 AS segment, {", ".join(f"r[{i + 1}] / list_sum(r) AS m{i + 1}" for i in range(31))} FROM firm WHERE list_sum(r) > 1e-6)""",
+    [("segment", ["segment", "series", "radar"]), ("series", ["series", "radar"]), ("radar", ["radar"])],
+))
+def fusion_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence over all subsets of five hypotheses fused by segment, then series, then radar, with the conflict that each level brings."""
+    firm = F.transform(F.slice("x", 1, 31), lambda v: F.when(F.abs(v) >= _FIRM, r6(F.abs(v))).otherwise(0.0))
+    rows = V.vectors(spark, sf_dir).select(
+        F.col("label").alias("radar"), (F.col("node_id") % 7).alias("series"), (F.floor(F.col("node_id") / 7) % 5).alias("segment"), M.validate_masses(firm).alias("m")
+    )
+    found = fusion.levels(rows, ["segment", "series", "radar"], "m", THIRTY_ONE)
+    return found.select("level", F.array_join("key", "/").alias("key"), "n", r6(F.col("conflict")).alias("conflict"), *_cells(F.col("masses"), 31, "c"))
 
 
 _AL = ", ".join(f"ln(1 + exp(x[{i}])) + 1 AS a{i}" for i in range(1, 6))

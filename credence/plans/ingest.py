@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from credence.functions import scores as S
 from credence.operators import etl
+from credence.operators import ranges as R
 from credence.plans import twins as T
 from credence.plans.registry import query
 from credence.sources import views as V
@@ -93,7 +94,7 @@ def nine_field_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of every observation against the modes of the radar that its series is dealt to."""
     obs = observations(spark, sf_dir).withColumn("nation", (F.col("series_id") % 25).cast("int"))
     met = obs.join(F.broadcast(mode_bounds(V.modes(spark, sf_dir))), "nation")
-    return met.select("observation_id", "mode_id", *etl.feature_columns())
+    return etl.with_fields(met).select("observation_id", "mode_id", *etl.feature_columns())
 
 
 _BEST = f"""{_OBS9}, {T.KG}, {_MODES9}, f AS (SELECT o.observation_id, m.mode_id, o.value, o.code, {_FIELDS} FROM obs9 o, modes9 m),
@@ -144,3 +145,16 @@ _D = lambda c: f"CASE WHEN l.{c} IS DISTINCT FROM r.{c} THEN '{c}' END"  # noqa:
 def ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the six tables of evidence."""
     return etl.counts(tables(spark, sf_dir))
+
+
+_AGREE = " + ".join(f"coalesce((o.lo{i} <= m.khi{i} AND m.klo{i} <= o.hi{i})::INT, 0)" for i in range(etl.N)) + " + coalesce((o.code = m.mode_code)::INT, 0) + coalesce((o.scan = m.mode_scan)::INT, 0)"
+
+
+@query(f"""WITH {_OBS9}, {T.MODES}, {_MODES9}, v AS (SELECT o.observation_id, m.mode_id, {_AGREE} AS votes FROM obs9 o, modes9 m), h AS (SELECT * FROM v WHERE votes >= 3)
+  SELECT * FROM h UNION ALL SELECT observation_id, mode_id, -1 FROM v WHERE observation_id NOT IN (SELECT observation_id FROM h)""")
+def compatible_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every observation's modes that three of nine fields agree with; all modes, with votes of -1, where none do."""
+    obs, modes = observations(spark, sf_dir), mode_bounds(V.modes(spark, sf_dir))
+    fields = [(f"lo{i}", f"hi{i}", f"klo{i}", f"khi{i}") for i in range(etl.N)]
+    agreed = R.agreements(obs, modes, "observation_id", "mode_id", fields, [("waveform", "mode_waveform"), ("scan", "mode_scan")], 3)
+    return R.compatible(agreed, obs, modes, "observation_id", "mode_id").fillna(-1, ["votes"])

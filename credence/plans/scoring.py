@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from credence.functions import scores as S
 from credence.operators import candidates as C
 from credence.operators import etl as E
+from credence.operators import frames
 from credence.operators import ranges as R
 from credence.plans import twins as T
 from credence.plans.registry import query
@@ -270,3 +271,28 @@ def frame_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.broadcast(V.modes(spark, sf_dir).agg(F.count("*").alias("all")))
     frames = ids.groupBy("series_id").agg(F.count("*").alias("frame"), F.min("mode_id").alias("first_id"), F.max("mode_id").alias("last_id"))
     return frames.crossJoin(n).select("series_id", "frame", (F.col("all") - F.col("frame")).alias("outside"), "first_id", "last_id")
+
+
+@query(f"""WITH {T.KG}, {T.OBS}, hit AS (SELECT o.observation_id, m.radar_id FROM obs o JOIN modes m ON o.value BETWEEN m.klo AND m.khi),
+  f AS (SELECT h.observation_id, list(DISTINCT h.radar_id) AS radars, list(DISTINCT c.carrier_id) FILTER (c.carrier_id IS NOT NULL) AS carriers FROM hit h LEFT JOIN carriers c USING (radar_id) GROUP BY 1),
+  g AS (SELECT o.series_id, strftime(o.ts, '%Y-%m-%d %H') AS hour, coalesce(len(carriers), 0) = 0 AS none, CASE WHEN coalesce(len(carriers), 0) = 0 THEN (SELECT list(DISTINCT radar_id) FROM modes) ELSE radars END AS radars,
+    CASE WHEN coalesce(len(carriers), 0) = 0 THEN (SELECT list(carrier_id) FROM carriers) ELSE carriers END AS carriers FROM obs o LEFT JOIN f USING (observation_id)),
+  u AS (SELECT series_id, hour, count(*) AS observations, sum(none::INT)::BIGINT AS fell_back, list_sort(list_distinct(flatten(list(radars)))) AS r, list_sort(list_distinct(flatten(list(carriers)))) AS c FROM g GROUP BY series_id, hour)
+  SELECT series_id, hour, observations, fell_back, array_to_string(r, ',') AS radars, array_to_string(c, ',') AS carriers,
+    array_to_string(list_sort(list_filter((SELECT list(carrier_id) FROM carriers), lambda x: NOT list_contains(c, x))), ',') AS outside FROM u""")
+def frequency_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frame of each series in each hour: radars and carriers that some observation's value leaves open, and carriers outside; sets are bit masks until the end."""
+    obs, modes, carriers = V.observations(spark, sf_dir), V.modes(spark, sf_dir), V.carriers(spark, sf_dir)
+    gate = frames.gated(obs.select("observation_id", "value"), modes, carriers, "observation_id", "value", 50.0)
+    radar, carrier = (frames.vocabulary(x, c) for x, c in ((modes.select("radar_id").unionByName(carriers.select("radar_id")), "radar_id"), (carriers, "carrier_id")))
+    wr, wc = (frames.words(x.count()) for x in (radar, carrier))
+    rows = gate.join(obs.select("observation_id", "series_id", F.date_format("ts", "yyyy-MM-dd HH").alias("hour")), "observation_id")
+    united = rows.groupBy("series_id", "hour").agg(
+        F.count("*").alias("observations"), F.sum(F.col("used_fallback").cast("long")).alias("fell_back"), *[F.bit_or(F.col("radars")[w]).alias(f"r{w}") for w in range(wr)], *frames.unite(F.col("carriers"), wc)
+    )
+    everyone = F.broadcast(frames.listing(radar).select(F.col("names").alias("radar_names")).crossJoin(frames.listing(carrier).select(F.col("names").alias("carrier_names"))))
+    sets = united.crossJoin(everyone).select("*", F.array(*[f"r{w}" for w in range(wr)]).alias("r"), frames.collected(wc).alias("c"))
+    return sets.select(
+        "series_id", "hour", "observations", "fell_back", F.array_join(frames.members(F.col("r"), F.col("radar_names")), ",").alias("radars"), F.array_join(frames.members(F.col("c"), F.col("carrier_names")), ",").alias("carriers"),
+        F.array_join(frames.members(frames.without(frames.everything(F.size("carrier_names"), wc), F.col("c")), F.col("carrier_names")), ",").alias("outside"),
+    )
