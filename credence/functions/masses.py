@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -106,13 +107,32 @@ def _zeta(v: Column, n: int, sign: float) -> Column:
     return F.aggregate(F.array(*[F.lit(1 << bit) for bit in range(n)]), v, one_bit)
 
 
+#: Frames up to so many hypotheses have their sums over supersets written out: 3^n terms.
+WRITTEN_OUT = 6
+
+
+def _supersets(cell, masks: Sequence[int], inverse: bool = False) -> list[Column]:
+    """For each mask the sum of cells over its supersets, or with ``inverse`` the sum that undoes it."""
+    sign = lambda x, y: -1 if inverse and (y.bit_count() - x.bit_count()) % 2 else 1
+    return [reduce(lambda s, c: s + c, [cell(y) if sign(x, y) > 0 else -cell(y) for y in masks if y & x == x]) for x in masks]
+
+
+def _combine_written(a: Column, b: Column, masks: Sequence[int]) -> Column:
+    """Products of commonalities, turned back into masses, without passes over arrays."""
+    left, right = (_supersets(lambda y, v=v: F.element_at(v, y), masks) for v in (a, b))
+    q = F.array(*[x * y for x, y in zip(left, right, strict=True)])
+    return _let(q, lambda v: F.array(*[F.greatest(c, F.lit(0.0)) for c in _supersets(lambda y: F.element_at(v, y), masks, inverse=True)]))
+
+
 def combine(a: Column, b: Column, masks: Sequence[int], strict: bool = False) -> tuple[Column, Column]:
     """Dempster's rule: (combined masses, conflict). Null masses, or an error if ``strict``, under total conflict.
 
     Over all subsets commonalities multiply, and n passes each way turn masses into them and back. In a
     compact frame a singleton meets itself, its group and the whole frame, a group itself and the whole.
     """
-    if is_powerset(masks):
+    if is_powerset(masks) and len(masks) < 1 << WRITTEN_OUT:
+        cells = _combine_written(a, b, masks)
+    elif is_powerset(masks):
         n = (len(masks) + 1).bit_length() - 1
         q = F.zip_with(_zeta(F.concat(F.array(F.lit(0.0)), a), n, 1.0), _zeta(F.concat(F.array(F.lit(0.0)), b), n, 1.0), lambda x, y: x * y)
         # Differences of sums of products may fall short of zero by rounding.

@@ -94,9 +94,14 @@ def field_scores() -> list[Column]:
     return out + [(F.col(a) == F.col(b)).cast("double") for a, b in (("waveform", "mode_waveform"), ("scan", "mode_scan"))]
 
 
+def with_fields(rows: DataFrame) -> DataFrame:
+    """``rows`` with the nine scores in columns of their own, so that what reads them several times computes them once."""
+    return rows.withColumns({f"__f{i}": c for i, c in enumerate(field_scores())})
+
+
 def feature_columns() -> list[Column]:
-    """Residuals of the seven measurements, and what the nine fields say together, under the names of features."""
-    fields = field_scores()
+    """Residuals of the seven measurements, and what the nine fields of ``with_fields`` say together, under the names of features."""
+    fields = [F.col(f"__f{i}") for i in range(N + 2)]
     out = [S.residual(F.col(f"lo{i}"), F.col(f"hi{i}"), F.col(f"klo{i}"), F.col(f"khi{i}")).alias(name) for i, (*_, name) in enumerate(MEASURES)]
     return out + [
         S.r6(S.mean_known(fields)).alias("radar_interval_overlap_score"),
@@ -124,9 +129,9 @@ def prior_part() -> Column:
 
 
 def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Rows dealt by a key to as many tasks as the scan has, or as a shuffle has: a few splits must not mean a few tasks for all pairs."""
-    width = max(rows.rdd.getNumPartitions(), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartition(width, key)
+    """Rows dealt by a key where they lie in fewer files than a shuffle has tasks: a few files must not mean a few tasks for all pairs."""
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows if len(rows.inputFiles()) >= width else rows.repartition(width, key)
 
 
 def _sides(side: str, lo: str, hi: str, waveform: str, scan: str) -> list[Column]:
@@ -265,7 +270,7 @@ def ingest(observations: DataFrame, rows: DataFrame, now: Column, k: int = K, tr
         .join(top.select("observation_id", "found"), "observation_id")
     )
     speed, height = consistency()
-    features = wide.select(
+    features = with_fields(wide).select(
         "id", "observation_id", "series_id", "sequence_index", "rank", F.col("total_score").alias("text_score"), recency.alias("recency_score"),
         S.masses_from_score(F.col("total_score"), F.when(F.col("rank") == 1, 0.2).otherwise(0.35)).alias("ds_masses"),
         *NAMES, "mode_score", "aircraft_score", speed.alias("speed_consistency_score"), height.alias("altitude_consistency_score"),

@@ -11,6 +11,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from credence.functions import masses as M
+
 
 def entries(x: str, n: int) -> list[Column]:
     return [F.element_at(x, i + 1) for i in range(n)]
@@ -46,43 +48,49 @@ def by_relation(rel: Column, values: Sequence[float]) -> Column:
     return out
 
 
-def messages(x: str, rel: Column, weights: Sequence[Sequence[Sequence[float]]], gates: Sequence[float]) -> list[Column]:
-    """Entries of gate_r * x W_r."""
-    n, width = len(weights[0]), len(weights[0][0])
-    x_cells = entries(x, n)
-    out = []
-    for j in range(width):
-        cell = F.lit(0.0)
-        for i in range(n):
-            cell = cell + x_cells[i] * by_relation(rel, [w[i][j] * g for w, g in zip(weights, gates, strict=True)])
-        out.append(cell)
-    return out
+#: Products with up to so many literals are written out, larger ones run over literal arrays.
+WRITTEN_OUT = 96
+
+
+def products(x: str, columns: Sequence[Sequence[float]]) -> list[Column]:
+    """The product of a vector with each of some columns of weights."""
+    if sum(map(len, columns)) > WRITTEN_OUT:
+        return [M.dot(F.col(x), F.array(*[F.lit(float(w)) for w in c])) for c in columns]
+    return [sum((F.element_at(x, i + 1) * float(w) for i, w in enumerate(c)), F.lit(0.0)) for c in columns]
+
+
+def columns_of(matrix: Sequence[Sequence[float]], scale: float = 1.0) -> list[list[float]]:
+    return [[row[j] * scale for row in matrix] for j in range(len(matrix[0]))]
 
 
 def relational_layer(
     nodes: DataFrame, edges: DataFrame, weights: Sequence, own: Sequence[Sequence[float]], gates: Sequence[float], bias: Sequence[float]
 ) -> DataFrame:
-    """(node_id, x): own part plus the degree-normalised sum of gated relation messages."""
-    width, n = len(own[0]), len(own)
-    inbound = vector_mean(with_source(edges, nodes), "dst", messages("x", F.col("rel"), weights, gates)).select(F.col("dst").alias("node_id"), "m")
-    cells = []
-    for j in range(width):
-        cell = F.lit(float(bias[j])) + F.coalesce(F.element_at("m", j + 1), F.lit(0.0))
-        for i in range(n):
-            cell = cell + F.element_at("x", i + 1) * float(own[i][j])
-        cells.append(cell)
-    return nodes.join(inbound, "node_id", "left").select("node_id", F.array(*cells).alias("x"))
+    """(node_id, x): own part plus the degree-normalised sum of gated relation messages.
+
+    A node is multiplied with every relation's matrix once, before its edges are met, and only the products travel.
+    """
+    width = len(own[0])
+    sent = nodes.select(F.col("node_id").alias("src"), F.array(*products("x", [c for w, g in zip(weights, gates, strict=True) for c in columns_of(w, g)])).alias("y"))
+    cells = [F.element_at("y", F.col("rel") * width + j + 1) for j in range(width)]
+    inbound = vector_mean(edges.join(sent, "src"), "dst", cells).select(F.col("dst").alias("node_id"), "m")
+    kept = nodes.select("node_id", F.array(*products("x", columns_of(own))).alias("s"))
+    out = [F.lit(float(bias[j])) + F.coalesce(F.element_at("m", j + 1), F.lit(0.0)) + F.element_at("s", j + 1) for j in range(width)]
+    return kept.join(inbound, "node_id", "left").select("node_id", F.array(*out).alias("x"))
 
 
 def gated_mean(nodes: DataFrame, edges: DataFrame, q: Sequence, k: Sequence, v: Sequence, prior: Sequence[float]) -> DataFrame:
-    """(dst, m, degree): mean of values under a sigmoid gate of query, key and the relation's prior, one head."""
-    n, width = len(q), len(q[0])
-    ends = with_source(edges, nodes).join(nodes.select(F.col("node_id").alias("dst"), F.col("x").alias("y")), "dst")
-    project: Callable = lambda x, w: [sum((F.element_at(x, i + 1) * float(w[i][j]) for i in range(n)), F.lit(0.0)) for j in range(width)]
-    score = sum((a * b for a, b in zip(project("y", q), project("x", k), strict=True)), F.lit(0.0))
+    """(dst, m, degree): mean of values under a sigmoid gate of query, key and the relation's prior, one head.
+
+    Queries, keys and values are made once a node, before edges are met.
+    """
+    width = len(q[0])
+    seen = lambda end, out, w: nodes.select(F.col("node_id").alias(end), F.array(*products("x", columns_of(w))).alias(out))
+    sent = nodes.select(F.col("node_id").alias("src"), F.array(*products("x", columns_of(k))).alias("k"), F.array(*products("x", columns_of(v))).alias("v"))
+    ends = edges.join(sent, "src").join(seen("dst", "q", q), "dst")
+    score = sum((F.element_at("q", j + 1) * F.element_at("k", j + 1) for j in range(width)), F.lit(0.0))
     gate = 1 / (1 + F.exp(-(score * by_relation(F.col("rel"), prior) / width**0.5)))
-    gated = ends.withColumn("g", gate)
-    return vector_mean(gated, "dst", [F.col("g") * c for c in project("x", v)])
+    return vector_mean(ends.withColumn("g", gate), "dst", [F.col("g") * F.element_at("v", j + 1) for j in range(width)])
 
 
 def split_of(place: Column, n: Column, train: float, test: float) -> Column:
