@@ -102,6 +102,11 @@ def recency(age_days: Column, half_life: float, missing: float) -> Column:
     return F.when(age_days.isNotNull(), halves).otherwise(F.lit(missing))
 
 
+def first_time(collected: Column, published: Column) -> Column:
+    """When a report was true: its collection, else its publication."""
+    return F.coalesce(collected, published)
+
+
 def claim_score(confidence: Column, credibility: Column, age: Column, extraction: Column, prior: Column, consistency: Column, specificity: Column) -> Column:
     parts = [
         (0.25, confidence, 0.5), (0.20, credibility, 0.5), (0.15, age, 0.25), (0.15, extraction, 0.5),

@@ -12,7 +12,7 @@ from credence.sources import views as V
 
 HALF = V.REPORT_HALF_LIFE_DAYS
 
-_SCORE = T.CLAIMS + f""", cs AS (SELECT *, {T.recency(T.days('reference_time', 'collected_at'), HALF, 0.25)} AS rec,
+_SCORE = T.CLAIMS + f""", cs AS (SELECT *, {T.recency(T.days('reference_time', 'observed_at'), HALF, 0.25)} AS rec,
   CASE WHEN claim_type = 'R' THEN 0.9 WHEN claim_type = 'A' THEN 0.3 ELSE 0.5 END::DOUBLE AS prior FROM claims),
   sc AS (SELECT *, round(0.25::DOUBLE * {T.clamp('confidence')} + 0.20::DOUBLE * {T.clamp('credibility')} + 0.15::DOUBLE * {T.clamp('rec')} + 0.15::DOUBLE * {T.clamp('extraction')}
   + 0.10::DOUBLE * prior + 0.10::DOUBLE * 0.7::DOUBLE + 0.05::DOUBLE * {T.clamp('specificity')} + 1e-9, 6) AS score FROM cs)"""
@@ -20,7 +20,7 @@ _SCORE = T.CLAIMS + f""", cs AS (SELECT *, {T.recency(T.days('reference_time', '
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = V.claims(spark, sf_dir)
-    age = S.recency(S.days_between(F.col("reference_time"), F.col("collected_at")), HALF, 0.25)
+    age = S.recency(S.days_between(F.col("reference_time"), F.col("observed_at")), HALF, 0.25)
     none = F.lit(None).cast("map<string,double>")
     prior = S.external_prior(F.col("claim_type"), F.create_map(F.lit("R"), F.lit(0.9), F.lit("A"), F.lit(0.3)), none, F.lit(None).cast("array<string>"))
     missing = F.lit(None).cast("double")

@@ -41,7 +41,7 @@ KG = MODES + ", " + OPERATES + """, kg AS (SELECT m.*, c.carrier_id, c.variant,
 
 CLAIMS = """claims AS (SELECT l_orderkey AS report_id, l_linenumber AS claim_no, l_returnflag AS claim_type, l_suppkey AS object_id,
   CASE WHEN l_linestatus = 'F' THEN 'refutes' ELSE 'supports' END AS stance, 1 - l_discount * 5 AS confidence, 1 - l_tax * 5 AS extraction,
-  o_totalprice / 500000 AS credibility, l_quantity / 50 AS specificity, o_orderdate AS collected_at, l_shipdate AS reference_time
+  o_totalprice / 500000 AS credibility, l_quantity / 50 AS specificity, coalesce(CASE WHEN l_orderkey % 9 <> 0 THEN o_orderdate END, CASE WHEN l_orderkey % 45 <> 0 THEN o_orderdate + INTERVAL 3 DAY END) AS observed_at, l_shipdate AS reference_time
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 VECS = "vecs AS (SELECT vec_id AS node_id, CAST(embedding AS DOUBLE[]) AS x, label FROM embeddings)"

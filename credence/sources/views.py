@@ -17,11 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from credence.functions import scores as S
 from credence.functions.scores import numeric_range, r6, slug
 
 #: Mode templates: index, name, factor on the base frequency, relative half width.
 TEMPLATES = ((1, "search", 0.6, 0.10), (2, "track", 0.9, 0.05), (3, "scan", 1.2, 0.15), (4, "map", 1.6, 0.08), (5, "guide", 2.0, 0.04))
-REPORT_HALF_LIFE_DAYS = 365.0
+#: Fixed value: days in which a report loses half its weight.
+REPORT_HALF_LIFE_DAYS = 14.0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -120,7 +122,7 @@ def candidate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as claims of the report that is their order."""
+    """Line items as claims of the report that is their order: it was collected on its date, every ninth has a date of publication alone, every 45th none."""
     item = table(spark, sf_dir, "lineitem")
     report = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority")
     return item.join(report, item.l_orderkey == report.o_orderkey).select(
@@ -133,7 +135,7 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
         (1 - F.col("l_tax") * 5).alias("extraction"),
         (F.col("o_totalprice") / 500000).alias("credibility"),
         (F.col("l_quantity") / 50).alias("specificity"),
-        F.col("o_orderdate").alias("collected_at"),
+        S.first_time(F.when(F.col("l_orderkey") % 9 != 0, F.col("o_orderdate")), F.when(F.col("l_orderkey") % 45 != 0, F.col("o_orderdate") + F.expr("INTERVAL 3 DAYS"))).alias("observed_at"),
         F.col("l_shipdate").alias("reference_time"),
     )
 
