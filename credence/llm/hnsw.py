@@ -4,8 +4,12 @@ Rows are dealt to shards by a hash of their id, so no label, source or repeated
 indexes every row of its own: equal vectors are one node with a list of ids, and the graph is kept as flat
 neighbour arrays, one for each layer, in one row of a table in the shared folder. A node draws its top layer,
 and on each layer chooses links out of the ``EF_BUILD`` nodes nearest to it, those that no chosen one is
-nearer to first; links go both ways. The nearest ones are found exactly, by products of blocks of a shard's
-rows, instead of by walking the unfinished graph: for shards of this size that takes a tenth of the time.
+nearer to first; links go both ways. Nearest ones alone leave tight clusters without links to others, so a shard
+has seeds too, one for ``M`` nodes, each the node farthest from those before it: a walk on the lowest layer starts
+from the seeds nearest to the query as well as from where the upper layers lead. A cluster of no more than ``M`` nodes,
+which no seed may lie in, has links that lead out of it and in. The nearest ones are found exactly, by products of
+blocks of a shard's rows, instead of by walking the unfinished graph: for shards of this size that takes a tenth of
+the time.
 Largest inner product becomes nearest direction by one further component that gives all nodes of a shard
 the same norm.
 
@@ -48,12 +52,13 @@ K = 20
 class Graph:
     """A layered graph over unit-norm rows, similarity the inner product."""
 
-    def __init__(self, x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]] | None = None, entry: int = 0) -> None:
+    def __init__(self, x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]] | None = None, entry: int = 0, seeds: np.ndarray | None = None) -> None:
         self.x = np.ascontiguousarray(x, dtype=np.float32)
         self.stamp = np.zeros(len(x), dtype=np.int32)
         self.turn = 0
         self.layers = layers or []
         self.entry = entry
+        self.seeds = seeds if seeds is not None else np.empty(0, dtype=np.int32)
         if layers is None and len(x):
             self._build()
         else:
@@ -77,6 +82,16 @@ class Graph:
             self.layers.append((nodes, self._links(nodes, 2 * M if layer == 0 else M)))
         self.entry = int(self.layers[-1][0][0])
         self._place()
+        self.seeds = self._spread(n // M)
+
+    def _spread(self, count: int) -> np.ndarray:
+        """``count`` nodes, each the one that is least like those before it."""
+        out = [self.entry]
+        nearest = self.x @ self.x[self.entry]
+        while len(out) < count:
+            out.append(int(nearest.argmin()))
+            np.maximum(nearest, self.x @ self.x[out[-1]], out=nearest)
+        return np.array(out, dtype=np.int32)
 
     def _links(self, nodes: np.ndarray, most: int) -> np.ndarray:
         """Flat neighbour arrays of one layer, padded with -1; at most ``most`` links a node."""
@@ -169,7 +184,10 @@ class Graph:
         at = [(float(self.x[self.entry] @ q), self.entry)]
         for layer in range(len(self.layers) - 1, 0, -1):
             if len(self.layers[layer][0]) > 1:
-                at = sorted(self._search(q, at, EF_DESCENT, layer), reverse=True)
+                at = self._search(q, at, EF_DESCENT, layer)
+        known = {v for _, v in at}
+        seeds = heapq.nlargest(EF_DESCENT, zip((self.x[self.seeds] @ q).tolist(), self.seeds.tolist(), strict=True))
+        at = at + [p for p in seeds if p[1] not in known]
         return np.array([v for _, v in self._search(q, at, ef, 0)], dtype=np.int64)
 
 
@@ -201,11 +219,12 @@ def _index(pdf: pd.DataFrame) -> pd.DataFrame:
             "starts": [starts.astype(np.int64).tobytes()],
             "nodes": [[n.tobytes() for n, _ in graph.layers]],
             "links": [[links.tobytes() for _, links in graph.layers]],
+            "seeds": [graph.seeds.tobytes()],
         }
     )
 
 
-_INDEX = "dim int, shard long, entry int, vectors binary, ids binary, starts binary, nodes array<binary>, links array<binary>"
+_INDEX = "dim int, shard long, entry int, vectors binary, ids binary, starts binary, nodes array<binary>, links array<binary>, seeds binary"
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -239,7 +258,7 @@ class _Shard:
         for nodes, links in zip(at["nodes"], at["links"], strict=True):
             own = np.frombuffer(nodes, dtype=np.int32)
             layers.append((own, np.frombuffer(links, dtype=np.int32).reshape(len(own), -1)))
-        self.graph = Graph(_same_norm(self.x), layers, at["entry"])
+        self.graph = Graph(_same_norm(self.x), layers, at["entry"], np.frombuffer(at["seeds"], dtype=np.int32))
 
     def nearest(self, query: int, v: list[float], k: int, ef: int) -> list[tuple[float, int]]:
         """(score, vec_id) of the ``k`` nearest rows found, but the query's own, nearest first."""
@@ -283,7 +302,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, ef: int = EF_SEAR
     asked = cut(valid(queries).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")))
     blocks = max(1, -(-shuffle_width(vectors.sparkSession) // shards))
     numbers = F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))
-    flat = F.struct("entry", "vectors", "ids", "starts", "nodes", "links").alias("index")
+    flat = F.struct("entry", "vectors", "ids", "starts", "nodes", "links", "seeds").alias("index")
     left = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
         "dim", "shard", "block", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<double>").alias("v"), flat
     )

@@ -58,3 +58,19 @@ def test_empty(spark):
 def test_different_vectors_of_one_id(spark):
     rows = [(0, [1.0, 0.0], 0, 0.0, "x", "y"), (0, [0.0, 1.0], 0, 0.0, "x", "y"), (1, [2.0, 0.0], 0, 0.0, "x", "y"), (1, [0.0, 3.0], 0, 0.0, "x", "y")]
     assert run(table(spark, rows), min_shards=2) == run(table(spark, rows[::-1]), min_shards=2) == {0: [(1, 3.0), (1, 0.0)]}
+
+
+def test_tight_clusters_are_all_reached():
+    """Clusters wider apart than links reach, in one shard: no query finds nothing of its own cluster."""
+    for clusters, size in ((12, 900), (50, 100), (110, 45), (3, 2000)):
+        rng = np.random.default_rng(clusters)
+        x = (rng.normal(size=(clusters, 16)) * 3)[np.repeat(np.arange(clusters), size)] + 0.01 * rng.normal(size=(clusters * size, 16))
+        unit = hnsw._same_norm(x)
+        graph = hnsw.Graph(unit)
+        recalls = []
+        for i in range(0, len(x), 97):
+            q = np.append(x[i] / np.linalg.norm(x[i]), 0.0)
+            want = set(np.argsort(-(x @ x[i]), kind="stable")[:20].tolist())
+            found = graph.nearest(q, hnsw.EF_SEARCH)
+            recalls.append(len(want & set(found[np.argsort(-(x[found] @ x[i]), kind="stable")][:20].tolist())) / 20)
+        assert min(recalls) > 0 and np.mean(recalls) >= 0.95, (clusters, size, min(recalls), np.mean(recalls))
