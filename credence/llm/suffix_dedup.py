@@ -14,8 +14,9 @@ counted by an aggregation over their digests, which combines on the map side, wi
 that begin more than 1 / (4 x shuffle partitions) of all suffixes, fewer than 4 x shuffle partitions of them,
 meet their suffixes by a broadcast.
 
-Null, empty and short texts repeat nothing. Equal rows count as one document. Rows without a doc_id take
-no part. Further columns are ignored.
+Null, empty and short texts repeat nothing. Equal rows count as one document; different texts of one doc_id are told
+apart by a hash of the text, repeat one another like those of different ids, and give their own stretches each. Rows
+without a doc_id take no part. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -95,8 +96,8 @@ def _context_rows(length: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], [], [], [], []]
-            for i, t, found in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "found")), strict=True):
+            out: list[list] = [[] for _ in range(8)]
+            for i, tag, t, found in zip(*(b.column(c).to_pylist() for c in ("doc_id", "tag", "text", "found")), strict=True):
                 words = (hashes(t) >> np.uint64(32)).astype(">u4")
                 back = np.ascontiguousarray(words[::-1])
                 n = len(words)
@@ -109,20 +110,20 @@ def _context_rows(length: int, gram: int):
                         row[1] = p
                         continue
                     if row is not None:
-                        _put(out, i, row, key)
+                        _put(out, (i, tag), row, key)
                     open_rows[key] = [p, p]
                 for key, row in open_rows.items():
-                    _put(out, i, row, key)
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
+                    _put(out, (i, tag), row, key)
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["doc_id", "pos", "last", "gram", "hot", "left", "right"]
+                [pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["doc_id", "tag", "pos", "last", "gram", "hot", "left", "right"]
             )
 
     return run
 
 
-def _put(out: list[list], doc_id: int, row: list[int], key: tuple) -> None:
-    for col, v in zip(out, (doc_id, *row, *key), strict=True):
+def _put(out: list[list], doc: tuple[int, int], row: list[int], key: tuple) -> None:
+    for col, v in zip(out, (*doc, *row, *key), strict=True):
         col.append(v)
 
 
@@ -146,7 +147,7 @@ def _hashes(words: np.ndarray) -> np.ndarray:
 def _neighbours(length: int, gram: int):
     """Spans of repeated passages, from suffixes sorted by gram and what follows."""
 
-    def spans(doc: np.ndarray, pos: np.ndarray, end: np.ndarray, grams: np.ndarray, left: pa.Array, right: pa.Array) -> pa.RecordBatch | None:
+    def spans(doc: np.ndarray, tag: np.ndarray, pos: np.ndarray, end: np.ndarray, grams: np.ndarray, left: pa.Array, right: pa.Array) -> pa.RecordBatch | None:
         n = len(doc)
         lw, ln = _matrix(left, length - gram)
         rw, rn = _matrix(right, length)
@@ -162,11 +163,11 @@ def _neighbours(length: int, gram: int):
                 continue
             interval = np.concatenate([[0], np.cumsum(common < r)]).astype(np.uint64)[fits]
             key = (interval + np.uint64(1)) * _MIX ^ lh[fits, length - r]
-            order = np.lexsort((pos[fits], doc[fits], key))
-            k, d, p = key[order], doc[fits][order], pos[fits][order]
+            order = np.lexsort((pos[fits], tag[fits], doc[fits], key))
+            k, d, t, p = key[order], doc[fits][order], tag[fits][order], pos[fits][order]
             starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
             ends = np.r_[starts[1:], len(k)] - 1
-            twice = (d[starts] != d[ends]) | (np.maximum.reduceat(end[fits][order], starts) - p[starts] >= length)
+            twice = (d[starts] != d[ends]) | (t[starts] != t[ends]) | (np.maximum.reduceat(end[fits][order], starts) - p[starts] >= length)
             hit = fits[order[np.repeat(twice, ends - starts + 1)]]
             first[hit] = np.minimum(first[hit], r)
             last[hit] = r
@@ -174,7 +175,7 @@ def _neighbours(length: int, gram: int):
         if not len(hit):
             return None
         return pa.RecordBatch.from_arrays(
-            [pa.array(doc[hit]), pa.array(pos[hit] + first[hit] - length), pa.array(end[hit] + last[hit])], names=["doc_id", "start", "end"]
+            [pa.array(doc[hit]), pa.array(tag[hit]), pa.array(pos[hit] + first[hit] - length), pa.array(end[hit] + last[hit])], names=["doc_id", "tag", "start", "end"]
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,6 +197,7 @@ def _neighbours(length: int, gram: int):
         table = table.combine_chunks()
         return spans(
             table.column("doc_id").to_numpy(),
+            table.column("tag").to_numpy(),
             table.column("pos").to_numpy().astype(np.int64),
             table.column("last").to_numpy().astype(np.int64),
             table.column("gram").to_numpy(),
@@ -213,7 +215,7 @@ def _passages(length: int, gram: int):
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 part = b.slice(at, 2048)
-                doc, pos, end = (part.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "pos", "last"))
+                doc, tag, pos, end = (part.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "tag", "pos", "last"))
                 lw, ln = _matrix(part.column("left"), length - gram)
                 rw, rn = _matrix(part.column("right"), length)
                 lh, rh = _hashes(lw), _hashes(rw)
@@ -221,8 +223,8 @@ def _passages(length: int, gram: int):
                     fits = np.flatnonzero((rn >= r) & (ln >= length - r))
                     key = (rh[fits, r] + np.uint64(r)) * _MIX ^ lh[fits, length - r]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.view(np.int64)), pa.array(doc[fits]), pa.array(pos[fits] + r - length), pa.array(end[fits] + r - length)],
-                        names=["key", "doc_id", "start", "last"],
+                        [pa.array(key.view(np.int64)), pa.array(doc[fits]), pa.array(tag[fits]), pa.array(pos[fits] + r - length), pa.array(end[fits] + r - length)],
+                        names=["key", "doc_id", "tag", "start", "last"],
                     )
 
     return run
@@ -233,7 +235,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, h
     spark = docs.sparkSession
     rows = texts(docs).where("doc_id is not null").withColumn("tag", F.xxhash64("text"))
     found = cut(rows.mapInArrow(_anchor_rows(length, gram), "doc_id long, tag long, pos int, gram long"))
-    place = F.struct("doc_id", "pos")
+    place, doc = F.struct("doc_id", "tag", "pos"), F.struct("doc_id", "tag")
     share, total = 4 * shuffle_width(spark), found.count()
     often = (
         found.groupBy("gram")
@@ -248,31 +250,31 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, h
     )
     around = (
         rows.join(by_doc, ["doc_id", "tag"])
-        .select("doc_id", "text", "found")
-        .mapInArrow(_context_rows(length, gram), "doc_id long, pos int, last int, gram long, hot boolean, left binary, right binary")
+        .select("doc_id", "tag", "text", "found")
+        .mapInArrow(_context_rows(length, gram), "doc_id long, tag long, pos int, last int, gram long, hot boolean, left binary, right binary")
     )
     around = cut(around)
     sorted_runs = (
         around.where("not hot").drop("hot").repartition(shuffle_width(spark), "gram").sortWithinPartitions("gram", "right")
     )
-    spans = sorted_runs.mapInArrow(_neighbours(length, gram), "doc_id long, start long, end long")
-    passages = around.where("hot").mapInArrow(_passages(length, gram), "key long, doc_id long, start long, last long")
+    spans = sorted_runs.mapInArrow(_neighbours(length, gram), "doc_id long, tag long, start long, end long")
+    passages = around.where("hot").mapInArrow(_passages(length, gram), "key long, doc_id long, tag long, start long, last long")
     twice = (
         passages.groupBy("key")
-        .agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), (F.max("last") - F.min("start")).alias("apart"))
+        .agg(F.min(doc).alias("a"), F.max(doc).alias("b"), (F.max("last") - F.min("start")).alias("apart"))
         .where(f"a <> b or apart >= {length}")
         .select("key")
     )
-    spans = spans.unionByName(passages.join(twice, "key", "left_semi").select("doc_id", "start", (F.col("last") + length).alias("end")))
-    in_order = Window.partitionBy("doc_id").orderBy("start", "end")
+    spans = spans.unionByName(passages.join(twice, "key", "left_semi").select("doc_id", "tag", "start", (F.col("last") + length).alias("end")))
+    in_order = Window.partitionBy("doc_id", "tag").orderBy("start", "end")
     before = F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
     group = F.sum(F.when(F.col("before") >= F.col("start"), 0).otherwise(1)).over(in_order)
     return (
-        spans.groupBy("doc_id", "start")
+        spans.groupBy("doc_id", "tag", "start")
         .agg(F.max("end").alias("end"))
         .withColumn("before", before)
         .withColumn("group", group)
-        .groupBy("doc_id", "group")
+        .groupBy("doc_id", "tag", "group")
         .agg(F.min("start").alias("start"), F.max("end").alias("end"))
         .select("doc_id", "start", "end", (F.col("end") - F.col("start")).alias("n_words"))
     )

@@ -74,3 +74,13 @@ def test_odd_rows(odd, empty):
     assert {1, 2, 10} <= got.keys() and not got.keys() & {3, 4, 5, 6, 7, 9, None}
     assert len(got[1]) == len(got[2]) == 120
     assert repeated_passages(empty).count() == 0
+
+
+@pytest.mark.parametrize("hot", [200_000, 1])
+def test_texts_of_one_id_are_told_apart(spark, hot):
+    same = prose(7, 60)
+    for a, b in ((same, same + " more words"), (f"{prose(1, 10)} {same}", f"{prose(2, 30)} {same} {prose(3, 5)}")):
+        rows = [(1, a), (1, b), (1, a), (2, prose(9, 80))]
+        got = sorted((r.doc_id, r.start, r.end) for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect())
+        first, second = (len(t.split(same)[0].split()) for t in (a, b))
+        assert got == sorted([(1, first, first + 60), (1, second, second + 60)])
