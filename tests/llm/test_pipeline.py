@@ -54,7 +54,7 @@ def test_stages_in_order(spark):
 
 
 def test_names():
-    assert [n for n in QUERIES] == sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0])) and len(QUERIES) == 10
+    assert [n for n in QUERIES] == sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0])) and len(QUERIES) == 13
     assert [s[0] for s in corpus_pipeline.STAGES] == ["quality", "near_dedup", "substring_dedup", "decontamination", "packing"]
     assert packing.CAPACITIES == tuple(sorted(packing.CAPACITIES))
 
