@@ -110,18 +110,21 @@ _TOPK = f"WITH {T.SCORED} SELECT observation_id, rank, total, mode_id, radar_id,
 
 
 def best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.topk_factored(V.observations(spark, sf_dir), V.modes(spark, sf_dir), V.candidate_rows(spark, sf_dir))
+    """The best candidates of each different measurement, which ``C.dealt`` gives to its observations."""
+    return C.topk(C.measurements(V.observations(spark, sf_dir)), V.candidate_rows(spark, sf_dir))
 
 
 @query(_TOPK)
 def candidate_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = C.topk(V.observations(spark, sf_dir), V.candidate_rows(spark, sf_dir))
+    found = C.dealt(best(spark, sf_dir), V.observations(spark, sf_dir))
     return found.select("observation_id", "rank", "total", "mode_id", "radar_id", "carrier_id", "operator")
 
 
 @query(_TOPK)
 def candidate_topk_factored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best(spark, sf_dir).select("observation_id", "rank", "total", "mode_id", "radar_id", "carrier_id", "operator")
+    obs = V.observations(spark, sf_dir)
+    found = C.topk_factored(C.measurements(obs), V.modes(spark, sf_dir), V.candidate_rows(spark, sf_dir))
+    return C.dealt(found, obs).select("observation_id", "rank", "total", "mode_id", "radar_id", "carrier_id", "operator")
 
 
 def _differ(c: str) -> str:
@@ -135,12 +138,14 @@ _CONTRA = T.SCORED + f""", contra AS (SELECT * FROM (SELECT l.observation_id, l.
 
 @query(f"WITH {_CONTRA} SELECT * FROM contra")
 def candidate_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.contradictions(best(spark, sf_dir))
+    return C.dealt(C.contradictions(best(spark, sf_dir)), V.observations(spark, sf_dir))
 
 
 @query(f"""WITH {_CONTRA} SELECT unnest(string_split(reason, ',')) AS reason, count(*) AS n FROM contra GROUP BY 1""")
 def reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.contradictions(best(spark, sf_dir)).select(F.explode(F.split("reason", ",")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    shared = C.measurement(V.observations(spark, sf_dir)).groupBy(F.col("measurement").alias("observation_id")).agg(F.count("*").alias("n"))
+    found = C.contradictions(best(spark, sf_dir)).join(shared, "observation_id")
+    return found.select(F.explode(F.split("reason", ",")).alias("reason"), "n").groupBy("reason").agg(F.sum("n").alias("n"))
 
 
 _AMB = T.SCORED + """, g AS (SELECT observation_id, max(total) FILTER (rank = 1) AS s1, max(total) FILTER (rank = 2) AS s2, count(*) AS n FROM topk GROUP BY 1),
@@ -152,7 +157,7 @@ _AMB = T.SCORED + """, g AS (SELECT observation_id, max(total) FILTER (rank = 1)
 
 @query(f"WITH {_AMB} SELECT * FROM amb")
 def ambiguity_masses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.ambiguity(best(spark, sf_dir)).drop("best_mode")
+    return C.dealt(C.ambiguity(best(spark, sf_dir)).drop("best_mode"), V.observations(spark, sf_dir))
 
 
 @query(f"""WITH {_AMB} SELECT amb.*, 'evidence:observation:' || o.observation_id AS node_id, t.mode_id AS best_mode, round(o.hi - o.lo + coalesce(o.k * 1.05::DOUBLE - o.k * 0.95::DOUBLE, 0) + 1e-9, 6) AS uncertainty,
@@ -162,9 +167,9 @@ def observation_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     age = S.days_between(F.lit("2024-06-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
     width = F.col("hi") - F.col("lo") + F.coalesce(F.col("k") * 1.05 - F.col("k") * 0.95, F.lit(0.0))
     obs = V.observations(spark, sf_dir).select(
-        "observation_id", F.concat(F.lit("evidence:observation:"), "observation_id").alias("node_id"), S.r6(width).alias("uncertainty"), S.r6(S.recency(age, 30.0, 0.0)).alias("recency")
+        "*", F.concat(F.lit("evidence:observation:"), "observation_id").alias("node_id"), S.r6(width).alias("uncertainty"), S.r6(S.recency(age, 30.0, 0.0)).alias("recency")
     )
-    return C.ambiguity(best(spark, sf_dir)).join(obs, "observation_id")
+    return C.dealt(C.ambiguity(best(spark, sf_dir)), obs, "node_id", "uncertainty", "recency")
 
 
 @query(f"""WITH {T.SCORED} SELECT 'evidence:candidate:' || observation_id || ':' || rank AS node_id, observation_id, rank, mode_id, total,
@@ -172,9 +177,10 @@ def observation_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def candidate_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence row of every kept candidate; its place among its observation's candidates as a fraction."""
     n = F.count("*").over(Window.partitionBy("observation_id"))
-    return best(spark, sf_dir).select(
+    found = best(spark, sf_dir).withColumn("rank_fraction", S.r6((F.col("rank") - 1) / F.greatest(n - 1, F.lit(1))))
+    return C.dealt(found, V.observations(spark, sf_dir)).select(
         F.concat(F.lit("evidence:candidate:"), "observation_id", F.lit(":"), "rank").alias("node_id"), "observation_id", "rank", "mode_id", "total",
-        S.r6((F.col("rank") - 1) / F.greatest(n - 1, F.lit(1))).alias("rank_fraction"), F.col("operator").alias("operator_country"),
+        "rank_fraction", F.col("operator").alias("operator_country"),
     )
 
 
@@ -185,22 +191,19 @@ _BEST_MODE = T.SCORED + """, bm AS (SELECT o.observation_id, o.ts, t.mode_id FRO
 @query(f"WITH {_BEST_MODE} SELECT mode_id, a AS source, b AS target FROM nx WHERE b IS NOT NULL UNION ALL SELECT mode_id, b, a FROM nx WHERE b IS NOT NULL")
 def shares_best_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours in time among the observations of one best mode, both ways."""
-    obs = V.observations(spark, sf_dir).select("observation_id", "ts")
-    first = best(spark, sf_dir).where("rank = 1").select("observation_id", "mode_id").join(obs, "observation_id")
-    pairs = E.chain(first, "mode_id", "ts", "observation_id")
-    return pairs.unionByName(pairs.select("mode_id", F.col("target").alias("source"), F.col("source").alias("target")))
+    first = C.dealt(best(spark, sf_dir).where("rank = 1").select("observation_id", "mode_id"), V.observations(spark, sf_dir), "ts")
+    ends = F.array(F.struct("source", "target"), F.struct(F.col("target").alias("source"), F.col("source").alias("target")))
+    return E.chain(first, "mode_id", "ts", "observation_id").select("mode_id", F.inline(ends))
 
 
 @query(f"""WITH {T.SCORED} SELECT t.observation_id, t.rank, t.mode_id, t.carrier_id FROM topk t JOIN obs o USING (observation_id)
   WHERE t.mode_id = 'mode:' || (o.series_id % 25) || ':' || (o.code + 1) AND t.carrier_id IS NOT DISTINCT FROM (SELECT min(carrier_id) FROM carriers c WHERE c.radar_id = t.radar_id)""")
 def truth_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates that are the truth by mode and carrier; the operator does not matter."""
-    truth = V.observations(spark, sf_dir).select(
-        "observation_id", F.concat(F.lit("mode:"), (F.col("series_id") % 25), F.lit(":"), F.col("code") + 1).alias("mode_id")
-    )
+    truth = V.observations(spark, sf_dir).withColumn("true_mode", F.concat(F.lit("mode:"), (F.col("series_id") % 25), F.lit(":"), F.col("code") + 1))
     known = V.carriers(spark, sf_dir).groupBy("radar_id").agg(F.min("carrier_id").alias("truth"))
     return (
-        best(spark, sf_dir).join(truth, ["observation_id", "mode_id"]).join(F.broadcast(known), "radar_id", "left")
+        C.dealt(best(spark, sf_dir), truth, "true_mode").where("mode_id = true_mode").join(F.broadcast(known), "radar_id", "left")
         .where(F.col("carrier_id").eqNullSafe(F.col("truth"))).select("observation_id", "rank", "mode_id", "carrier_id")
     )
 
@@ -255,8 +258,8 @@ def ambiguous_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {T.SCORED} SELECT o.series_id, t.observation_id, t.rank, t.mode_id FROM topk t JOIN obs o USING (observation_id) WHERE t.rank <= 3 AND o.series_id IS NOT NULL")
 def rank_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best candidates of every observation that is in a series."""
-    obs = V.observations(spark, sf_dir).where(F.col("series_id").isNotNull()).select("observation_id", "series_id")
-    return best(spark, sf_dir).where("rank <= 3").join(obs, "observation_id").select("series_id", "observation_id", "rank", "mode_id")
+    obs = V.observations(spark, sf_dir).where(F.col("series_id").isNotNull())
+    return C.dealt(best(spark, sf_dir).where("rank <= 3"), obs, "series_id").select("series_id", "observation_id", "rank", "mode_id")
 
 
 @query(f"""WITH {T.SCORED}, ids AS (SELECT series_id, mode_id FROM topk JOIN obs USING (observation_id) WHERE rank <= 2
@@ -266,7 +269,7 @@ def frame_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The frame of a series: its observations' two best modes and its true ones; how many modes are outside."""
     obs = V.observations(spark, sf_dir)
     truth = obs.select("series_id", F.concat(F.lit("mode:"), F.col("series_id") % 25, F.lit(":"), F.col("code") + 1).alias("mode_id"))
-    seen = best(spark, sf_dir).where("rank <= 2").join(obs.select("observation_id", "series_id"), "observation_id").select("series_id", "mode_id")
+    seen = C.dealt(best(spark, sf_dir).where("rank <= 2").select("observation_id", "mode_id"), obs, "series_id").select("series_id", "mode_id")
     ids = seen.unionByName(truth).distinct()
     n = F.broadcast(V.modes(spark, sf_dir).agg(F.count("*").alias("all")))
     frames = ids.groupBy("series_id").agg(F.count("*").alias("frame"), F.min("mode_id").alias("first_id"), F.max("mode_id").alias("last_id"))

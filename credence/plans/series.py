@@ -67,7 +67,7 @@ def sequence_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT series_id, sequence_index, mode_id, total FROM topk JOIN o2 USING (observation_id) WHERE rank = 1 ORDER BY series_id, sequence_index""")
 def rank1_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = best(spark, sf_dir).where("rank = 1").select("observation_id", "mode_id", "total")
-    return first.join(V.series(spark, sf_dir).select("observation_id", "series_id", "sequence_index"), "observation_id").select(
+    return C.dealt(first, V.series(spark, sf_dir), "series_id", "sequence_index").select(
         "series_id", "sequence_index", "mode_id", "total"
     ).orderBy("series_id", "sequence_index")
 
@@ -78,7 +78,7 @@ def rank1_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def contradiction_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Series to best candidate to the candidates that it contradicts, counted."""
     path = C.pairs(best(spark, sf_dir)).where("source_rank = 1 and mode_id <> contradicted").select("observation_id", "mode_id", "contradicted")
-    return path.join(V.observations(spark, sf_dir).select("observation_id", "series_id"), "observation_id").groupBy("series_id", "mode_id", "contradicted").agg(F.count("*").alias("n"))
+    return C.dealt(path, V.observations(spark, sf_dir), "series_id").groupBy("series_id", "mode_id", "contradicted").agg(F.count("*").alias("n"))
 
 
 @query("""WITH t AS (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role) AS before FROM conversations)
