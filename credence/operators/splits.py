@@ -79,32 +79,34 @@ def rounded_split(rows: DataFrame, group: str, own: str, train: float, test: flo
     return met.select(*rows.columns, "split")
 
 
-def _lead(rows: DataFrame, key: str) -> Column:
-    """A number in the order of ids: the id itself, or the eight characters' worth of bytes behind what all ids begin with."""
-    if isinstance(rows.schema[key].dataType, T.IntegralType):
-        return F.col(key).cast("long")
-    low, high = rows.agg(F.min(key), F.max(key)).first()
-    common = 0
-    if low is not None:
-        a, b = low.encode(), high.encode()
-        common = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-    seven = F.rpad(F.hex(F.substring(F.col(key).cast("binary"), common + 1, 7)), 14, "0")
-    return F.conv(seven, 16, 10).cast("long")
+def _cuts(rows: DataFrame, key: str) -> list:
+    """Ids that cut ``rows`` into about SLICES ranges of one size, whatever ids begin with: every so-many-th of those that a digest picks.
+
+    Some 64 ids a range come to the driver.
+    """
+    every = max(1, rows.count() // (SLICES * 64))
+    picked = rows.where(F.pmod(F.xxhash64(key), F.lit(every)) == 0).select(key).orderBy(key).collect()
+    return [r[0] for r in picked][64::64]
+
+
+def _slice_of(key: str, cuts: list, kind: T.DataType, step: int = 16) -> Column:
+    """How many cuts lie below the key: among every ``step``-th first, then among those between."""
+    if not cuts:
+        return F.lit(0)
+    below = lambda part: F.size(F.filter(part, lambda b: b < F.col(key)))
+    ids = lambda part: F.array(*[F.lit(b).cast(kind) for b in part])
+    first = below(ids(cuts[step - 1 :: step])) if len(cuts) >= step else F.lit(0)
+    return first * step + below(F.slice(ids(cuts), first * step + 1, F.lit(step)))
 
 
 def dense_index(rows: DataFrame, key: str, name: str = "index") -> DataFrame:
     """``rows``, one for each ``key``, with their place in its order from 0.
 
-    Ids are cut into ranges between quantiles, each numbered by itself, on from the numbers of rows before it; windows
+    Ids are cut into ranges of about one size, each numbered by itself, on from the numbers of rows before it; windows
     over everything see a row for each range. Rows without a key go.
     """
-    lead = _lead(rows, key)
-    known = rows.where(F.col(key).isNotNull()).withColumn("__lead", lead)
-    marks = [(i + 1) / SLICES for i in range(SLICES - 1)]
-    # At most SLICES numbers come to the driver.
-    bounds = sorted(set(known.agg(F.percentile_approx("__lead", marks, 10_000)).first()[0] or []))
-    slice_ = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b < F.col("__lead"))) if bounds else F.lit(0)
-    cut = known.withColumn("__s", slice_)
+    known = rows.where(F.col(key).isNotNull())
+    cut = known.withColumn("__s", _slice_of(key, _cuts(known, key), rows.schema[key].dataType))
     sizes = cut.groupBy(F.col("__s").alias("__t")).agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.orderBy("__t").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__n")
     offsets = F.broadcast(sizes.select("__t", before.alias("__before")))
