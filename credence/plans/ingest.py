@@ -92,7 +92,8 @@ _MATCHED = " + ".join(f"coalesce((s{i} >= 0.5)::INT, 0)" for i in range(9))
   (9 - ({_KNOWN}))::DOUBLE AS missing_feature_count, {_MATCHED} AS matched, {_KNOWN} AS compared FROM f""")
 def nine_field_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of every observation against the modes of the radar that its series is dealt to."""
-    obs = observations(spark, sf_dir).withColumn("nation", (F.col("series_id") % 25).cast("int"))
+    # Scores are the work here, so one input file must not mean one task.
+    obs = etl.spread(observations(spark, sf_dir), "observation_id").withColumn("nation", (F.col("series_id") % 25).cast("int"))
     met = obs.join(F.broadcast(mode_bounds(V.modes(spark, sf_dir))), "nation")
     return etl.with_fields(met).select("observation_id", "mode_id", *etl.feature_columns())
 

@@ -21,3 +21,7 @@ def test_dense_numbers_are_cut_into_even_ranges_whatever_ids_begin_with(spark):
     assert got == sorted(got) and len(got) == 3002
     few = splits.dense_index(ids.limit(3), "id")
     assert sorted(r["index"] for r in few.collect()) == [0, 1, 2]
+
+
+def test_nine_fields_are_scored_in_as_many_tasks_as_a_shuffle_has(spark):
+    assert any("Exchange hashpartitioning(observation_id" in line and "REPARTITION" in line for line in plan("nine_field_scores", spark))
