@@ -230,14 +230,17 @@ def point_in_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Radars with a mode around the value, and their carriers; all carriers where there are none."""
     obs = V.observations(spark, sf_dir).select("observation_id", "value")
     modes = V.modes(spark, sf_dir).select("radar_id", "klo", "khi")
-    hits = R.point_in_interval(obs, modes, "value", "klo", "khi", width=50.0)
+    # Each value is looked up once, and its hits are numbers of radars, not pairs with carriers.
+    values = R.spread(obs.select("value").distinct(), "value")
     carriers = V.carriers(spark, sf_dir).select("radar_id", "carrier_id")
-    n = hits.select("observation_id", "radar_id").distinct().join(F.broadcast(carriers), "radar_id", "left").groupBy("observation_id").agg(
-        F.countDistinct("radar_id").alias("r"), F.countDistinct("carrier_id").alias("c")
-    )
+    hits = R.point_in_interval(values, modes, "value", "klo", "khi", width=50.0).groupBy("value").agg(F.collect_set("radar_id").alias("radars"))
+    # A row for each set of radars that some value meets.
+    sets = hits.select("radars").distinct().select("radars", F.explode("radars").alias("radar_id")).join(F.broadcast(carriers), "radar_id", "left")
+    counted = sets.groupBy("radars").agg(F.countDistinct("radar_id").alias("r"), F.countDistinct("carrier_id").alias("c"))
+    n = hits.join(counted, "radars").select("value", "r", "c")
     everything = F.broadcast(carriers.agg(F.count("*").alias("all")).crossJoin(modes.agg(F.countDistinct("radar_id").alias("radar_total"))))
     none = F.coalesce("c", F.lit(0)) == 0
-    return obs.select("observation_id").join(n, "observation_id", "left").crossJoin(everything).select(
+    return obs.join(n, "value", "left").crossJoin(everything).select(
         "observation_id", F.coalesce("r", "radar_total").alias("radars"), F.when(none, F.col("all")).otherwise(F.col("c")).alias("carriers"), none.alias("used_fallback")
     )
 
@@ -286,16 +289,21 @@ def frame_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frequency_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The frame of each series in each hour: radars and carriers that some observation's value leaves open, and carriers outside; sets are bit masks until the end."""
     obs, modes, carriers = V.observations(spark, sf_dir), V.modes(spark, sf_dir), V.carriers(spark, sf_dir)
-    gate = frames.gated(obs.select("observation_id", "value"), modes, carriers, "observation_id", "value", 50.0)
+    # Each value is gated once.
+    values = obs.select("value").distinct()
+    gate = frames.gated(R.spread(values, "value"), modes, carriers, "value", "value", 50.0)
     radar, carrier = (frames.vocabulary(x, c) for x, c in ((modes.select("radar_id").unionByName(carriers.select("radar_id")), "radar_id"), (carriers, "carrier_id")))
     wr, wc = (frames.words(x.count()) for x in (radar, carrier))
-    rows = gate.join(obs.select("observation_id", "series_id", F.date_format("ts", "yyyy-MM-dd HH").alias("hour")), "observation_id")
+    rows = obs.select("value", "series_id", F.date_format("ts", "yyyy-MM-dd HH").alias("hour")).join(gate.withColumnRenamed("value", "__v"), F.col("value").eqNullSafe(F.col("__v")))
     united = rows.groupBy("series_id", "hour").agg(
         F.count("*").alias("observations"), F.sum(F.col("used_fallback").cast("long")).alias("fell_back"), *[F.bit_or(F.col("radars")[w]).alias(f"r{w}") for w in range(wr)], *frames.unite(F.col("carriers"), wc)
     )
+    # Few different frames stand for many hours, so each is written out once.
+    bits = [*[f"r{w}" for w in range(wr)], *[f"__w{w}" for w in range(wc)]]
     everyone = F.broadcast(frames.listing(radar).select(F.col("names").alias("radar_names")).crossJoin(frames.listing(carrier).select(F.col("names").alias("carrier_names"))))
-    sets = united.crossJoin(everyone).select("*", F.array(*[f"r{w}" for w in range(wr)]).alias("r"), frames.collected(wc).alias("c"))
-    return sets.select(
-        "series_id", "hour", "observations", "fell_back", F.array_join(frames.members(F.col("r"), F.col("radar_names")), ",").alias("radars"), F.array_join(frames.members(F.col("c"), F.col("carrier_names")), ",").alias("carriers"),
+    sets = united.select(*bits).distinct().crossJoin(everyone).select("*", F.array(*[f"r{w}" for w in range(wr)]).alias("r"), frames.collected(wc).alias("c"))
+    named = sets.select(
+        *bits, F.array_join(frames.members(F.col("r"), F.col("radar_names")), ",").alias("radars"), F.array_join(frames.members(F.col("c"), F.col("carrier_names")), ",").alias("carriers"),
         F.array_join(frames.members(frames.without(frames.everything(F.size("carrier_names"), wc), F.col("c")), F.col("carrier_names")), ",").alias("outside"),
     )
+    return united.join(named, bits).select("series_id", "hour", "observations", "fell_back", "radars", "carriers", "outside")

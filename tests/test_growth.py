@@ -25,3 +25,10 @@ def test_dense_numbers_are_cut_into_even_ranges_whatever_ids_begin_with(spark):
 
 def test_nine_fields_are_scored_in_as_many_tasks_as_a_shuffle_has(spark):
     assert any("Exchange hashpartitioning(observation_id" in line and "REPARTITION" in line for line in plan("nine_field_scores", spark))
+
+
+def test_values_are_met_with_intervals_once_and_frames_written_once(spark):
+    counted = [line for line in plan("point_in_interval", spark) if "Expand" in line]
+    assert counted and not any("observation_id" in line for line in counted)
+    written = [line for line in plan("frequency_frames", spark) if "array_join" in line]
+    assert written and not any("series_id" in line for line in written)
