@@ -76,9 +76,10 @@ def claim_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT report_id, 'CLAIM_SUPPORTS_OBSERVATION', claim_no, score, stance FROM sc""")
 def contains_support_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both links of each claim; a refuting claim supports too, with its stance."""
-    sc = scored(spark, sf_dir)
-    a = sc.select(F.col("report_id").alias("source"), F.lit("REPORT_CONTAINS_CLAIM").alias("type"), F.col("claim_no").alias("target"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("stance"))
-    return a.unionByName(sc.select(F.col("report_id").alias("source"), F.lit("CLAIM_SUPPORTS_OBSERVATION").alias("type"), F.col("claim_no").alias("target"), "score", "stance"))
+    # Claims meet their reports once for both.
+    contains = F.struct(F.lit("REPORT_CONTAINS_CLAIM").alias("type"), F.col("claim_no").alias("target"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("stance"))
+    supports = F.struct(F.lit("CLAIM_SUPPORTS_OBSERVATION").alias("type"), F.col("claim_no").alias("target"), "score", "stance")
+    return scored(spark, sf_dir).select(F.col("report_id").alias("source"), F.inline(F.array(contains, supports)))
 
 
 @query("""SELECT 'claims' AS name, l_returnflag AS kind, count(*) AS n FROM lineitem GROUP BY 2 UNION ALL SELECT 'reports', o_orderstatus, count(*) FROM orders GROUP BY 2

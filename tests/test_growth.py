@@ -32,3 +32,7 @@ def test_values_are_met_with_intervals_once_and_frames_written_once(spark):
     assert counted and not any("observation_id" in line for line in counted)
     written = [line for line in plan("frequency_frames", spark) if "array_join" in line]
     assert written and not any("series_id" in line for line in written)
+
+
+def test_claims_meet_their_reports_once_for_both_links(spark):
+    assert len([line for line in plan("contains_support_edges", spark) if "FileScan" in line]) == 2
