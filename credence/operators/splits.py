@@ -91,8 +91,6 @@ def _cuts(rows: DataFrame, key: str) -> list:
 
 def _slice_of(key: str, cuts: list, kind: T.DataType, step: int = 16) -> Column:
     """How many cuts lie below the key: among every ``step``-th first, then among those between."""
-    if not cuts:
-        return F.lit(0)
     below = lambda part: F.size(F.filter(part, lambda b: b < F.col(key)))
     ids = lambda part: F.array(*[F.lit(b).cast(kind) for b in part])
     first = below(ids(cuts[step - 1 :: step])) if len(cuts) >= step else F.lit(0)
@@ -106,12 +104,17 @@ def dense_index(rows: DataFrame, key: str, name: str = "index") -> DataFrame:
     over everything see a row for each range. Rows without a key go.
     """
     known = rows.where(F.col(key).isNotNull())
-    cut = known.withColumn("__s", _slice_of(key, _cuts(known, key), rows.schema[key].dataType))
-    sizes = cut.groupBy(F.col("__s").alias("__t")).agg(F.count("*").alias("__n"))
+    cuts = _cuts(known, key)
+    if not cuts:  # no more rows than a range has
+        return known.select(*rows.columns, (F.row_number().over(Window.orderBy(key)) - 1).cast("long").alias(name))
+    kind = rows.schema[key].dataType
+    cut = known.withColumn("__s", _slice_of(key, cuts, kind))
+    sizes = known.select(F.col(key).alias("__k")).select(_slice_of("__k", cuts, kind).alias("__t")).groupBy("__t").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.orderBy("__t").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__n")
+    # A null-safe join: from a plain one Spark infers a filter of offsets by the key, which they lack.
     offsets = F.broadcast(sizes.select("__t", before.alias("__before")))
     own = F.row_number().over(Window.partitionBy("__s").orderBy(key)) - 1
-    return cut.withColumn("__own", own).join(offsets, F.col("__s") == F.col("__t")).select(*rows.columns, (F.col("__own") + F.col("__before")).alias(name))
+    return cut.withColumn("__own", own).join(offsets, F.col("__s").eqNullSafe(F.col("__t"))).select(*rows.columns, (F.col("__own") + F.col("__before")).alias(name))
 
 
 def resolve(edges: DataFrame, nodes: DataFrame, relation: str = "relation") -> DataFrame:
