@@ -5,9 +5,9 @@ Observations and rows come as flat tables: seven measured intervals (lo0, hi0 to
 ``flat_rows`` make them from documents. Rows of the graph are bounded by its modes, carriers and operators,
 so they are broadcast.
 
-A mode is scored once for each observation. What carrier and operator can add lies between bounds that the
-mode's rows have; a mode whose upper bound is below the k-th best lower bound can't be among the k best, and
-only the others meet their rows. Ties go to the row that comes first in the graph's order.
+Modes are scored, not their rows, and pairs are scored twice: an aggregation gives what an observation's k-th best row
+reaches at least, and only modes that can reach it with their best carrier and operator meet their rows. So pairs are never
+sorted or shuffled. Ties go to the row that comes first in the graph's order.
 """
 
 from __future__ import annotations
@@ -134,69 +134,83 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
     return rows if len(rows.inputFiles()) >= width else rows.repartition(width, key)
 
 
-def _sides(side: str, lo: str, hi: str, waveform: str, scan: str) -> list[Column]:
-    """Bounds, centers and flags of one side without nulls: the pairs' code stays small enough to be compiled."""
-    out = []
-    for i in range(N):
-        low, high = F.coalesce(F.col(f"{lo}{i}"), F.lit(0.0)), F.coalesce(F.col(f"{hi}{i}"), F.lit(0.0))
-        there = F.col(f"{lo}{i}").isNotNull() & F.col(f"{hi}{i}").isNotNull()
-        out += [low.alias(f"{side}l{i}"), high.alias(f"{side}h{i}"), ((low + high) / 2).alias(f"{side}c{i}"), there.cast("double").alias(f"{side}n{i}")]
-        wide = F.greatest(high - low, F.lit(1e-12)) if side == "o" else F.greatest(high - low, F.abs((low + high) / 2))
-        out += [wide.alias(f"{side}w{i}"), F.greatest(F.abs((low + high) / 2), F.lit(1.0)).alias(f"{side}a{i}")]
-    for i, c in ((N, waveform), (N + 1, scan)):
-        out += [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"{side}v{i}"), F.col(c).isNotNull().cast("double").alias(f"{side}n{i}")]
-    return out
-
-
-def _mean_of_pairs() -> Column:
-    """The mean of the nine fields over columns of ``_sides``: as ``mean_known(field_scores())``."""
-    parts, known = [], []
-    for i in range(N):
-        o, k = (lambda c, i=i: F.col(f"o{c}{i}")), (lambda c, i=i: F.col(f"k{c}{i}"))
-        overlap = F.least(o("h"), k("h")) - F.greatest(o("l"), k("l"))
-        distance = F.least(F.abs(o("c") - k("l")), F.abs(o("c") - k("h")), F.abs(o("c") - k("c")))
-        both = o("n") * k("n")
-        parts.append(both * F.when(overlap > 0, F.least(F.lit(1.0), overlap / o("w"))).otherwise(F.greatest(F.lit(0.0), 1 - distance / F.greatest(k("w"), o("a")))))
-        known.append(both)
-    for i in (N, N + 1):
-        both = F.col(f"on{i}") * F.col(f"kn{i}")
-        parts.append(both * (F.col(f"ov{i}") == F.col(f"kv{i}")).cast("double"))
-        known.append(both)
-    return _sum(parts) / F.greatest(_sum(known), F.lit(1.0))
+def _interval(i: int) -> Column:
+    """As ``interval_overlap`` of bounds in order. Two branches that are computed keep it whole in the plan: see ``_scored``."""
+    ol, oh, kl, kh = (F.col(f"{c}{i}") for c in ("lo", "hi", "klo", "khi"))
+    known, overlap = ol.isNotNull() & oh.isNotNull() & kl.isNotNull() & kh.isNotNull(), F.least(oh, kh) - F.greatest(ol, kl)
+    oc, kc = (ol + oh) / 2, (kl + kh) / 2
+    scale = F.greatest(F.abs(kc), F.abs(oc), kh - kl, F.lit(1.0))
+    far = F.greatest(F.lit(0.0), 1 - F.least(F.abs(oc - kl), F.abs(oc - kh), F.abs(oc - kc)) / scale)
+    return F.when(known & (overlap > 0), F.least(F.lit(1.0), F.try_divide(overlap, oh - ol))).otherwise(F.when(known, far))
 
 
-def topk(observations: DataFrame, rows: DataFrame, k: int = K) -> DataFrame:
-    """observation_id, rank, row and the three scores of the k best rows of each observation."""
-    # The best row of a mode adds this at least: its prior may be 0, and a carrier's limits may be far below what is seen,
-    # unless the tightest limits of the mode's carriers leave room; and this at most.
-    prior = F.when(F.col("operator").isNotNull(), 1.0).otherwise(0.0)
-    kinematic = lambda best: F.when(F.col("has_props"), best).otherwise(0.5)
+def _scored(seen: DataFrame, modes: DataFrame) -> DataFrame:
+    """Pairs of ``_seen`` observations and ``_modes`` with ``mode_raw``, the mean of the nine fields.
+
+    Each field's score stands in the mean twice, as a number and as known, so each becomes a method of its own. All nine in one
+    would be larger than what the JVM compiles.
+    """
+    same = [(F.col(a) == F.col(b)).cast("double") for a, b in (("waveform", "mode_waveform"), ("scan", "mode_scan"))]
+    return seen.crossJoin(F.broadcast(modes)).withColumn("mode_raw", S.mean_known([_interval(i) for i in range(N)] + same))
+
+
+def _seen(observations: DataFrame) -> DataFrame:
+    """What pairs read of an observation, with the least and the most that an operator's prior can be, dealt to all tasks by observation."""
+    of = lambda pick, c: S.clamp(pick(F.map_values(F.col(c))))
+    named = lambda found: F.when(F.col("named").isNotNull(), found).otherwise(0.5)
+    least = F.least(of(F.array_min, "priors"), of(F.array_min, "more_priors"), named(0.0), F.lit(0.5))
+    most = F.greatest(of(F.array_max, "priors"), of(F.array_max, "more_priors"), named(1.0), F.lit(0.5))
+    limits = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("speed", "height")]
+    fields = [f"{e}{i}" for i in range(N) for e in ("lo", "hi")]
+    rows = observations.select("observation_id", *limits, least.alias("least_prior"), most.alias("most_prior"), *fields, "waveform", "scan")
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "observation_id")
+
+
+def _modes(rows: DataFrame, k: int) -> DataFrame:
+    """Modes numbered by ``place``, with their fields and what their carriers add to a total.
+
+    The best row adds no more than ``roomy``. It adds as much where the tightest limits of the mode's carriers leave room, and no less than
+    ``low`` anywhere. ``roomy_k`` and ``low_k`` hold likewise for the k-th best row, null without k rows.
+    """
+    add = lambda best: 0.15 * S.carrier_score(F.when(F.col("has_props"), best).otherwise(0.5), F.col("link"))
+    kth = lambda best: F.get(F.sort_array(F.collect_list(add(best)), asc=False), F.lit(k - 1))
     tight = lambda c: F.min(F.when(F.col("has_props") & (F.col(c) > 0), F.col(c)).otherwise(float("inf")))
-    add = lambda best, p: F.max(0.15 * S.carrier_score(kinematic(best), F.col("link")) + 0.05 + 0.05 * p * prior)
     bounds = rows.groupBy("mode_id").agg(
-        add(0.0, -1).alias("low"), add(1.0, -1).alias("roomy"), add(1.0, 1).alias("high"), tight("speed_limit").alias("speed_room"), tight("ceiling").alias("height_room"), F.min("row").alias("row")
+        F.max(add(0.0)).alias("low"), F.max(add(1.0)).alias("roomy"), kth(0.0).alias("low_k"), kth(1.0).alias("roomy_k"),
+        tight("speed_limit").alias("speed_room"), tight("ceiling").alias("height_room"), F.min("row").alias("row"),
     )
-    modes = bounds.join(rows.drop("mode_id"), "row").select(
-        F.col("mode_id").alias("m"), "low", "roomy", "high", "speed_room", "height_room", *_sides("k", "klo", "khi", "mode_waveform", "mode_scan")
+    # As many as there are modes: one task numbers them.
+    place = F.row_number().over(Window.orderBy("mode_id")).alias("place")
+    fields = [f"{e}{i}" for i in range(N) for e in ("klo", "khi")]
+    return bounds.join(rows.drop("mode_id"), "row").select(
+        F.col("mode_id").alias("m"), place, "low", "roomy", "low_k", "roomy_k", "speed_room", "height_room", *fields, "mode_waveform", "mode_scan"
     )
-    dealt = spread(observations, "observation_id")
-    sight = dealt.select("observation_id", F.coalesce("speed", F.lit(0.0)).alias("speed"), F.coalesce("height", F.lit(0.0)).alias("height"), *_sides("o", "lo", "hi", "waveform", "scan"))
+
+
+def topk(observations: DataFrame, rows: DataFrame, k: int = K) -> DataFrame:
+    """observation_id, rank, row and the three scores of the k best rows of each observation."""
+    seen, modes = _seen(observations), _modes(rows, k)
     room = (F.col("speed") <= F.col("speed_room")) & (F.col("height") <= F.col("height_room"))
-    low = F.when(room, F.col("roomy")).otherwise(F.col("low")).alias("low")
-    scored = sight.crossJoin(F.broadcast(modes)).select("observation_id", "m", _mean_of_pairs().alias("mode_raw"), low, "high")
-    scored = scored.select("observation_id", "m", "mode_raw", (0.75 * F.col("mode_raw") + F.col("low")).alias("low"), (0.75 * F.col("mode_raw") + F.col("high")).alias("high"))
-    each = Window.partitionBy("observation_id")
-    at_least = F.nth_value("low", k).over(each.orderBy(F.desc("low")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    raw = 0.75 * F.col("mode_raw") + 0.10 * F.col("least_prior")
+    at_least = lambda name: (raw + F.when(room, F.col(f"roomy{name}")).otherwise(F.col(f"low{name}"))).alias(f"low{name}")
+    pairs = _scored(seen, modes).select("observation_id", (F.col("place") % (2 * k)).alias("group"), at_least(""), at_least("_k"))
+    # The k-th best row reaches what the best of k modes reach, here of different groups, and what the k-th best of any mode does.
+    tops = [F.max(F.when(F.col("group") == g, F.col("low"))).alias(f"top{g}") for g in range(2 * k)]
+    kth = F.get(F.sort_array(F.array(*[f"top{g}" for g in range(2 * k)]), asc=False), F.lit(k - 1))
+    least = pairs.groupBy("observation_id").agg(*tops, F.max("low_k").alias("own")).select("observation_id", F.greatest(kth, F.col("own")).alias("least"))
+    # Exploding an array of one keeps the filter above the scores: below them it would hold all of them once more.
+    near = _scored(seen.join(least, "observation_id"), modes).select("observation_id", "m", "least", "most_prior", "roomy", F.explode(F.array("mode_raw")).alias("mode_raw"))
     # Totals are rounded to six places.
-    left = scored.withColumn("least", at_least).where(F.col("least").isNull() | (F.col("high") >= F.col("least") - 2e-6)).select("observation_id", "m", "mode_raw")
+    reach = F.col("least").isNull() | (0.75 * F.col("mode_raw") + F.col("roomy") + 0.10 * F.col("most_prior") >= F.col("least") - 2e-6)
+    left = near.where(reach).select("observation_id", "m", "mode_raw")
     own = rows.select(F.col("mode_id").alias("m"), "operator", "has_props", "speed_limit", "ceiling", "link", "row")
-    seen = dealt.select("observation_id", "speed", "height", "priors", "more_priors", "named")
-    met = left.join(seen, "observation_id").join(F.broadcast(own), "m")
+    met = left.join(observations.select("observation_id", "speed", "height", "priors", "more_priors", "named"), "observation_id").join(F.broadcast(own), "m")
     totals = met.select("observation_id", "row", "mode_raw", carrier_part().alias("carrier"), prior_part().alias("prior")).select(
         "observation_id", "row", S.r6(F.col("mode_raw")).alias("mode_score"), S.r6(F.col("carrier")).alias("aircraft_score"),
         S.r6(0.75 * F.col("mode_raw") + 0.15 * F.col("carrier") + 0.10 * F.col("prior")).alias("total_score"),
     )
-    return totals.withColumn("rank", F.row_number().over(each.orderBy(F.desc("total_score"), "row"))).where(F.col("rank") <= k)
+    best = Window.partitionBy("observation_id").orderBy(F.desc("total_score"), "row")
+    return totals.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def chain(rows: DataFrame, key: str, time: str, ident: str, bucket_s: int = 3600) -> DataFrame:

@@ -43,3 +43,29 @@ def test_observations_that_share_a_measurement_are_ranked_once(spark):
     pick = lambda df: sorted(map(str, df.select("observation_id", "rank", "total", "mode_id", "carrier_id", "operator").collect()))
     assert pick(C.dealt(C.topk(found, rows), many)) == pick(C.topk(many, rows)) == pick(C.topk_factored(many, V.modes(spark, DIR), rows))
     many.unpersist()
+
+
+def test_nine_fields_of_pairs_are_compiled(spark):
+    from credence.operators import etl
+    from credence.plans import ingest
+
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    obs, rows = ingest.observations(spark, DIR).limit(60), ingest.rows(spark, DIR).localCheckpoint()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        ranked = etl.topk(ingest.observations(spark, DIR), rows)
+        assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", ranked._jdf.queryExecution().explainString(mode)))) <= 8000
+        # Pairs are bounded by an aggregation: the only window over an observation numbers its rows.
+        plan = ranked._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"Window \[.*\], \[observation_id", plan)) == 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    # Bounds without a width, within and between those of modes, and bounds that are missing.
+    flat = obs.withColumns({"observation_id": F.col("observation_id") + 1000, **{f"hi{i}": F.col(f"lo{i}") for i in (0, 3)}, "lo1": F.lit(None).cast("double"), "scan": F.lit(None).cast("long")})
+    both = obs.unionByName(flat).localCheckpoint()
+    total = etl.S.r6(0.75 * etl.S.mean_known(etl.field_scores()) + 0.15 * etl.carrier_part() + 0.10 * etl.prior_part())
+    want = {}
+    for r in both.crossJoin(F.broadcast(rows)).select("observation_id", "row", total.alias("t")).collect():
+        want.setdefault(r.observation_id, []).append((-r.t, r.row))
+    got = {(r.observation_id, r["rank"]): (-r.total_score, r.row) for r in etl.topk(both, rows).collect()}
+    assert got == {(i, k + 1): pair for i, pairs in want.items() for k, pair in enumerate(sorted(pairs)[:5])}
