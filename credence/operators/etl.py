@@ -258,10 +258,12 @@ def ingest(observations: DataFrame, rows: DataFrame, now: Column, k: int = K, tr
     names = rows.select("row", *NAMES)
     best = ranked.join(F.broadcast(names), "row").withColumn("id", F.concat(F.lit("evidence:candidate:"), "observation_id", F.lit(":"), "rank"))
 
-    top = best.groupBy("observation_id").agg(
-        F.max(F.when(F.col("rank") == 1, F.struct("total_score", "mode_id", "aircraft_id"))).alias("first"),
-        F.max(F.when(F.col("rank") == 2, F.col("total_score"))).alias("second"), F.count("*").alias("found"),
+    # Numbers alone are aggregated by hash; names of the best row come by its number.
+    first = lambda c: F.max(F.when(F.col("rank") == 1, F.col(c)))
+    top = ranked.groupBy("observation_id").agg(
+        first("total_score").alias("total_score"), first("row").alias("row"), F.max(F.when(F.col("rank") == 2, F.col("total_score"))).alias("second"), F.count("*").alias("found"),
     )
+    top = top.join(F.broadcast(names), "row").select("observation_id", F.struct("total_score", "mode_id", "aircraft_id").alias("first"), "second", "found")
     unclear = F.when(F.col("found") > 1, F.greatest(F.lit(0.05), 1.0 - (F.col("first.total_score") - F.col("second")))).otherwise(0.1)
     node = F.concat(F.lit("evidence:observation:"), "observation_id")
     label = lambda name: F.col(f"truth.{name}") if truth else F.lit(None).cast("string")
@@ -298,14 +300,15 @@ def ingest(observations: DataFrame, rows: DataFrame, now: Column, k: int = K, tr
         F.lit(truth) & F.col("mode_id").eqNullSafe(F.col("truth.mode_id")) & F.col("aircraft_id").eqNullSafe(F.col("truth.aircraft_id"))
     )
     timed = met.select(F.col("first.mode_id").alias("mode_id"), S.parse_utc(F.col("timestamp_iso8601")).alias("t"), node.alias("id"))
-    near = chain(timed, "mode_id", "t", "id").select("source", "target")
+    near = chain(timed, "mode_id", "t", "id")
+    both_ways = F.array(F.struct("source", "target"), F.struct(F.col("target").alias("source"), F.col("source").alias("target")))
     return {
         "observations": obs,
         "candidates": candidates,
         "candidate_edges": best.select(node.alias("source"), F.col("id").alias("target"), F.col("total_score").alias("score"), "rank"),
         "contradiction_edges": contradictions(best),
         "truth_edges": true.select(node.alias("source"), F.col("id").alias("target")),
-        "similarity_edges": near.unionByName(near.select(F.col("target").alias("source"), F.col("source").alias("target"))),
+        "similarity_edges": near.select(F.inline(both_ways)),
     }
 
 

@@ -69,3 +69,16 @@ def test_nine_fields_of_pairs_are_compiled(spark):
         want.setdefault(r.observation_id, []).append((-r.t, r.row))
     got = {(r.observation_id, r["rank"]): (-r.total_score, r.row) for r in etl.topk(both, rows).collect()}
     assert got == {(i, k + 1): pair for i, pairs in want.items() for k, pair in enumerate(sorted(pairs)[:5])}
+
+
+def test_counts_take_the_best_row_by_hash_and_neighbours_once(spark):
+    from credence.plans import ingest
+
+    tables = ingest.tables(spark, DIR)
+    plan = lambda name: tables[name]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan("similarity_edges") and len(re.findall(r"^.*Union", plan("similarity_edges"), re.M)) == 1
+    aggregate = [line for line in tables["observations"]._jdf.queryExecution().sparkPlan().toString().splitlines() if "Aggregate" in line]
+    assert aggregate and not any("SortAggregate(key=[observation_id" in line for line in aggregate)
+    ahead = {(r.source, r.target) for r in tables["similarity_edges"].collect()}
+    assert ahead and ahead == {(b, a) for a, b in ahead}
+    spark.catalog.clearCache()
